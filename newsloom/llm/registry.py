@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, substring_dedup, url_reputation
+from . import bpe, decontaminate, jaccard_join, line_dedup, substring_dedup, url_reputation
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_url_reputation": url_reputation.op8_url_reputation,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 SQL = {
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_url_reputation": url_reputation.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
