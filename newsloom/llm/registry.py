@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, substring_dedup, url_reputation
+from . import bpe, decontaminate, jaccard_join, line_dedup, substring_dedup, toxicity, url_reputation
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_url_reputation": url_reputation.op8_url_reputation,
     "op9_decontaminate": decontaminate.op9_decontaminate,
