@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, substring_dedup, toxicity, url_reputation
+from . import bpe, decontaminate, jaccard_join, line_dedup, pii, substring_dedup, toxicity, url_reputation
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_pii": pii.op4_pii,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": line_dedup.op7_line_dedup,
