@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, pii, substring_dedup, toxicity, url_reputation
+from . import bpe, decontaminate, jaccard_join, line_dedup, neighbours, pii, substring_dedup, toxicity, url_reputation
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
     "op3_bpe": bpe.op3_bpe,
     "op4_pii": pii.op4_pii,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
