@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, neighbours, pii, substring_dedup, toxicity, url_reputation
+from . import bpe, decontaminate, jaccard_join, language_model, line_dedup, neighbours, pii, substring_dedup, toxicity, url_reputation
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
+    "op2_language_model": language_model.op2_language_model,
     "op3_bpe": bpe.op3_bpe,
     "op4_pii": pii.op4_pii,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,

@@ -41,7 +41,7 @@ INSULTS = (
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine tu te toi ton ta tes vous votre vos usted tú ti tus".split()
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None, ".": None, "-": None, "_": None})
 
-FEATURES = ["fixed_rate", "learned_rate", "fixed_count", "learned_count", "densest", "near_you", "capitals", "punctuation", "exclaimed", "obfuscated", "hidden", "length"]
+FEATURES = [f"_{x}" for x in "fixed_rate learned_rate fixed_count learned_count densest near_you capitals punctuation exclaimed obfuscated hidden length".split()]
 _WORD = re.compile(r"[^\W_]+")
 _ODD = re.compile(r"[^\W\d_]+(?:[0-9@$!|*._-]+[^\W\d_]+)+")
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|*._-][^\W\d_]")
@@ -92,7 +92,7 @@ def features(docs: DataFrame, learned: list[str], keep: list[str]) -> DataFrame:
                 rows = np.array([features_of(t or "", fixed, more, stems) for t in part.column(len(keep)).to_pylist()], float).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(rows[:, i].copy()) for i in range(len(FEATURES)))], [*keep, *FEATURES])
 
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
 
 
 def lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
@@ -114,15 +114,16 @@ class Model:
         self.learned, self.trees, self.calibration, self.rate = list(learned), trees, calibration, rate
 
     def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns `keep` of docs, and score."""
+        """The columns `keep` of docs, and _score."""
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
         if self.trees is None:
-            return docs.select(*keep, F.lit(float(self.rate)).alias("score"))
-        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(docs, self.learned, keep)).select(*keep, "features")
-        raw = self.trees.transform(rows).select(*keep, vector_to_array("probability")[1].alias("raw"))
-        return self.calibration.transform(raw).select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("score"))
+            return docs.select(*keep, F.lit(float(self.rate)).alias("_score"))
+        rows = docs.select(F.struct(*keep).alias("_row"), "text")  # no name of docs meets one of the model's
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows, self.learned, ["_row"])).select("_row", "features")
+        raw = self.trees.transform(rows).select("_row", vector_to_array("probability")[1].alias("raw"))
+        return self.calibration.transform(raw).select("_row.*", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("_score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
@@ -154,4 +155,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     scored = model.score(docs, ["doc_id"])
-    return scored.select("doc_id", (common.crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (common.crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
