@@ -1,0 +1,72 @@
+"""Deterministic policies: freshness gate, screening guard, admission, risk flags, history, publishability."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import dates, text
+
+# The only reasons that end screening; flags by their effect.
+HARD_REJECTS = ("irrelevant", "spam", "pure_advertisement", "navigation_or_index", "empty_content", "duplicate_without_update")
+BLOCKERS = ("confirmed_repeat_without_material_change", "candidate_without_facts", "source_conflict_on_event_core")
+AUDIT_ONLY = ("prior_event_outside_history_window", "history_match_not_found", "invalid_novelty_status", "invalid_publishability", "search_not_configured", "search_budget_exhausted", "needs_review")
+OFFICIAL_GROUPS = ("official_blog", "official_research", "x_official")
+PROJECT_GROUPS = ("github_trending", "github_release", "github_search", "producthunt")
+
+
+def content_class(group: Column, transport: Column) -> Column:
+    return F.when(group.isin(*OFFICIAL_GROUPS), "official_model_company").when(group == "tech_media", "news_media").when(group.isin(*PROJECT_GROUPS) | (transport == "github"), "project_tool").otherwise("community_social")
+
+
+def freshness(at: Column, edition: Column, reference: Column, trending: Column) -> tuple[Column, Column]:
+    """(eligible, reason): from the previous day's midnight, inclusive, to the reference time; trending items are exempt."""
+    at = at.cast("timestamp")
+    reason = F.when(trending, "trending_exempt").when(at.isNull(), "missing_published_at").when(at > reference, "future_timestamp").when(at < dates.cutoff(edition), "too_old").otherwise("within_window")
+    return reason.isin("trending_exempt", "within_window"), reason
+
+
+def screen_guard(decision: Column, reason: Column, confidence: Column, threshold: int = 90) -> tuple[Column, Column]:
+    """(decision, added flag): a reject stands only for a hard reason and enough confidence."""
+    reject, hard = decision == "reject", text.reason_code(reason).isin(*HARD_REJECTS)
+    unsure = reject & (~hard | (confidence < threshold))
+    flag = F.when(reject & ~hard, "screen:non_hard_reject_reason").when(reject & (confidence < threshold), "screen:low_confidence_reject")
+    return F.when(unsure, "uncertain").otherwise(decision), flag
+
+
+def admission(projected: Column, summary: Column, relevance: Column, score: Column, least_relevance: int = 60, least_score: int = 60) -> tuple[Column, Column]:
+    """(decision, reason), gates in their order; a missing relevance passes."""
+    reason = (
+        F.when(~projected, "missing_projection").when(F.coalesce(F.trim(summary), F.lit("")) == "", "summary_empty")
+        .when(relevance < least_relevance, "low_relevance").when(score < least_score, "low_score").otherwise("admitted")
+    )
+    return F.when(reason == "admitted", "active").otherwise("filtered"), reason
+
+
+def routed_flags(flags: Column) -> tuple[Column, Column, Column]:
+    """(blockers, caveats, audit), each in the flags' order."""
+    blockers, audit = F.filter(flags, lambda f: f.isin(*BLOCKERS)), F.filter(flags, lambda f: f.isin(*AUDIT_ONLY))
+    return blockers, F.filter(flags, lambda f: ~f.isin(*BLOCKERS, *AUDIT_ONLY)), audit
+
+
+def history_status(requested: Column, prior: Column, has_facts: Column) -> Column:
+    """new, meaningful_update, repeat or uncertain, from what is claimed and whether a prior event matches."""
+    found = F.when((requested == "meaningful_update") & has_facts, "meaningful_update").otherwise("repeat")
+    return F.when(prior.isNotNull(), found).when(requested.isin("new", "uncertain"), requested).otherwise("uncertain")
+
+
+def publishability(requested: Column, novelty: Column, n_facts: Column) -> Column:
+    valid = F.when(requested.isin("candidate", "needs_review", "rejected"), requested).otherwise("needs_review")
+    return F.when(novelty == "repeat", "rejected").when((valid == "candidate") & (n_facts == 0), "needs_review").otherwise(valid)
+
+
+def novelty(value: Column) -> Column:
+    """Aliases to new, updated, repeat, unknown."""
+    v = F.translate(F.lower(F.trim(value)), "-", "_")
+    return F.when(v.isin("new", "new_item", "novel", "fresh"), "new").when(v.isin("update", "updated", "version_update"), "updated").when(v.isin("repeat", "duplicate", "old"), "repeat").when(v.isNotNull(), "unknown")
+
+
+def due(latest: DataFrame, now: Column) -> DataFrame:
+    """Sources out of back-off whose interval (1 s at least) since their last attempt has passed. latest: one row a source."""
+    ready = F.coalesce(F.col("backoff_until") <= now, F.lit(True))
+    return latest.filter(ready & (F.col("last_attempt").isNull() | (now >= F.col("last_attempt") + F.make_dt_interval(secs=F.greatest(F.col("fetch_interval"), F.lit(1))))))
