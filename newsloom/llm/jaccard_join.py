@@ -3,8 +3,8 @@
 Exact: 100 |x & y| >= threshold |x | y| decides, on 64-bit hashes of the shingles of whole texts. Steps:
 
 1. Every text becomes its sorted set. Equal sets (128-bit fingerprint) are one set from here on.
-2. Shingles are ordered by rarity: counts in a fixed number of buckets (levels of log2; a table of at most
-   `MAX_BUCKETS` bytes is broadcast), ties by hash. Any fixed order is right; this one makes index lists short.
+2. Shingles are ordered by rarity, their number of documents in the whole corpus (levels of log2), ties by hash. Any
+   fixed order is right; this one makes index lists short, and shingles of one document need no list at all.
 3. A set's first few shingles in this order are its postings; two similar sets share one. An index list is split
    into blocks by set size, and a set probes only the blocks of its own size range; postings beyond the place from
    which the overlap could still be reached are left out (the skipping by position).
@@ -26,10 +26,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 
 WORDS, THRESHOLD = 4, 85
-LEAST_BUCKETS, MAX_BUCKETS = 1 << 18, 1 << 24
 
 
 def _sets(part, at, words: int):
@@ -79,86 +78,78 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
 
-def rarity(docs: DataFrame, n_shingles: int, words: int = WORDS) -> np.ndarray:
-    """Level (log2 of the count) of each bucket of shingles, counted over all documents.
-
-    Tasks add up their own counts; slices of the buckets are summed by key, so nothing but the levels (one byte a
-    bucket, MAX_BUCKETS at most) comes to the driver.
-    """
-    import pyarrow as pa
-
-    size = LEAST_BUCKETS
-    while size < MAX_BUCKETS and size * 512 < n_shingles:
-        size *= 2
-    slices = 64
-    per = size // slices
-
-    def count(batches):
-        counts = np.zeros(size, np.int32)
-        for batch in batches:
-            got = [s & np.uint64(size - 1) for s in _each(batch, words, 0)]
-            if got:
-                counts += np.bincount(np.concatenate(got).astype(np.int64), minlength=size).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([counts[i * per : (i + 1) * per].tobytes() for i in range(slices)], pa.binary())], ["slice", "counts"])
-
-    def total(table: pa.Table) -> pa.Table:
-        counts = np.zeros(per, np.int64)
-        for x in table.column("counts"):
-            counts += np.frombuffer(x.as_py(), np.int32)
-        level = np.ceil(np.log2(counts + 1)).astype(np.uint8)
-        return pa.table({"slice": table.column("slice").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(total, "slice int, level binary").collect()
-    levels = np.zeros(size, np.uint8)
-    for r in rows:
-        levels[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(r["level"], np.uint8)
-    return levels
-
-
 def _least(n, threshold: int):
     """The smallest intersection that a link needs with |x| + |y| = n."""
     return -(-threshold * n // (100 + threshold))
 
 
-def postings(docs: DataFrame, levels, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """(token, block, h1, n, pos): each set's first shingles by rarity. levels: a broadcast.
+def postings(docs: DataFrame, n_bytes: int, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """(token, block, h1, n, pos): those of each set's first shingles by rarity that other documents have too.
 
-    Of equal sets a task sends the first; block is the set's size on a scale of 1/threshold.
+    Documents' blocks send their distinct shingles to shards of the shingles' space and get the counts over all
+    documents back, as levels: 0 for a shingle of one document, else on a scale of log2. A set's order is by level,
+    then hash. Shingles of one document keep their places in it but make no postings, so a set of mostly own shingles
+    makes none. `block` is the set's size on a scale of 1/threshold. Of a block's equal sets one sends postings.
     """
     import math
 
     import pyarrow as pa
 
+    blocked = blocks.in_blocks(docs, n_bytes)
+    n = blocks.shards_for(n_bytes // 6)
     step = math.log(100 / threshold)
-
-    def run(batches):
-        level = levels.value
-        size = np.uint64(len(level) - 1)
-        sent = set()
-        for batch in batches:
-            out = []
-            for s in _each(batch, words, 0):
-                if not len(s):
-                    continue
-                h1, _ = _print(s)
-                if h1 in sent:
-                    continue
-                sent.add(h1)
-                n = len(s)
-                # two linked sets' first common shingle has a place from which at least _least of the smaller partner are left
-                smallest = -(-threshold * n // 100)
-                prefix = n - int(_least(n + smallest, threshold)) + 1
-                order = np.lexsort((s, level[(s & size).astype(np.int64)]))[:prefix]
-                out.append((s[order], h1, n))
-            if out:
-                lens = [len(t) for t, _, _ in out]
-                tokens = np.concatenate([t for t, _, _ in out]).view(np.int64)
-                n = np.repeat(np.array([x[2] for x in out], np.int64), lens)
-                pos = np.concatenate([np.arange(k) for k in lens]).astype(np.int32)
-                arrays = [pa.array(tokens), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), lens)), pa.array(n.astype(np.int32)), pa.array(pos), pa.array(np.floor(np.log(n) / step).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["token", "h1", "n", "pos", "block"])
-
-    return docs.select("text").mapInArrow(run, "token long, h1 long, n int, pos int, block int")
+    drop = np.uint64(16)  # 48 bits tell shingles apart well enough for counts
+
+    def sets_of(table: pa.Table) -> dict[int, np.ndarray]:
+        out: dict[int, np.ndarray] = {}
+        for x in _each(table, words, table.column_names.index("text")):
+            if len(x):
+                out.setdefault(_print(x)[0], x)
+        return out
+
+    def keys_of(found: dict[int, np.ndarray]):
+        every = np.concatenate([np.zeros(0, np.uint64), *found.values()]) >> drop
+        keys, which, count = np.unique(every, return_inverse=True, return_counts=True)
+        bounds = np.searchsorted(keys, np.array([(i << 48) // n for i in range(n)], np.uint64)).tolist() + [len(keys)]
+        return keys, which, count, bounds
+
+    def send(table: pa.Table) -> pa.Table:
+        keys, _, count, at = keys_of(sets_of(table))
+        block = table.column("block")[0].as_py()
+        rows = [(s, blocks.pack(keys[at[s] : at[s + 1]]), blocks.planes(np.minimum(count[at[s] : at[s + 1]], 65535).astype(np.uint16))) for s in range(n) if at[s] < at[s + 1]]
+        return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "shard": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = [blocks.unpack(x.as_py(), np.uint64) for x in table.column("keys")]
+        counts = np.concatenate([blocks.from_planes(x.as_py(), np.uint16) for x in table.column("counts")])
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, weights=counts)
+        level = np.minimum(255, np.rint(16 * np.log2(total))).astype(np.uint8)
+        at = np.cumsum([0, *(len(k) for k in keys)])
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "levels": pa.array([level[which[at[i] : at[i + 1]]].tobytes() for i in range(len(keys))], pa.binary())})
+
+    def post(table: pa.Table, replies: pa.Table) -> pa.Table:
+        found = sets_of(table)
+        _, which, _, _ = keys_of(found)
+        told = sorted(zip(replies.column("shard").to_pylist(), replies.column("levels").to_pylist(), strict=True))
+        levels = np.frombuffer(b"".join(x for _, x in told), np.uint8)[which]
+        out, first = [], 0
+        for h1, x in found.items():
+            size, level = len(x), levels[first : first + len(x)]
+            first += size
+            # two linked sets' first common shingle has a place from which at least _least of the smallest partner are left
+            prefix = size - int(_least(size + -(-threshold * size // 100), threshold)) + 1
+            if np.count_nonzero(level == 0) >= prefix:
+                continue
+            order = np.lexsort((x, level))[:prefix]
+            pos = np.flatnonzero(level[order] > 0)
+            out.append((x[order[pos]], np.full(len(pos), h1), np.full(len(pos), size), pos, np.full(len(pos), int(math.log(size) / step))))
+        cols = [np.concatenate([np.zeros(0, np.int64), *(o[i].astype(np.uint64).view(np.int64) if i == 0 else o[i] for o in out)]) for i in range(5)]
+        kinds = (("token", pa.int64()), ("h1", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("block", pa.int32()))
+        return pa.table({c: pa.array(v.astype(np.int64)).cast(t) for (c, t), v in zip(kinds, cols, strict=True)})
+
+    replies = blocked.groupBy("block").applyInArrow(send, "block int, shard int, keys binary, counts binary").groupBy("shard").applyInArrow(count, "block int, shard int, levels binary")
+    return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(post, "token long, h1 long, n int, pos int, block int")
 
 
 def _reachable(a: str, b: str, threshold: int):
@@ -212,13 +203,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = common.settle(fingerprints(docs, words))
     reps = common.settle(prints.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    total = reps.agg(F.sum("n")).first()[0] or 0
-    levels = spark.sparkContext.broadcast(rarity(docs, total, words))
-    lists = postings(docs, levels, words, threshold).repartition("token").dropDuplicates(["token", "h1", "n", "pos"])
+    lists = postings(docs, blocks.measure(docs), words, threshold).repartition("token").dropDuplicates(["token", "h1", "n", "pos"])
     # only shingles that two sets have make lists; the leader is the set where the shingle comes first
     heads = lists.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min(F.struct("pos", "h1", "n")).alias("lead")).filter("lo <> hi")
     lists = common.settle(lists.join(heads.select("token", "lead"), "token").select("token", "block", "h1", "n", "pos", "lead"))
