@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import text
-from .operators import entities, policy, ranking, views
+from .operators import entities, policy, ranking, state, views
 from .tables import ITEMS_SQL, items, table
 
 #: After all events.
@@ -117,3 +117,54 @@ def f18_markdown_label(spark, d):
 @query("SELECT label AS source, n FROM (SELECT o_orderstatus AS label, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1)")
 def g20_distinct_events(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("source")).agg(F.count_distinct("o_custkey").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id AS run, event_type AS stage, CASE WHEN max(value) > 99 AND event_type = 'error' THEN 'partial' WHEN min(value) < 0.02 THEN 'active' ELSE 'succeeded' END AS progress FROM events GROUP BY 1, 2)
+  SELECT run, CASE WHEN count(DISTINCT stage) < 5 OR count(*) FILTER (WHERE progress = 'active') > 0 THEN 'running' WHEN count(*) FILTER (WHERE progress = 'partial') > 0 THEN 'partial' ELSE 'completed' END AS status FROM s GROUP BY 1""")
+def g10_run_status(spark, d):
+    return state.run_status(_stages(spark, d), "run", 5)
+
+
+def _stages(spark, d):
+    progress = F.when((F.max("value") > 99) & (F.first("event_type") == "error"), "partial").when(F.min("value") < 0.02, "active").otherwise("succeeded")
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("run"), F.col("event_type").alias("stage")).agg(progress.alias("progress"))
+
+
+@query("""WITH s AS (SELECT user_id AS run, event_type AS stage, CASE WHEN max(value) > 99 AND event_type = 'error' THEN 'partial' WHEN min(value) < 0.02 THEN 'active' ELSE 'succeeded' END AS progress FROM events GROUP BY 1, 2)
+  SELECT run, arg_min(stage, CASE stage WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END) AS stage FROM s WHERE progress <> 'succeeded' GROUP BY 1""")
+def t11_resume_plan(spark, d):
+    return state.resume_plan(_stages(spark, d), ["signup", "view", "click", "purchase", "error"])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 7 = 0 THEN 'running' WHEN event_id % 2 = 0 THEN 'retry_waiting' ELSE 'blocked' END AS status FROM events WHERE event_type = 'error'")
+def t07_failed_tasks(spark, d):
+    i, now = F.col("event_id"), F.lit(NOW).cast("timestamp")
+    lease = F.when(i % 7 == 0, now).otherwise(now + F.expr("INTERVAL 1 HOUR"))
+    after = state.failed_task(F.when(i % 3 == 0, "running").otherwise("pending"), lease, i % 2 == 0, now)
+    return table(spark, d, "events").filter("event_type = 'error'").select("event_id", after.alias("status"))
+
+
+@query("SELECT o_orderkey AS item, CASE WHEN o_orderkey % 4 = 0 THEN 'e' || (o_orderkey % 100) ELSE 'auto:' || o_orderkey END AS event, CASE WHEN o_orderkey % 4 = 0 THEN 'candidate' ELSE 'needs_review' END AS state FROM orders")
+def e09_autofill(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"))
+    members = o.filter("item % 4 = 0").select("item", F.concat(F.lit("e"), (F.col("item") % 100).cast("string")).alias("event"))
+    return entities.autofilled(members, o, "item", "event")
+
+
+@query("""SELECT l_orderkey AS event, 'u' || (l_partkey % 5) AS url, 'h' AS host, CAST(l_suppkey % 3 AS VARCHAR) AS claim, min_by(l_returnflag || l_linenumber, l_linenumber * 10000000 + l_partkey) AS excerpt FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2, 3, 4""")
+def p28_verified_evidence(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("event"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("id"), F.when(F.col("l_returnflag") == "A", " Verified").otherwise("recorded").alias("status"),
+        F.concat(F.lit("u"), F.col("l_partkey") % 5).alias("url"), F.lit("").alias("final_url"), F.lit(" h ").alias("host"), (F.col("l_suppkey") % 3).cast("string").alias("claim"), F.concat("l_returnflag", "l_linenumber").alias("excerpt"),
+    )
+    return entities.verified_evidence(rows, "id")
+
+
+@query("""WITH o AS (SELECT user_id AS k, max(value) AS score, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), n AS (SELECT user_id AS k, max(value) AS score, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events WHERE event_type = 'error' GROUP BY 1)
+  SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'app,err' WHEN n.k IS NULL THEN 'web,app' ELSE 'web,app,err' END AS sources, greatest(o.score, n.score) AS score, least(o.a, n.a) AS first_seen, greatest(o.b, n.b) AS last_seen FROM o FULL JOIN n ON o.k = n.k""")
+def m04_event_upsert(spark, d):
+    e = table(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    side = lambda rows, names: rows.groupBy(F.col("user_id").alias("k")).agg(F.max("value").alias("score"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen")).withColumn("sources", F.array(*map(F.lit, names)))
+    out = state.merged_events(side(e.filter("event_type in ('click', 'view')"), ["web", "app"]), side(e.filter("event_type = 'error'"), ["app", "err"]), "k")
+    return out.withColumn("sources", F.array_join("sources", ","))

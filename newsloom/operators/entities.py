@@ -69,3 +69,17 @@ def partition_errors(candidates: DataFrame, chosen: DataFrame, rest: DataFrame,
     sums = marks.groupBy(key).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("u").alias("u"))
     error = F.when(F.col("c") == 0, "unknown").when(F.col("s") + F.col("u") > 1, "twice").when(F.col("s") + F.col("u") == 0, "missing")
     return sums.select(key, error.alias("error")).filter("error is not null")
+
+
+def autofilled(members: DataFrame, active: DataFrame, item: str, event: str) -> DataFrame:
+    """(item, event, state): given memberships, and every active item without one as an event of its own, to be reviewed."""
+    alone = active.select(item).join(members.select(item), item, "left_anti")
+    return members.select(item, event, F.lit("candidate").alias("state")).unionByName(alone.select(item, F.concat(F.lit("auto:"), F.col(item).cast("string")).alias(event), F.lit("needs_review").alias("state")))
+
+
+def verified_evidence(evidence: DataFrame, order: str, cap: int = 600) -> DataFrame:
+    """Verified rows with a url, the first of each (event, url, host, claim); excerpts cut."""
+    trim = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    url = trim(F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url")))
+    rows = evidence.filter(F.lower(F.trim("status")) == "verified").select("event", order, url.alias("url"), trim("host").alias("host"), trim("claim").alias("claim"), F.substring(trim("excerpt"), 1, cap).alias("excerpt")).filter("url <> ''")
+    return rows.groupBy("event", "url", "host", "claim").agg(F.min_by("excerpt", order).alias("excerpt"))

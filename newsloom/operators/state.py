@@ -49,3 +49,32 @@ def stage_status(tasks: DataFrame, stage: str) -> DataFrame:
     has = lambda s: F.max((F.col("status") == s).cast("int")) == 1
     done = F.min(F.col("status").isin("succeeded", "skipped", "cancelled").cast("int")) == 1
     return tasks.groupBy(stage).agg(F.when(done, "succeeded").when(has("running"), "running").when(has("blocked"), "blocked").when(has("failed"), "failed").otherwise("pending").alias("status"))
+
+
+def run_status(stages: DataFrame, run: str, expected: int, finalize: bool = True) -> DataFrame:
+    """A run's status from its stages' progress: open while one is missing or active, partial if one is, else completed."""
+    n = lambda s: F.count_if(F.col("progress") == s)
+    status = F.when((F.count_distinct("stage") < expected) | (n("active") > 0), "running").when(n("partial") > 0, "partial").when(n("succeeded") == F.count(F.lit(1)), "completed" if finalize else "running").otherwise("running")
+    return stages.groupBy(run).agg(status.alias("status"))
+
+
+def failed_task(status: Column, lease_expires_at: Column, retryable: Column, now: Column) -> Column:
+    """A running task that fails within its lease waits if it may be retried, else is blocked; a late report changes nothing."""
+    late = (status == "running") & F.coalesce(lease_expires_at <= now, F.lit(False))
+    return F.when(late, status).when(retryable, "retry_waiting").otherwise("blocked")
+
+
+def resume_plan(stages: DataFrame, order: list[str]) -> DataFrame:
+    """(run, stage): stages with work left whose earlier stages are all done; order: the stages' names."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("stage"))
+    left = stages.filter(~F.col("progress").isin("succeeded")).withColumn("_r", rank)
+    return left.groupBy("run").agg(F.min_by("stage", "_r").alias("stage"))
+
+
+def merged_events(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Event upsert: arrays united in first-seen order, highest score, earliest and latest time. One outer join."""
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    none = F.array().cast("array<string>")
+    union = F.array_distinct(F.concat(F.coalesce("o.sources", none), F.coalesce("n.sources", none)))
+    return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), union.alias("sources"), F.greatest("o.score", "n.score").alias("score"), F.least("o.first_seen", "n.first_seen").alias("first_seen"), F.greatest("o.last_seen", "n.last_seen").alias("last_seen"))
