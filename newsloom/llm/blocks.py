@@ -12,9 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes a block holds, about; and how many keys a shard serves.
-BLOCK_BYTES = 6 << 20
-SHARD_KEYS = 4 << 20
+#: Text bytes a block holds, about; and how many keys a shard serves. Either keeps a worker's arrays below some 100 MB.
+BLOCK_BYTES = 3 << 20
+SHARD_KEYS = 1 << 20
 LEAST_BLOCKS = 48
 
 

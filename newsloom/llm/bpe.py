@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pretokens whose ids are remembered in a worker; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Pretokens whose ids, and pairs whose compatibility, are remembered in a worker; beyond it the memory starts anew.
+REMEMBERED, PAIRS = 400_000, 300_000
 
 # Fixed values of the byte-level scheme: white space, and the split of a text into pretokens.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -104,7 +104,7 @@ class Codec:
                 pair = last[end - length] << 20 | token
                 ok = pairs.get(pair)
                 if ok is None:
-                    if len(pairs) > 1_000_000:
+                    if len(pairs) > PAIRS:
                         pairs.clear()
                     ok = pairs[pair] = self.compatible(pair >> 20, token)
                 if not ok:

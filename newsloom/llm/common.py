@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# a worker's large Arrow buffers go back to the system when they are done with, rather than into a pool
+pa.set_memory_pool(pa.system_memory_pool())
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -120,8 +124,6 @@ class Words:
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; null counts as empty."""
-    import pyarrow as pa
-
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
     column = column.cast(pa.large_string()).fill_null("")
