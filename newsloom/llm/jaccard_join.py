@@ -16,8 +16,8 @@ Exact: 100 |x & y| >= threshold |x | y| decides, on 64-bit hashes of the shingle
 Copies are never expanded into pairs; a list's cost is its length, and only unlike sets that share rare shingles meet.
 
 Defined cases: a text of fewer words than the shingle's is one shingle; null, empty and blank texts have no set and
-no link, and are their own component; rows with null id take part as links but have a null component when alone;
-an empty table gives an empty table.
+no link, and are their own component; rows with null id are only found as copies of others (else their component is
+null); rows that repeat an id come back each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -206,7 +206,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", word
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = common.settle(fingerprints(docs, words))
     reps = common.settle(prints.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    lists = postings(docs, blocks.measure(docs), words, threshold).repartition("token").dropDuplicates(["token", "h1", "n", "pos"])
+    # equal sets of different blocks send equal postings: they combine by all four columns, so no token is a hot key here
+    lists = common.settle(postings(docs, blocks.measure(docs), words, threshold).dropDuplicates(["token", "h1", "n", "pos"]))
     # only shingles that two sets have make lists; the leader is the set where the shingle comes first
     heads = lists.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min(F.struct("pos", "h1", "n")).alias("lead")).filter("lo <> hi")
     lists = common.settle(lists.join(heads.select("token", "lead"), "token").select("token", "block", "h1", "n", "pos", "lead"))
