@@ -107,19 +107,34 @@ def marked_windows(blocked: DataFrame, n_bytes: int, width: int = WIDTH, cells_p
                 many[bound[s] : bound[s + 1]] = np.unpackbits(np.frombuffer(answer[2 * int(s) + row], np.uint8), count=int(bound[s + 1] - bound[s]))
             seen &= many[back]
         keep = np.flatnonzero(seen)
+        # of a block's equal windows only the first can be the first of all: the others are marked here and don't travel as keys
+        order = np.lexsort((keep, h2[keep], h1[keep]))
+        x, y = h1[keep[order]], h2[keep[order]]
+        first = np.ones(len(order), bool)
+        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        later, keep = np.sort(keep[order[~first]]), np.sort(keep[order[first]])
         shard = (h1[keep] % np.uint64(n)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         keep, bound = keep[order], np.searchsorted(shard[order], np.arange(n + 1))
-        out = [(int(s), k := keep[bound[s] : bound[s + 1]]) for s in np.flatnonzero(np.diff(bound))]
+        out = [(int(s), keep[bound[s] : bound[s + 1]]) for s in np.flatnonzero(np.diff(bound))]
         block = table.column("block")[0].as_py()
-        return pa.table({
+        none = pa.table({"block": pa.array([block] * min(1, len(later)), pa.int32()), "shard": pa.array([block % n] * min(1, len(later)), pa.int32()), **{c: pa.array([b""] * min(1, len(later)), pa.binary()) for c in ("key", "more", "ids")}, "ords": pa.array([blocks.pack(later.astype(np.uint32))] * min(1, len(later)), pa.binary())})
+        sent = pa.table({
             "block": pa.array([block] * len(out), pa.int32()), "shard": pa.array([s for s, _ in out], pa.int32()),
             "key": pa.array([blocks.planes(h1[k]) for _, k in out], pa.binary()), "more": pa.array([blocks.planes(h2[k]) for _, k in out], pa.binary()),
             "ids": pa.array([blocks.pack(ids[k].astype(np.uint64)) for _, k in out], pa.binary()), "ords": pa.array([blocks.pack(k.astype(np.uint32)) for _, k in out], pa.binary()),
         })
+        return pa.concat_tables([sent, none])
 
     def group(table: pa.Table) -> pa.Table:
-        """Exact groups of windows: all but the first of each."""
+        """Exact groups of windows: all but the first of each. Rows without keys hold what a block has marked itself."""
+        import pyarrow.compute as pc
+
+        told = pc.equal(pc.binary_length(table.column("key")), 0)
+        own, table = table.filter(told), table.filter(pc.invert(told))
+        own = pa.table({"block": own.column("block"), "marked": own.column("ords")})
+        if not table.num_rows:
+            return own
         block = table.column("block").to_numpy()
         key, more = ([blocks.from_planes(x.as_py(), np.uint64) for x in table.column(c)] for c in ("key", "more"))
         ids = [blocks.unpack(x.as_py(), np.uint64) for x in table.column("ids")]
@@ -134,7 +149,8 @@ def marked_windows(blocked: DataFrame, n_bytes: int, width: int = WIDTH, cells_p
         src, ords = src[gone], ords[gone]
         bound = np.searchsorted(src, np.arange(len(block) + 1))
         which = np.flatnonzero(np.diff(bound))
-        return pa.table({"block": pa.array(block[which], pa.int32()), "marked": pa.array([blocks.pack(ords[bound[i] : bound[i + 1]]) for i in which], pa.binary())})
+        rest = pa.table({"block": pa.array(block[which], pa.int32()), "marked": pa.array([blocks.pack(ords[bound[i] : bound[i + 1]]) for i in which], pa.binary())})
+        return pa.concat_tables([rest, own])
 
     replies = blocked.groupBy("block").applyInArrow(sketch, "block int, shard int, cells binary, more binary").groupBy("shard").applyInArrow(merge, "block int, shard int, bits binary")
     passed = blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(candidates, "block int, shard int, key binary, more binary, ids binary, ords binary")
