@@ -17,8 +17,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines common to a source's documents go; every document stays."""
-    return line_dedup.remove_boilerplate(docs)
+    """Lines common to a source's documents go; every document stays.
+
+    Documents of one class of near copies, by the next stage's measure, are one page here: else a large group's whole
+    text would count as boilerplate, and the next stage would find nothing left to link.
+    """
+    found = jaccard_join.classes(docs, words=NEAR_WORDS, threshold=NEAR_THRESHOLD)
+    return line_dedup.remove_boilerplate(docs, copies=common.settle(found.filter("n_shingles > 0").select("doc_id", "component_id")))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,12 @@ A line is boilerplate on a host when the share of the host's pages that contain
 copy of it on that host goes. Lines are compared with surrounding spaces trimmed; blank lines are kept and never
 counted. Hosts with fewer than `min_pages` pages keep all their lines, since a share of very few pages says nothing.
 
+By default every row is a page. With `copies`, a class of copies or near copies is one page of a host, in a line's count
+and in the host's total, so that a text which only its own copies share isn't boilerplate.
+
 Defined cases: a null text stays null; an empty text stays empty; a null host is a host of its own; repeated rows
-are pages of their own; an empty table gives an empty table; other columns pass through untouched.
+are pages of their own (with `copies` one page); an empty table gives an empty table; other columns pass through untouched.
+With `copies`, rows without a class, such as those with a null id, share a page with rows of the same text.
 """
 
 from __future__ import annotations
@@ -27,25 +31,35 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
 
 
-def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: DataFrame | None = None) -> DataFrame:
     """(host, pages, lines): per host the keys of the lines on more than `max_ratio` of its pages.
 
     A host's list holds at most (lines a page) / max_ratio entries, whatever the number of pages.
-    Counts are combined before the shuffle, so a host with a third of all rows isn't a hot key.
+    Counts are combined before the shuffle, so a host with a third of all rows isn't a hot key. copies: (doc_id,
+    component_id); a class is made distinct by host and line first, which is combined before the shuffle too.
     """
-    rows = docs.select(F.col(host).alias("_host"), F.split(F.col(text), "\n").alias("_lines"))
-    pages = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    keys = F.array_distinct(F.transform(F.filter("_lines", lambda x: F.trim(x) != ""), _key))
-    counted = rows.select("_host", F.explode(keys).alias("_k")).select("_host", "_k.a", "_k.b").groupBy("_host", "a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    keys = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""), _key))
+    if copies is None:
+        pages = docs.select(F.col(host).alias("_host"))
+        # exploded as it is: of a named array Spark would infer a size filter that works out the keys twice
+        lines = docs.select(F.col(host).alias("_host"), F.explode(keys).alias("_k")).select("_host", "_k.a", "_k.b")
+    else:
+        rows = docs.select(F.col(host).alias("_host"), keys.alias("_keys"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_same"))
+        rows = rows.join(copies.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_class")), "_id", "left")
+        rows = rows.select("_host", "_keys", F.col("_class").isNull().alias("_lone"), F.coalesce("_class", "_same").alias("_page"))
+        pages = rows.select("_host", "_lone", "_page").distinct()
+        lines = rows.select("_host", "_lone", "_page", F.explode("_keys").alias("_k")).select("_host", "_lone", "_page", "_k.a", "_k.b").distinct()
+    pages = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    counted = lines.groupBy("_host", "a", "b").agg(F.count(F.lit(1)).alias("_n"))
     # the smallest count that can pass is known before the host's total is joined: it thins the lines that travel
     frequent = counted.filter(F.col("_n") > max_ratio * min_pages)
     kept = frequent.join(pages.filter(F.col("_pages") >= min_pages).withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
     return kept.filter(F.col("_n") > F.lit(max_ratio) * F.col("_pages")).groupBy("_host").agg(F.collect_list(F.struct("a", "b")).alias("_drop"))
 
 
-def remove_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False, copies: DataFrame | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of `text`; with `counts` also n_lines and n_dropped (long)."""
-    drop = common.settle(boilerplate(docs, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages))
+    drop = common.settle(boilerplate(docs, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages, copies=copies))
     size = drop.agg(F.sum(F.size("_drop"))).first()[0] or 0
     side = F.broadcast(drop) if size <= BROADCAST_LINES else drop
     lines = F.split(F.col(text), "\n")

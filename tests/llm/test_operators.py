@@ -204,6 +204,27 @@ def test_line_dedup(spark, empty):
     assert line_dedup.remove_boilerplate(empty).count() == 0
 
 
+def test_line_dedup_counts_copies_once(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(10))
+    first = [line() for _ in range(12)]
+    rows, own = [], {}
+    for i in range(90):
+        lines = first[:] if i < 45 else [line() for _ in range(6)]
+        if 15 <= i < 45:  # 0 to 14: exact copies; these: near copies
+            at = rng.randrange(12)
+            lines[at] = lines[at].replace("w", "v", 1)
+        own[i] = "\n".join(lines)
+        rows.append((i, "s", "\n".join(["site header", *lines, "site footer"] if i % 2 else lines)))
+    df = spark.createDataFrame([*rows, (None, "s", rows[0][2]), (None, "s", rows[0][2])], "doc_id long, source string, text string")
+    out = common.settle(corpus_pipeline.drop_boilerplate(spark, df, ""))
+    assert out.count() == 92 and {r.doc_id: r.text for r in out.filter("doc_id is not null").collect()} == own
+    left = {r.doc_id: r.text for r in corpus_pipeline.keep_one_of_each_class(spark, out.filter("doc_id is not null"), "").collect()}
+    assert left == {i: own[i] for i in [0, *range(45, 90)]}
+
+
 def test_decontamination(docs, rows, empty, spark):
     strip = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: strip.findall((t or "").translate(UP))
