@@ -1,6 +1,7 @@
 """Page parsing and project operators on small literals."""
 
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
@@ -35,3 +36,30 @@ def test_merges(spark):
         projects.risk_flags(F.lit(True), F.lit(False), F.lit(None), F.lit("x"), F.array(F.lit("archived"), F.lit("y"))).alias("f"),
     ).first()
     assert (r.u, r.p, r.f) == (["b", "a", "c"], "weekly", ["archived", "missing_license", "y"])
+
+
+def test_article_body_is_whole_by_source(spark):
+    long = "word " * 5000 + "end"
+    inner = f"<div><p>{long}</p></div><div>last</div>"
+    want = long + "\nlast"
+    pages_of = {
+        "google_deepmind_blog": f'<div class="rich-text">no</div><main><div class="a rich-text b">{inner}</div>x</main>',
+        "huggingface_blog": f"<!-- <div class='blog-content'>no</div> --><div class='blog-content'>{inner}</div><div>x</div>",
+        "openrouter_blog": f'<article>x<section class="prose-blog">{inner}</section>x</article>',
+        "google_research_blog": f"<main id=m>{inner}</main><p>x</p>",
+        "nvidia_ai_blog": f"<article-x>no</article-x><article>{inner}</article><article>x</article>",
+        "nvidia_ai_platforms_news": f'<div class="article-body-top">no</div><div class="article-body">{inner}</div><div>x</div>',
+        "google_blog_ai": f'<article><div class=rich-text>{inner}</div>x</article>',
+        "langchain_blog": f'<div class="blog-post-content">{inner}</div>x',
+        "google_developers_blog": f'<div class="rich-content">{inner}</div>x',
+        "ithome_ai_news": f'<div id="paragraph">{inner}</div>x',
+        "the_decoder_ai_news": f'<div class="entry-content">{inner}</div>x',
+        "hacker_news_ai": f"<article>short</article><main>{inner}</main>",
+        "techcrunch_ai": json.dumps({"content": {"rendered": inner}}),
+    }
+    rows = [*pages_of.items(), ("huggingface_blog_2", "<main>x</main>"), ("langchain_blog", "<p>x</p>"), ("techcrunch_ai", "{"), ("langchain_blog", None)]
+    got = spark.createDataFrame(rows, "s string, h string").select("s", pages.article_body(F.col("s"), F.col("h")).alias("t")).collect()
+    assert {r.s: r.t for r in got[: len(pages_of)]} == dict.fromkeys(pages_of, want)
+    assert [r.t for r in got[len(pages_of) :]] == [None] * 4
+    ids = spark.createDataFrame([("https://t.co/2024/?p=12",), ("https://t.co/9?a=1&p=34#p=5",), ("https://t.co/77",), ("https://t.co/?p=x&p=1",), (None,)], "u string")
+    assert [r[0] for r in ids.select(pages.wordpress_post_id(F.col("u"))).collect()] == [12, 34, None, None, None]
