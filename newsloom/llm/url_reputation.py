@@ -6,8 +6,15 @@ strength k comes from the counts themselves (moments of the beta-binomial over t
 blocked when the lower bound of its host's posterior, mean - z sd, exceeds `threshold`; hosts without labels take
 their nearest labelled ancestor's rate, spread as widely as the host prior.
 
+The public suffix is the last label, or the last two where a generic second level stands below a two-letter country
+code (co.uk, com.au, gov.uk). The registered domain is one label more. An IPv4 host is its own domain, below the
+suffix "ip"; user info and port don't count for either.
+
 Defined cases: null or scheme-less urls have empty host and path, fit no rule and are judged by the overall rate;
-null outcomes aren't counted; without any labels every page is allowed; repeated rows count as often as they stand.
+null outcomes aren't counted; without any labels every page is allowed; where the moments say nothing of a level's
+spread (all outcomes alike, one group, one page a group) its prior is as strong as priors may be, so its groups take
+their parent's rate; repeated rows count as often as they stand; an empty table gives an empty one; columns of pages
+named host, path, rule, verdict or bad_bound are replaced by the results, all others pass through.
 """
 
 from __future__ import annotations
@@ -19,8 +26,10 @@ from . import common
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 THRESHOLD, Z = 0.5, 1.64
-#: Suffixes of more than one label; parameter of the operator.
-LONG_SUFFIXES = ("co.uk", "com.au", "co.jp", "com.br")
+#: Second levels that are generic below a country code; parameter of the operator.
+GENERIC = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
+#: The hosts' table is broadcast up to so many rows; beyond it only hosts with more than a `HEAVY`-th of all pages are.
+BROADCAST_HOSTS, HEAVY = 200_000, 1000
 MIN_K, MAX_K = 1.0, 1000.0
 
 
@@ -44,13 +53,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def levels_of(host: Column, long_suffixes=LONG_SUFFIXES) -> tuple[Column, Column]:
-    """(registered domain, public suffix) of a host without its port."""
-    name = F.regexp_replace(host, r":[0-9]*$", "")
-    two = F.substring_index(name, ".", -2)
-    long = two.isin(*long_suffixes) if long_suffixes else F.lit(False)
-    suffix = F.when(long, two).otherwise(F.substring_index(name, ".", -1))
-    return F.when(long, F.substring_index(name, ".", -3)).otherwise(two), suffix
+def levels_of(host: Column, generic=GENERIC) -> tuple[Column, Column]:
+    """(registered domain, public suffix) of a host without its user info and port."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":[0-9]*$", "")
+    ip = name.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    last, two = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
+    long = (F.length(last) == 2) & F.substring_index(two, ".", 1).isin(*generic) & (two != last)
+    suffix = F.when(ip, "ip").when(long, two).otherwise(last)
+    return F.when(ip, name).when(long, F.substring_index(name, ".", -3)).otherwise(two), suffix
 
 
 def strength(groups: DataFrame) -> Column:
@@ -60,7 +70,7 @@ def strength(groups: DataFrame) -> Column:
     # sum of n (p - rate)^2 = sum of bad^2 / n - bad^2 / n over all
     spread = F.sum(F.col("bad") * F.col("bad") / F.col("n")) - bad * bad / n
     noise = rate * (1 - rate)
-    within = (spread - noise * (k - 1)) / (noise * (n - F.sum(F.col("n") * F.col("n")) / n - (k - 1)))
+    within = F.try_divide(spread - noise * (k - 1), noise * (n - F.sum(F.col("n") * F.col("n")) / n - (k - 1)))
     raw = F.when(within > 0, 1 / within - 1)
     return F.greatest(F.lit(MIN_K), F.least(F.lit(MAX_K), F.coalesce(raw, F.lit(MAX_K))))
 
@@ -86,25 +96,34 @@ def reputations(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
 
 
 def judge(pages: DataFrame, labelled: DataFrame, *, url: str = "url", rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """pages with host, path, rule, verdict and bad_bound (the posterior's lower bound). labelled: (host, bad).
-
-    The hosts' table may be large: it joins pages by key (sort-merge, split where AQE finds a hot host), or is
-    broadcast where AQE finds it below the session's threshold. Domains and suffixes join the hosts in pages only.
-    """
+    """pages with host, path, rule, verdict and bad_bound (the posterior's lower bound). labelled: (host, bad)."""
     hosts, domains, suffixes, overall = reputations(labelled)
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path})
-    rule, said = rule_of(F.col("host"), F.col("path"), rules)
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_page"), host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"))
     domain, suffix = levels_of(F.col("host"))
-    seen = rows.select("host").distinct().select("host", domain.alias("domain"), suffix.alias("suffix"))
+    seen = rows.groupBy(F.col("_host").alias("host")).agg(F.count(F.lit(1)).alias("pages")).select("host", "pages", domain.alias("domain"), suffix.alias("suffix"))
     known = seen.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left").crossJoin(F.broadcast(overall))
     up = F.coalesce("d_rate", "s_rate", "rate")
     a, b = F.coalesce("a", F.col("k_h") * up), F.coalesce("b", F.col("k_h") * (1 - up))
     mean = a / (a + b)
     bound = mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    scored = known.select("host", F.coalesce(bound, F.lit(0.0)).alias("bad_bound"))
-    out = rows.join(scored, "host", "left").withColumn("rule", rule)
-    return out.withColumn("verdict", F.coalesce(said, F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")))
+    scored = common.settle(known.select(F.col("host").alias("_h"), "pages", F.coalesce(bound, F.lit(0.0)).alias("_bound")))
+    out = _with_bounds(rows, scored)
+    rule, said = rule_of(F.col("_host"), F.col("_path"), rules)
+    verdict = F.coalesce(said, F.when(F.col("_bound") > threshold, "block").otherwise("allow"))
+    kept = [F.col(f"_page.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "bad_bound")]
+    return out.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), verdict.alias("verdict"), F.col("_bound").alias("bad_bound"))
+
+
+def _with_bounds(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """rows and their host's bound. Few hosts are broadcast; of many, the hot ones are (at most `HEAVY` can have more
+    than that share of the pages), so that no host's pages meet in one task, and the others join by key."""
+    size = scored.agg(F.count(F.lit(1)), F.sum("pages")).first()
+    if size[0] <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(scored), rows["_host"] == scored["_h"])
+    hot = F.broadcast(scored.filter(F.col("pages") * HEAVY > size[1]))
+    rest = scored.filter(F.col("pages") * HEAVY <= size[1])
+    there = F.col("_host") == F.col("_h")
+    return rows.join(hot, there).unionByName(rows.join(hot, there, "left_anti").join(rest, there))
 
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +138,13 @@ OP8_SQL = f"""
 WITH p AS (SELECT page_id, url,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{common.UPPER}', '{common.LOWER}') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-q AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM p),
+q AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM p),
 r AS (SELECT *, string_split(name, '.') AS parts FROM q),
-l2 AS (SELECT *, CASE WHEN len(parts) >= 2 THEN parts[len(parts) - 1] || '.' || parts[len(parts)] ELSE name END AS two FROM r),
+l2 AS (SELECT *, regexp_matches(name, '^[0-9]+(\\.[0-9]+){{3}}$') AS ip, CASE WHEN len(parts) >= 2 THEN parts[len(parts) - 1] || '.' || parts[len(parts)] ELSE name END AS two,
+    len(parts) >= 2 AND length(parts[len(parts)]) = 2 AND list_contains({list(GENERIC)}, parts[len(parts) - 1]) AS long FROM r),
 l AS (SELECT page_id, host, path,
-    CASE WHEN two IN ('co.uk', 'com.au', 'co.jp', 'com.br') AND len(parts) >= 3 THEN parts[len(parts) - 2] || '.' || two ELSE two END AS domain,
-    CASE WHEN two IN ('co.uk', 'com.au', 'co.jp', 'com.br') THEN two ELSE parts[len(parts)] END AS suffix FROM l2),
+    CASE WHEN ip THEN name WHEN long AND len(parts) >= 3 THEN parts[len(parts) - 2] || '.' || two ELSE two END AS domain,
+    CASE WHEN ip THEN 'ip' WHEN long THEN two ELSE parts[len(parts)] END AS suffix FROM l2),
 h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(1 - quality)::DOUBLE AS bad FROM l JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY 1, 2, 3),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
