@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir holds; a folder of our own is set only where it is unset, as in tests."""
+    """The session's spark.checkpoint.dir holds. Where it is unset, a local session gets a folder of its own; a cluster
+    has to name a shared one, since a machine's own folder is lost with the machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+
+
+#: A key is hot if it has more than so many rows and more than a `HEAVY`-th of all: there can be `HEAVY` of them at most.
+HOT_ROWS, HEAVY = 100_000, 1000
+
+
+def with_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with side's one row a key (inner or left). Hot keys' rows of side are broadcast, so that a key's rows
+    don't meet in one task; one grouping of rows by key finds them, combined before its shuffle."""
+    counted = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    most, total = counted.agg(F.max("_n"), F.sum("_n")).first()
+    if most is None or most <= max(HOT_ROWS, total // HEAVY):
+        return rows.join(side, key, how)
+    hot = settle(counted.filter(F.col("_n") > max(HOT_ROWS, total // HEAVY)).select(key))
+    few = F.broadcast(side.join(F.broadcast(hot), key))
+    rest = rows.join(F.broadcast(hot), key, "left_anti")
+    return rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how).unionByName(rest.join(side, key, how))
+
+
+def without(docs: DataFrame, gone: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs less the rows that `gone` names, (doc_id, same): same is xxhash64 of the text, null as empty. A null id is an id
+    like others, and rows that share an id are told apart by their texts. No name of docs clashes with the join's."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    named = gone.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"))
+    there = F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))) == F.col("_same"))
+    return rows.join(named, there, "left_anti").select("_row.*")
+
+
+def pair(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> list[Column]:
+    """The columns (doc_id, same) by which `without` knows a row."""
+    return [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("same")]
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -49,21 +85,22 @@ _BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.
 _LOWERED = _BYTE_VALUE.copy()
 _LOWERED[65:91] = _BYTE_VALUE[97:123]
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Arrays as long as a text's bytes or words are worked on in pieces of so many elements; words longer than `LONG` bytes
+#: are hashed by themselves. So what a worker keeps doesn't grow with its longest text.
+PIECE, LONG = 1 << 20, 1 << 14
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+def _power(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to PIECE and some more."""
+    if base not in _powers:
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
-            out = np.full(size, b, np.uint64)
+            out = np.full(PIECE + LONG + 2, b, np.uint64)
             out[0] = 1
             made.append(np.multiply.accumulate(out))
-        have = _powers[base] = (made[0], made[1])
-    return have
+        _powers[base] = (made[0], made[1])
+    return _powers[base]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -75,45 +112,83 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def rolling(values: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Hash of every run of `width` consecutive values."""
+    """Hash of every run of `width` consecutive values (width: LONG at most)."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _power(_BASES[which], len(values) + 1)
+    if n > PIECE:
+        return np.concatenate([rolling(values[a : a + PIECE + width - 1], width, which) for a in range(0, n, PIECE)])
+    up, down = _power(_BASES[which])
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return mix((sums[width:] - sums[:-width]) * down[:n], which + 1)
 
 
+def _pieces(data: np.ndarray):
+    """(start, end) of pieces of one text, cut before white space, PIECE long at most but for a longer word."""
+    at, n = 0, len(data)
+    while n - at > PIECE:
+        space = np.flatnonzero(_SPACE[data[at + 1 : at + PIECE]])
+        if len(space):
+            end = at + 1 + int(space[-1])
+        else:  # a word longer than a piece: up to its end
+            end = at + PIECE
+            while end < n and not len(space := np.flatnonzero(_SPACE[data[end : end + PIECE]])):
+                end = min(n, end + PIECE)
+            end = end if end >= n else end + int(space[0])
+        yield at, end
+        at = end
+    yield at, n
+
+
 class Words:
     """The words of a chunk of documents: starts, ends (bytes in `data`), the row of each, and 64-bit hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, seeds: int = 1):
         self.data, self.offsets = data, offsets
-        n = len(data)
-        word = ~_SPACE[data]
-        first = word.copy()
-        if n:
-            first[1:] &= ~word[:-1]
-            heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-            first[heads] = word[heads]
-            last = word.copy()
-            last[:-1] &= ~word[1:]
-            tails = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-            last[tails] = word[tails]
-            self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if len(data) <= PIECE:
+            self.starts, self.ends, self.hashes = self._scan(data, offsets, lower, seeds)
         else:
-            self.starts = self.ends = np.zeros(0, np.int64)
+            parts = []
+            for a, b in ((x + offsets[r], y + offsets[r]) for r in range(len(offsets) - 1) for x, y in _pieces(data[offsets[r] : offsets[r + 1]])):
+                s, e, h = self._scan(data[a:b], np.array([0, b - a]), lower, seeds)
+                parts.append((s + a, e + a, h))
+            self.starts, self.ends = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            self.hashes = [np.concatenate([p[2][k] for p in parts]) for k in range(seeds)]
         self.row = np.searchsorted(offsets, self.starts, side="right") - 1
         self.bounds = np.searchsorted(self.starts, offsets)  # words of row i: bounds[i] to bounds[i + 1]
-        values = (_LOWERED if lower else _BYTE_VALUE)[data]
-        self.hashes = []
+
+    @staticmethod
+    def _scan(data: np.ndarray, offsets: np.ndarray, lower: bool, seeds: int):
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * seeds
+        word = ~_SPACE[data]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+        first[heads] = word[heads]
+        last = word.copy()
+        last[:-1] &= ~word[1:]
+        tails = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+        last[tails] = word[tails]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        long = np.flatnonzero(ends - starts > LONG)
+        hashes = []
+        values = (_LOWERED if lower else _BYTE_VALUE)[data] if n <= PIECE + LONG else None
         for k in range(seeds):
-            up, down = _power(_BASES[k], n + 1)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(values * up[:n], out=sums[1:])
-            raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            self.hashes.append(mix(raw + (self.ends - self.starts).astype(np.uint64), k + 7))
+            if values is None:
+                h = np.zeros(len(starts), np.uint64)  # such a piece is one word, and long
+            else:
+                up, down = _power(_BASES[k])
+                sums = np.zeros(n + 1, np.uint64)
+                np.cumsum(values * up[:n], out=sums[1:])
+                h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64), k + 7)
+            for i in long:
+                raw = data[starts[i] : ends[i]].tobytes()
+                h[i] = xxhash.xxh64_intdigest(raw.lower() if lower else raw, k + 1)
+            hashes.append(h)
+        return starts, ends, hashes
 
     def windows(self, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of `width` words within one document."""
