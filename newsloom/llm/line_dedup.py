@@ -8,8 +8,9 @@ By default every row is a page. With `copies`, a class of copies or near copies
 and in the host's total, so that a text which only its own copies share isn't boilerplate.
 
 Defined cases: a null text stays null; an empty text stays empty; a null host is a host of its own; repeated rows
-are pages of their own (with `copies` one page); an empty table gives an empty table; other columns pass through untouched.
-With `copies`, rows without a class, such as those with a null id, share a page with rows of the same text.
+are pages of their own (with `copies` one page); an empty table gives an empty table; other columns pass through untouched,
+whatever their names, but that with `counts` columns named n_lines or n_dropped are replaced.
+With `copies`, rows without a class share a page with rows of the same text.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from . import common
 
 MAX_RATIO = 0.05
 MIN_PAGES = 20
-#: The boilerplate table is broadcast up to so many hosts' entries; beyond it the join shuffles.
-BROADCAST_LINES = 200_000
+#: The boilerplate table is broadcast up to so many entries; beyond it only hosts with more than a `HEAVY`-th of all pages
+#: are (at most `HEAVY` of them), so that no host's pages meet in one task, and the others join by host.
+BROADCAST_LINES, HEAVY = 200_000, 1000
 
 
 def _key(line: Column) -> Column:
@@ -32,11 +34,11 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: DataFrame | None = None) -> DataFrame:
-    """(host, pages, lines): per host the keys of the lines on more than `max_ratio` of its pages.
+    """(_host, _pages, _drop): per host its pages and the keys of the lines on more than `max_ratio` of its pages.
 
     A host's list holds at most (lines a page) / max_ratio entries, whatever the number of pages.
     Counts are combined before the shuffle, so a host with a third of all rows isn't a hot key. copies: (doc_id,
-    component_id); a class is made distinct by host and line first, which is combined before the shuffle too.
+    same: xxhash64 of the text, class), distinct; a class is made distinct by host and line first, which is combined before the shuffle too.
     """
     keys = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""), _key))
     if copies is None:
@@ -44,8 +46,10 @@ def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ma
         # exploded as it is: of a named array Spark would infer a size filter that works out the keys twice
         lines = docs.select(F.col(host).alias("_host"), F.explode(keys).alias("_k")).select("_host", "_k.a", "_k.b")
     else:
-        rows = docs.select(F.col(host).alias("_host"), keys.alias("_keys"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_same"))
-        rows = rows.join(copies.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_class")), "_id", "left")
+        doc_id, same = common.pair(docs, text=text)
+        rows = docs.select(F.col(host).alias("_host"), keys.alias("_keys"), doc_id.cast("long").alias("_id"), same.alias("_same"))
+        named = copies.select(F.col("doc_id").alias("_i"), F.col("same").alias("_s"), F.col("class").alias("_class"))
+        rows = rows.join(named, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_same") == F.col("_s")), "left")
         rows = rows.select("_host", "_keys", F.col("_class").isNull().alias("_lone"), F.coalesce("_class", "_same").alias("_page"))
         pages = rows.select("_host", "_lone", "_page").distinct()
         lines = rows.select("_host", "_lone", "_page", F.explode("_keys").alias("_k")).select("_host", "_lone", "_page", "_k.a", "_k.b").distinct()
@@ -54,22 +58,26 @@ def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ma
     # the smallest count that can pass is known before the host's total is joined: it thins the lines that travel
     frequent = counted.filter(F.col("_n") > max_ratio * min_pages)
     kept = frequent.join(pages.filter(F.col("_pages") >= min_pages).withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
-    return kept.filter(F.col("_n") > F.lit(max_ratio) * F.col("_pages")).groupBy("_host").agg(F.collect_list(F.struct("a", "b")).alias("_drop"))
+    return kept.filter(F.col("_n") > F.lit(max_ratio) * F.col("_pages")).groupBy("_host").agg(F.max("_pages").alias("_pages"), F.collect_list(F.struct("a", "b")).alias("_drop"))
 
 
 def remove_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False, copies: DataFrame | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of `text`; with `counts` also n_lines and n_dropped (long)."""
     drop = common.settle(boilerplate(docs, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages, copies=copies))
     size = drop.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    side = F.broadcast(drop) if size <= BROADCAST_LINES else drop
-    lines = F.split(F.col(text), "\n")
-    listed = docs.join(side, F.col(host).eqNullSafe(F.col("_host")), "left").withColumn("_lines", lines)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(host).alias("_at"), F.col(text).alias("_text"))
+    there = F.col("_at").eqNullSafe(F.col("_host"))
+    if size <= BROADCAST_LINES:
+        listed = rows.join(F.broadcast(drop), there, "left")
+    else:
+        hot = F.broadcast(drop.filter(F.col("_pages") * HEAVY > docs.count()))
+        listed = rows.join(hot, there).unionByName(rows.join(hot, there, "left_anti").join(drop, there, "left"))
+    listed = listed.select("_row", "_drop", F.split("_text", "\n").alias("_lines"))
     left = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", _key(x))))
-    out = listed.withColumn("_left", left)
-    cols = [F.array_join("_left", "\n").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    if counts:
-        cols += [F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long").alias("n_dropped")]
-    return out.select(*cols)
+    out = listed.select("_row", "_lines", left.alias("_left"))
+    more = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long")} if counts else {}
+    cols = [F.array_join("_left", "\n").alias(text) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in more]
+    return out.select(*cols, *(c.alias(n) for n, c in more.items()))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Features of a whole text: densities and counts of a fixed and of a learned lexicon, the densest stretch, hits close to
 second-person words, capitals, punctuation, exclamation, obfuscated words and lexicon words behind obfuscation, length.
 The learned lexicon, the trees and the calibration come from labelled rows outside the held-out fold; of those at most
-`MAX_ROWS` are used (the ones with the smallest hash of the id): a classifier gains nothing from more. The calibration
-uses a fold that the trees haven't seen. Labels, language, source and id are no features.
+`MAX_ROWS` are used (the ones with the smallest hash of the id, of rows that share an id the one with the smallest hash
+of its text): a classifier gains nothing from more. The calibration uses a fold that the trees haven't seen; where that
+fold has no rows of both classes, it uses the rows that the trees have. Labels, language, source and id are no features.
 
 Defined cases: null text counts as empty; empty texts get features of zeros and so a score; rows whose label or id is
 null aren't learned from; without rows of both classes every score is the labelled rate (0 without labels); repeated
-rows are scored each.
+rows are scored each; a row with null id isn't held out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -113,17 +114,18 @@ class Model:
     def __init__(self, learned=(), trees=None, calibration=None, rate: float = 0.0):
         self.learned, self.trees, self.calibration, self.rate = list(learned), trees, calibration, rate
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns `keep` of docs, and _score."""
+    def score(self, docs: DataFrame, keep: list[str], name: str = "_score") -> DataFrame:
+        """The columns `keep` of docs, and the score as `name`; a column of docs with that name is replaced."""
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
+        keep = [c for c in keep if c != name]
         if self.trees is None:
-            return docs.select(*keep, F.lit(float(self.rate)).alias("_score"))
-        rows = docs.select(F.struct(*keep).alias("_row"), "text")  # no name of docs meets one of the model's
+            return docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(float(self.rate)).alias(name))
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), "text")  # no name of docs meets one of the model's
         rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows, self.learned, ["_row"])).select("_row", "features")
         raw = self.trees.transform(rows).select("_row", vector_to_array("probability")[1].alias("raw"))
-        return self.calibration.transform(raw).select("_row.*", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("_score"))
+        return self.calibration.transform(raw).select("_row.*", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias(name))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
@@ -137,7 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     chosen = labels.filter("toxic is not null and doc_id is not null").filter(fold != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # labels beyond the bound stay out before texts are read; the sample is small, so its join broadcasts
     ids = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = common.settle(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").withColumn("fold", fold))
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    # of an id's rows one; its text travels only within the sample
+    one = named.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r"))
+    rows = common.settle(one.select("doc_id", "r.text", "r.toxic").withColumn("fold", fold))
     seen = {r["toxic"]: r["count"] for r in rows.filter(F.col("fold") != CALIBRATION).groupBy("toxic").count().collect()}
     if not seen.get(0) or not seen.get(1):
         return Model(rate=seen.get(1, 0) / max(1, sum(seen.values())))
@@ -146,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     table = common.settle(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table).select("toxic", "fold", "features")).coalesce(4)
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=15, maxDepth=3, stepSize=0.3, seed=7, minInstancesPerNode=5).fit(table.filter(F.col("fold") != CALIBRATION))
     rest = table.filter(F.col("fold") == CALIBRATION)
-    held = trees.transform(rest if not rest.isEmpty() else table).select("toxic", vector_to_array("probability")[1].alias("raw"))
+    both = rest.agg(F.countDistinct("toxic")).first()[0] == 2
+    held = trees.transform(rest if both else table).select("toxic", vector_to_array("probability")[1].alias("raw"))
     calibration = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="score").fit(held)
     return Model(learned, trees, calibration)
 
@@ -155,4 +161,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     scored = model.score(docs, ["doc_id"])
-    return scored.select("doc_id", (common.crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(common.crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
