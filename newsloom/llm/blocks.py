@@ -1,13 +1,22 @@
 """Documents in blocks, and questions from blocks to shards of a key space.
 
 Statistics over very many keys (word counts, window counts) are too large for one machine and too many for one row
-each. So documents are dealt into blocks by id; a block sends each shard of the key space one row: a sorted array of
-its distinct keys there. A shard sees all blocks' keys, works out what is asked, and sends each block one row back, by
-position in what the block sent. Blocks and shards are sized by bytes and keys, so their number grows with the input.
+each. So documents are dealt into blocks; a block asks about its distinct keys, sorted, in packed arrays, one row for
+each lane of the key space; a shard adds up what all blocks sent, works out the answers, and each block gets one row a
+lane back, in the order of what it sent. Blocks and shards are sized by bytes and keys, so their number grows with the
+input.
+
+Up to `FAN` shards a lane is a shard. Beyond that the exchange has two levels: blocks stand in at most `FAN` groups and
+shards in at most `FAN` lanes; a task for each group and lane merges its blocks' questions, asks the shards of its lane
+and hands the answers on. So a block sends `FAN` rows at most and a shard receives `FAN` rows at most: the number of
+rows grows as blocks plus shards do, in proportion to the input, and never as their product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +25,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 3 << 20
 SHARD_KEYS = 1 << 20
 LEAST_BLOCKS = 48
+#: Most rows that a block sends or a shard receives.
+FAN = 2048
 
 
 def measure(docs: DataFrame, text: str = "text") -> int:
@@ -23,42 +34,218 @@ def measure(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def in_blocks(docs: DataFrame, n_bytes: int, *, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_id, text). A document's rows fall into one block; its bytes bound what a task holds at once."""
-    n = max(LEAST_BLOCKS, -(-n_bytes // block_bytes))
-    return docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+@dataclass(frozen=True)
+class Plan:
+    blocks: int
+    shards: int
+    fan: int
+
+    @property
+    def per_lane(self) -> int:
+        return -(-self.shards // self.fan)
+
+    @property
+    def per_group(self) -> int:
+        return -(-self.blocks // self.fan)
 
+    @property
+    def lanes(self) -> int:
+        return -(-self.shards // self.per_lane)
 
-def shards_for(n_keys: int, shard_keys: int = SHARD_KEYS) -> int:
-    return max(LEAST_BLOCKS, -(-n_keys // shard_keys))
+    @property
+    def direct(self) -> bool:
+        return self.per_lane == 1 and self.per_group == 1
 
 
-def pack(sorted_values: np.ndarray) -> bytes:
-    """Sorted uint32 or uint64 values as differences in byte planes, of which the shuffle's compressor drops the empty ones."""
-    if not len(sorted_values):
-        return b""
-    steps = np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T).tobytes()
+def plan(n_bytes: int, n_keys: int, *, block_bytes: int | None = None, shard_keys: int | None = None, fan: int | None = None) -> Plan:
+    """How many blocks and shards so many bytes of text with so many keys take."""
+    return Plan(max(LEAST_BLOCKS, -(-n_bytes // (block_bytes or BLOCK_BYTES))), max(LEAST_BLOCKS, -(-n_keys // (shard_keys or SHARD_KEYS))), fan or FAN)
 
 
-def unpack(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    if not data:
-        return np.zeros(0, kind)
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
-    return np.cumsum(steps, dtype=kind)
+def in_blocks(docs: DataFrame, blocks: int, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(block, doc_id, text). Dealt by id and text, so that neither null nor repeated ids crowd a block."""
+    return docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
+# ---- arrays as bytes ---------------------------------------------------------------------------
+
 def planes(values: np.ndarray) -> bytes:
-    """Values in any order, in byte planes."""
+    """Values in any order, in byte planes, of which the shuffle's compressor drops the empty ones; booleans as bits."""
+    if values.dtype == bool:
+        return np.packbits(values).tobytes()
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
 
 
-def from_planes(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel() if data else np.zeros(0, kind)
+def from_planes(data: bytes, n: int, kind=None) -> np.ndarray:
+    """n values; their width in bytes is that of the data, or they are booleans."""
+    if kind is bool:
+        return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+    width = len(data) // n if n else 8
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"u{width}").ravel() if n else np.zeros(0, np.uint64)
+
+
+def pack(ordered: np.ndarray) -> bytes:
+    """Ordered values as differences in byte planes."""
+    return planes(np.diff(ordered, prepend=ordered.dtype.type(0))) if len(ordered) else b""
 
 
-def by_shard(shard: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of each shard's run in an array sorted by shard."""
-    return np.searchsorted(shard, np.arange(n + 1))
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, len(data) // 8), dtype=np.uint64) if data else np.zeros(0, np.uint64)
+
+
+# ---- the exchange ------------------------------------------------------------------------------
+
+#: The block of rows that are for nobody: what `tally` made.
+TALLY = -1
+FIELDS = "block int, lane int, cols array<binary>, note binary"
+
+
+def _table(rows):
+    import pyarrow as pa
+
+    kinds = {"block": pa.int32(), "lane": pa.int32(), "cols": pa.list_(pa.binary()), "note": pa.binary()}
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+
+
+def block_of(table) -> int:
+    return table.column("block")[0].as_py()
+
+
+def _merged(keys: list[np.ndarray], values: list[np.ndarray], least: bool):
+    """(distinct keys in order, their values added up or the least ones, place of each input's key, the input that is first)."""
+    order = np.lexsort([*(values[::-1] if least else ()), *keys[::-1]]) if len(keys) > 1 or least else np.argsort(keys[0], kind="stable")
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    if least:
+        values = [v[order[at]] for v in values]
+    else:
+        values = [np.add.reduceat(v[order].astype(np.uint64), at) if len(at) else v.astype(np.uint64) for v in values]
+    return [k[at] for k in keys], values, place, order[at]
+
+
+class Exchange:
+    """Questions about keys below `span` (by their first column) and their answers.
+
+    keys: how many uint64 columns make a key; they come in order and distinct within a block. Values are unsigned
+    integers. By default they are added up over all blocks, and `answer` gets distinct keys in order with their sums
+    and returns an array for each of `replies` (kinds). With `least`, the reply says whether the block's own values are
+    the least of all blocks' for the key. A block's `note` on a lane comes back to it untouched. `tally`, of a shard's
+    keys and sums, makes the note of a row of the block TALLY.
+    """
+
+    def __init__(self, plan: Plan, span: int, keys: int, replies: tuple, answer: Callable | None = None, least: bool = False, tally: Callable | None = None):
+        self.plan, self.keys, self.replies, self.answer, self.least, self.tally = plan, keys, (bool,) if least else replies, answer, least, tally
+        self.width = -(-span // plan.shards)
+
+    def _bounds(self, first: np.ndarray, width: int, lo: int, hi: int) -> list[int]:
+        """Where runs of `width` keys begin, for the runs from lo to hi."""
+        cuts = [i * width for i in range(lo + 1, hi)]
+        inner = np.searchsorted(first, np.array([min(c, (1 << 64) - 1) for c in cuts], np.uint64)).tolist() if cuts else []
+        return [0, *inner, len(first)]
+
+    def _lanes(self, first: np.ndarray) -> list[int]:
+        return self._bounds(first, self.width * self.plan.per_lane, 0, self.plan.lanes)
+
+    def ask(self, block: int, keys: list[np.ndarray], values: list[np.ndarray], note: Callable[[int, int], bytes] | None = None, own: bytes | None = None):
+        """A block's questions. note: bytes for the run of keys from one place to another; own: bytes for the block, with no keys."""
+        at, rows = self._lanes(keys[0]), []
+        for lane, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            if a < b:
+                rows.append((block, lane, [pack(keys[0][a:b]), *(planes(x[a:b]) for x in (*keys[1:], *values))], note(a, b) if note else None))
+        if own is not None:
+            rows.append((block, block % self.plan.lanes, [], own))
+        return _table(rows)
+
+    def _open(self, table):
+        """(blocks, lanes, notes, cut points, keys, values) of rows with keys."""
+        cols = table.column("cols").to_pylist()
+        first = [unpack(c[0]) for c in cols]
+        rest = [[from_planes(x, len(f)) for x in c[1:]] for c, f in zip(cols, first, strict=True)]
+        cut = np.cumsum([0, *(len(f) for f in first)])
+        every = [np.concatenate(first), *(np.concatenate(x) for x in zip(*rest, strict=True))] if first else []
+        return table.column("block").to_pylist(), table.column("lane").to_pylist(), table.column("note").to_pylist(), cut, every[: self.keys], every[self.keys :]
+
+    def _apart(self, table):
+        """(rows without keys, rows with keys)."""
+        import pyarrow.compute as pc
+
+        bare = pc.equal(pc.list_value_length(table.column("cols")), 0)
+        return table.filter(bare), table.filter(pc.invert(bare))
+
+    def _serve(self, table):
+        import pyarrow as pa
+
+        own, table = self._apart(table)
+        if not table.num_rows:
+            return own
+        block, lane, note, cut, keys, values = self._open(table)
+        keys, values, place, first = _merged(keys, values, self.least)
+        if self.least:
+            told = [np.isin(np.arange(len(place)), first)]
+        else:
+            told = [x[place] for x in self.answer(keys, values)]
+        rows = [(b, ln, [planes(x[cut[i] : cut[i + 1]].astype(k)) for x, k in zip(told, self.replies, strict=True)], n) for i, (b, ln, n) in enumerate(zip(block, lane, note, strict=True))]
+        if self.tally:
+            rows.append((TALLY, lane[0], [], self.tally(keys, values)))
+        return pa.concat_tables([_table(rows), own])
+
+    def run(self, asked: DataFrame) -> DataFrame:
+        """(block, lane, cols, note): the replies to the rows of `ask`."""
+        p = self.plan
+        serve = lambda table: self._serve(table)  # noqa: E731  Spark counts a method's self as an argument
+        if p.direct:
+            return asked.groupBy("lane").applyInArrow(serve, FIELDS)
+        asked = asked.withColumn("grp", F.floor(F.col("block") / p.per_group).cast("int"))
+
+        def gather(table):
+            """The questions of a group's blocks on one lane, merged, to the lane's shards."""
+            _, table = self._apart(table.select(["block", "lane", "cols", "note", "grp"]))
+            if not table.num_rows:
+                return _table([])
+            grp, ln = table.column("grp")[0].as_py(), table.column("lane")[0].as_py()
+            keys, values, _, _ = _merged(*self._open(table)[4:], self.least)
+            lo, hi = ln * p.per_lane, min((ln + 1) * p.per_lane, p.shards)
+            at = self._bounds(keys[0], self.width, lo, hi)
+            return _table([(grp, lo + i, [pack(keys[0][a:b]), *(planes(x[a:b]) for x in (*keys[1:], *values))], None) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b])
+
+        def hand_on(table, told):
+            import pyarrow as pa
+
+            own, table = self._apart(table.select(["block", "lane", "cols", "note"]))
+            if not table.num_rows:
+                tallies = [(TALLY, 0, [], n) for g, n in zip(told.column("grp").to_pylist(), told.column("note").to_pylist(), strict=True) if g == TALLY]
+                return pa.concat_tables([own, _table(tallies)])
+            block, lane, note, cut, keys, values = self._open(table)
+            keys, _, place, first = _merged(keys, values, self.least)
+            ln = lane[0]
+            at = self._bounds(keys[0], self.width, ln * p.per_lane, min((ln + 1) * p.per_lane, p.shards))
+            rows = dict(zip(told.column("shard").to_pylist(), told.column("cols").to_pylist(), strict=True))
+            parts = [(rows[ln * p.per_lane + i], b - a) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+            reply = [np.concatenate([from_planes(r[j], n, k if k is bool else None) for r, n in parts])[place] for j, k in enumerate(self.replies)]
+            if self.least:
+                reply[0] &= np.isin(np.arange(len(place)), first)
+            out = [(b, ln, [planes(x[cut[i] : cut[i + 1]].astype(k)) for x, k in zip(reply, self.replies, strict=True)], n) for i, (b, n) in enumerate(zip(block, note, strict=True))]
+            return pa.concat_tables([_table(out), own])
+
+        merged = asked.groupBy("grp", "lane").applyInArrow(gather, FIELDS)
+        told = merged.groupBy("lane").applyInArrow(serve, FIELDS).select(F.col("block").alias("grp"), F.floor(F.col("lane") / p.per_lane).cast("int").alias("lane"), F.col("lane").alias("shard"), "cols", "note")
+        return asked.groupBy("grp", "lane").cogroup(told.groupBy("grp", "lane")).applyInArrow(hand_on, FIELDS)
+
+    def read(self, replies, first: np.ndarray) -> list[np.ndarray]:
+        """The answers to a block's keys, in their order. first: the keys' first column; replies: the block's rows."""
+        _, replies = self._apart(replies)
+        rows = dict(zip(replies.column("lane").to_pylist(), replies.column("cols").to_pylist(), strict=True))
+        at = self._lanes(first)
+        parts = [(rows[i], b - a) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+        return [np.concatenate([np.zeros(0, k), *(from_planes(r[j], n, k if k is bool else None) for r, n in parts)]) for j, k in enumerate(self.replies)]
+
+    def notes(self, replies) -> tuple[list[bytes], list[bytes]]:
+        """(the notes on a block's lanes in order, the block's own)."""
+        own, replies = self._apart(replies)
+        rows = sorted(zip(replies.column("lane").to_pylist(), replies.column("note").to_pylist(), strict=True))
+        return [n for _, n in rows], own.column("note").to_pylist()

@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie in memory-mapped arrays, all queries vectorised."""
+"""Elias-Fano sequences and a trie of contexts and followers in memory-mapped arrays, all queries vectorised."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ import tempfile
 import numpy as np
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: _ZERO[b, r]: place of the r-th zero bit of byte b, lowest first.
-_ZERO = np.full((256, 8), 8, np.uint8)
+#: _ZERO[b, r], _ONE[b, r]: place of the r-th zero or one of byte b, lowest first.
+_ZERO, _ONE = np.full((256, 8), 8, np.uint8), np.full((256, 8), 8, np.uint8)
 for _b in range(256):
-    for _r, _p in enumerate([i for i in range(8) if not _b >> i & 1]):
-        _ZERO[_b, _r] = _p
+    for _table, _bit in ((_ZERO, 0), (_ONE, 1)):
+        for _r, _p in enumerate([i for i in range(8) if (_b >> i & 1) == _bit]):
+            _table[_b, _r] = _p
 
 
 def mapped(array: np.ndarray) -> np.ndarray:
@@ -23,25 +24,55 @@ def mapped(array: np.ndarray) -> np.ndarray:
     return np.memmap(f, array.dtype, "r", shape=array.shape)
 
 
+class Bits:
+    """Integers of `width` bits each, side by side."""
+
+    def __init__(self, values: np.ndarray, width: int):
+        self.width = width
+        if width:
+            parts = []
+            for a in range(0, len(values), 1 << 16):  # a multiple of 8 values, so that parts end at bytes
+                part = values[a : a + (1 << 16)].astype(np.uint64)
+                parts.append(np.packbits(((part[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little"))
+            raw = np.concatenate([*parts, np.zeros(16, np.uint8)])
+            self.words = mapped(raw[: len(raw) // 8 * 8].view(np.uint64))
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(i), np.uint64)
+        bit = i.astype(np.uint64) * np.uint64(self.width)
+        word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        out = self.words[word] >> off
+        split = off > np.uint64(64 - self.width)
+        out[split] |= self.words[word[split] + 1] << (np.uint64(64) - off[split])
+        return out & np.uint64((1 << self.width) - 1)
+
+
 class EliasFano:
-    """A monotone sequence below `u`: low bits packed, high parts in unary, with zeros counted ahead of each byte."""
+    """A monotone sequence below `u`: low bits side by side, high parts in unary, with ones and zeros counted ahead of each byte."""
 
     def __init__(self, values: np.ndarray, u: int):
         self.n, self.u = len(values), max(1, int(u))
         self.l = max(0, (self.u // max(1, self.n)).bit_length() - 1)
         values = values.astype(np.uint64)
-        low = values & np.uint64((1 << self.l) - 1)
-        self.kind = np.uint8 if self.l <= 8 else np.uint16 if self.l <= 16 else np.uint32 if self.l <= 32 else np.uint64
-        self.low = mapped(low.astype(self.kind))
+        self.low = Bits(values & np.uint64((1 << self.l) - 1), self.l)
         high = (values >> np.uint64(self.l)).astype(np.int64)
         self.buckets = (self.u >> self.l) + 1
         bits = np.zeros(-(-(self.n + self.buckets + 1) // 8) * 8, np.uint8)
         bits[high + np.arange(self.n)] = 1
         packed = np.packbits(bits, bitorder="little")
         self.bits = mapped(packed)
-        zeros = np.zeros(len(packed) + 1, np.int64)
-        np.cumsum(8 - _ONES[packed].astype(np.int64), out=zeros[1:])
-        self.zeros = mapped(zeros.astype(np.uint32) if zeros[-1] < 1 << 32 else zeros)
+        ones = np.zeros(len(packed) + 1, np.int64)
+        np.cumsum(_ONES[packed], out=ones[1:])
+        zeros = 8 * np.arange(len(ones)) - ones
+        small = np.uint32 if 8 * len(packed) < 1 << 32 else np.int64
+        self.ones, self.zeros = mapped(ones.astype(small)), mapped(zeros.astype(small))
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        """Values by index: the place of the i-th one, less the ones before it, is the high part."""
+        byte = np.searchsorted(self.ones, i, side="right") - 1
+        place = byte * 8 + _ONE[self.bits[byte], i - self.ones[byte].astype(np.int64)]
+        return ((place - i).astype(np.uint64) << np.uint64(self.l)) | self.low[i]
 
     def _before(self, bucket: np.ndarray) -> np.ndarray:
         """How many values have a high part below each bucket: the place of its preceding zero, less the zeros."""
@@ -49,28 +80,30 @@ class EliasFano:
         some = bucket > 0
         k = bucket[some] - 1  # the k-th zero, from 0
         byte = np.searchsorted(self.zeros, k, side="right") - 1
-        place = byte * 8 + _ZERO[self.bits[byte], k - self.zeros[byte].astype(np.int64)]
-        out[some] = place - k
+        out[some] = byte * 8 + _ZERO[self.bits[byte], k - self.zeros[byte].astype(np.int64)] - k
         return out
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each x: the index of the first value not below it (n if none), and whether that value is x."""
+    def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each x: the index of the first value not below it (n if none), and whether that value is x; sought from lo to hi where given."""
         x = x.astype(np.uint64)
         high = np.minimum((x >> np.uint64(self.l)).astype(np.int64), self.buckets - 1)
-        low = (x & np.uint64((1 << self.l) - 1)).astype(self.kind)
-        lo, hi = self._before(high), self._before(high + 1)
-        end = hi.copy()
-        open_ = np.flatnonzero(lo < hi)
+        low = x & np.uint64((1 << self.l) - 1)
+        a, b = self._before(high), self._before(high + 1)
+        if lo is not None:
+            a, b = np.maximum(a, lo), np.minimum(b, hi)
+            b = np.maximum(a, b)
+        end = b.copy()
+        open_ = np.flatnonzero(a < b)
         while len(open_):  # halving within the bucket
-            mid = (lo[open_] + hi[open_]) // 2
+            mid = (a[open_] + b[open_]) // 2
             less = self.low[mid] < low[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+            open_ = open_[a[open_] < b[open_]]
         found = np.zeros(len(x), bool)
-        inside = lo < end
-        found[inside] = self.low[lo[inside]] == low[inside]
-        return lo, found & (x < np.uint64(self.u))
+        inside = a < end
+        found[inside] = self.low[a[inside]] == low[inside]
+        return a, found & (x < np.uint64(min(self.u, (1 << 64) - 1)))
 
 
 #: Quantised log10 probabilities: 16 bits over this many decades; 0 stands for none.
@@ -89,32 +122,33 @@ def restore(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Contexts, pointers into their followers, followers; a probability a follower and a back-off weight a context.
+    """Contexts; pointers to where each one's followers begin; followers. A follower has its smoothed probability, count
+    / (total + prior), and a context its back-off weight, prior / (total + prior).
 
-    Followers are stored as one monotone sequence: each context's ids are raised by the last value of the one before,
-    so that a successor search for a raised id stays within its context.
+    Followers are one monotone sequence: each context's words are raised beyond the last value of the context before,
+    which is found through the pointers. A follower is sought from its context's pointer to the next one.
     """
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray):
-        """Parallel arrays, sorted by context then word; all counts positive."""
-        n1, n2 = int((count == 1).sum()), int((count == 2).sum())
-        self.discount = min(0.98, n1 / (n1 + 2 * n2)) if n1 else 0.5
-        starts = np.flatnonzero(np.diff(context, prepend=-1)) if len(context) else np.zeros(0, np.int64)
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, prior: float):
+        """Parallel arrays, sorted by context (uint64) then word (from 0); all counts positive."""
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        starts = np.flatnonzero(new)
         sizes = np.diff(starts, append=len(context))
         total = np.add.reduceat(count, starts) if len(starts) else np.zeros(0, np.int64)
         which = np.repeat(np.arange(len(starts)), sizes)
-        p = (count - self.discount) / total[which] if len(count) else np.zeros(0)
-        self.probability, self.backoff = mapped(quantise(p)), mapped(quantise(self.discount * sizes / np.maximum(1, total)))
-        self.contexts = EliasFano(context[starts], int(context[-1]) + 1 if len(context) else 1)
-        last = word[starts + sizes - 1] + 1 if len(starts) else np.zeros(0, np.int64)
-        self.base = np.concatenate([[0], np.cumsum(last)]).astype(np.int64)
-        self.pointers = EliasFano(self.base, int(self.base[-1]) + 1)
-        self.followers = EliasFano(word + self.base[which] if len(word) else word, int(self.base[-1]) + 1)
-        self.base = mapped(self.base)
+        self.probability, self.backoff = mapped(quantise(count / (total[which] + prior))), mapped(quantise(prior / (total + prior)))
+        self.first = context[0] if len(context) else np.uint64(0)
+        apart = context[starts] - self.first
+        self.contexts = EliasFano(apart, int(apart[-1]) + 1 if len(apart) else 1)
+        self.pointers = EliasFano(np.append(starts, len(context)), len(context) + 1)
+        base = np.concatenate([[0], np.cumsum(word[starts + sizes - 1] + 1)]).astype(np.int64) if len(starts) else np.zeros(1, np.int64)
+        self.followers = EliasFano(word + base[which] if len(word) else word, int(base[-1]) + 1)
 
     def contexts_of(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index, back-off code; 0 where the context is unknown) of each."""
-        at, known = self.contexts.successor(context)
+        """(index, or -1 where the context is unknown; back-off code, 0 there) of each."""
+        at, known = self.contexts.successor(context - self.first)
+        known &= context >= self.first
         code = np.zeros(len(context), np.uint16)
         code[known] = self.backoff[at[known]]
         return np.where(known, at, -1), code
@@ -123,9 +157,10 @@ class Trie:
         """Probability codes of followers of contexts by index; 0 where there is none."""
         out = np.zeros(len(word), np.uint16)
         known = np.flatnonzero(at >= 0)
-        raised = self.base[at[known]] + word[known]
-        within = raised < self.base[at[known] + 1]
-        known, raised = known[within], raised[within]
-        place, found = self.followers.successor(raised)
+        lo, hi = (self.pointers[at[known] + i].astype(np.int64) for i in (0, 1))
+        base = np.zeros(len(known), np.int64)
+        some = lo > 0
+        base[some] = self.followers[lo[some] - 1].astype(np.int64) + 1
+        place, found = self.followers.successor(base + word[known], lo, hi)
         out[known[found]] = self.probability[place[found]]
         return out

@@ -1,14 +1,25 @@
-"""Language-model scores from a sharded n-gram trie.
+"""Language-model scores from a sharded trigram trie.
 
-Words get their training counts first. Documents stand in blocks; a block sends its distinct words to the shards of
-the vocabulary and gets their counts and ids back (and every shard's totals). Then its distinct bigrams, as pairs of
-ids, go to the shards of contexts; a shard adds up the training counts, builds its trie (Elias-Fano levels for
-contexts, pointers and followers, 16-bit probabilities and back-off weights, in memory-mapped arrays) and answers each
-block's bigrams by successor search within the context. Nothing of the model is on one machine: words, bigrams and
-tries are dealt out by hash, and their number of shards grows with the input.
+Words get their training counts first: documents stand in blocks; a block asks the shards of the vocabulary about its
+distinct words and gets their counts and ids. Then it asks the shards of contexts about its distinct trigrams: a
+context is the two words before, one 64-bit hash of their ids, and its follower a word id. A shard adds up the training
+counts and builds its trie (Elias-Fano levels of contexts, pointers and followers; 16-bit smoothed probabilities and
+back-off weights; all in memory-mapped arrays) and answers by successor search within the context's pointers. Nothing
+of the model is on one machine, and its number of shards grows with the input.
 
-p(w | v) = max(c(v, w) - D, 0) / c(v) + D T(v) / c(v) p(w), with T(v) distinct followers, D = n1 / (n1 + 2 n2) of the
-shard, p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). A text starts after an end. Unknown contexts back off with weight 1.
+Every level is a mixture with the one below, with a prior of `PRIORS` observations (Dirichlet smoothing):
+
+    p(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | v)   = (c(v w) + k2 p(w)) / (c(v) + k2)
+    p(w | u v) = (c(u v w) + k3 p(w | v)) / (c(u v) + k3)
+
+A text starts after two starts, which are no tokens. The trie stores c(u v w) / (c(u v) + k3) and k3 / (c(u v) + k3). A bigram's count is its
+count as a context, so bigrams need no exchange of their own: the answer to the trigram that follows holds it, and the
+end of a text is followed by one more token, 0.
+
+A context of two very common words would be a hot shard. So followers of a pair whose rarer word has more than `DEALT`
+training tokens (the pair can't have more) are dealt into parts by hash, and the block asks about the pair's own count
+as a key of its own; so it does where the follower is a word that no training text has.
 
 Defined cases: null and empty texts are one end token; a null id counts as training and as not held out; without
 training rows N = V = 0 and every token has p = 1; rows with one id are scored each; an empty table gives none.
@@ -26,9 +37,12 @@ from . import blocks, common
 from .elias_fano import Trie, restore
 
 FOLDS, HELD_OUT = 5, 1
+PRIORS = (200.0, 5.0)
+DEALT = 1 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
-_NONE = np.uint32(0xFFFFFFFF)
-_FIELDS = "block int, kind int, shard int, a binary, b binary, tokens long, types long"
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Ids that are no words': what comes after a text's end, a dealt pair as a whole, a text's start.
+_AFTER, _WHOLE, _START, _FIRST_ID = 0, 1, 2, 3
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -36,10 +50,10 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class _Block:
-    """The tokens of a block: hashes, bounds of each row, and which are training tokens."""
+    """The tokens of a block: hashes, lengths of rows, and which are training tokens."""
 
     def __init__(self, table):
-        table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.select(["doc_id", "text"])
         self.ids = table.column("doc_id").to_pylist()
         data, offsets = common.buffers(table.column("text").combine_chunks()) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         parts, lengths = [], []
@@ -47,123 +61,137 @@ class _Block:
             w = common.Words(part, at, lower=True)
             parts.append(np.insert(w.hashes[0], w.bounds[1:], _END))
             lengths.append(np.diff(w.bounds) + 1)
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         self.held = np.array([held_out(i) for i in self.ids], bool)
         self.train = np.repeat(~self.held, self.lengths)
-        self.words, self.which = np.unique(self.tokens, return_inverse=True)
-
-    def bounds(self, n: int) -> np.ndarray:
-        """Of the sorted words, each shard's run: shards are ranges of hashes."""
-        return np.searchsorted(self.words, np.array([(s << 64) // n for s in range(n)] , np.uint64)).tolist() + [len(self.words)]
-
-    def known(self, replies) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """(counts, ids of the sorted words, N, V) from the vocabulary's replies."""
-        rows = sorted((s, a, b, t, v) for k, s, a, b, t, v in zip(*(replies.column(c).to_pylist() for c in ("kind", "shard", "a", "b", "tokens", "types")), strict=True) if k == 0)
-        cat = lambda i: np.concatenate([np.zeros(0, np.uint32), *(blocks.from_planes(r[i], np.uint32) for r in rows)])
-        return cat(1), cat(2), sum(r[3] for r in rows), sum(r[4] for r in rows)
-
-    def pairs(self, ids: np.ndarray, n: int):
-        """(keys: context id << 32 | word id, sorted by shard of the context then value; bounds of shards; place of each token's key or -1)."""
-        word = ids[self.which].astype(np.uint64)
-        end = ids[np.searchsorted(self.words, _END)] if len(self.words) else _NONE
-        before = np.concatenate([[np.uint64(end)], word[:-1]]).astype(np.uint64)
-        ok = (word != _NONE) & (before != _NONE)
-        keys, back = np.unique((before[ok] << np.uint64(32)) | word[ok], return_inverse=True)
-        shard = (common.mix(keys >> np.uint64(32), 21) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
+        self.words, self.which = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_inverse=True)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def trigrams(self, count: np.ndarray, ids: np.ndarray):
+        """(context hashes, followers, training counts: distinct, in order; places of: each token's own key, its
+        context's whole, the key after it, that key's whole; -1 where there is none)."""
+        n, rows = len(self.which), len(self.lengths)
+        # every row's tokens, with two starts before and what comes after the end; there are as many starts as ends
+        starts = count[np.searchsorted(self.words, _END)] if len(self.words) else 0
+        at = np.arange(n) + 3 * np.repeat(np.arange(rows), self.lengths) + 2
+        size = n + 3 * rows
+        word, c = np.full(size, _START, np.uint64), np.full(size, starts, np.int64)
+        word[at], c[at] = ids[self.which], count[self.which]
+        after = at[self.starts + self.lengths - 1] + 1 if rows else np.zeros(0, np.int64)
+        word[after] = _AFTER
+        keyed = np.sort(np.concatenate([at, after]))
+        u, v, w = word[keyed - 2], word[keyed - 1], word[keyed]
+        ok = (u != _NONE) & (v != _NONE)  # a pair with an unseen word has no count
+        least = np.minimum(c[keyed - 2], c[keyed - 1])
+        parts = np.maximum(1, -(-least // DEALT)).astype(np.uint64)
+        pair = common.mix(common.mix(u, 21) + v, 22)
+        dealt = parts > 1
+        context = np.where(dealt, common.mix(pair + common.mix(w, 24) % parts, 23), pair)
+        train = np.zeros(size, bool)
+        train[at] = self.train
+        train[after] = ~self.held
+        one, own = ok & (w != _NONE), ok & (dealt | (w == _NONE))
+        keys = np.concatenate([context[one], pair[own]])
+        follow = np.concatenate([w[one], np.full(int(own.sum()), _WHOLE, np.uint64)])
+        told = np.concatenate([train[keyed][one], train[keyed][own]])
+        order = np.lexsort((follow, keys))
+        keys, follow = keys[order], follow[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (follow[1:] != follow[:-1])
         place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        at = np.full(len(word), -1, np.int64)
-        at[ok] = place[back]
-        return keys[order], np.searchsorted(shard[order], np.arange(n + 1)), at
+        place[order] = np.cumsum(new) - 1
+        total = np.bincount(place, weights=told, minlength=int(new.sum())).astype(np.uint32)
+        mine, whole = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        mine[keyed[one]], whole[keyed[own]] = place[: int(one.sum())], place[int(one.sum()) :]
+        return keys[new], follow[new], total, (mine[at], whole[at], mine[at + 1], whole[at + 1])
 
 
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", priors: tuple[float, float] = PRIORS, fan: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     import pyarrow as pa
 
     n_bytes = blocks.measure(docs, text)
-    blocked = blocks.in_blocks(docs, n_bytes, id_col=id_col, text=text)
-    n = blocks.shards_for(n_bytes // 6)
-
-    def rows(out) -> pa.Table:
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        names = ("block", "kind", "shard", "a", "b", "tokens", "types")
-        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names, kinds, strict=True))})
-
-    def block_of(table: pa.Table) -> int:
-        return table.column("block")[0].as_py()
-
-    def words(table: pa.Table) -> pa.Table:
+    plan = blocks.plan(n_bytes, n_bytes // 6, fan=fan)
+    blocked = blocks.in_blocks(docs, plan.blocks, id_col=id_col, text=text)
+    k2, k3 = priors
+    width = -(-(1 << 64) // plan.shards)
+
+    def number(keys, sums):
+        """Counts, and ids of the words that training rows have: their place among all in order of the shard's hash range."""
+        count = sums[0]
+        shard = int(keys[0][0]) // width if len(keys[0]) else 0
+        ids = np.where(count > 0, (np.cumsum(count > 0) - 1).astype(np.uint64) * np.uint64(plan.shards) + np.uint64(shard + _FIRST_ID), _NONE)
+        return count, ids
+
+    def answer(keys, sums):
+        some = np.flatnonzero(sums[0])
+        trie = Trie(keys[0][some], keys[1][some].astype(np.int64), sums[0][some].astype(np.int64), k3)
+        context, which = np.unique(keys[0], return_inverse=True)
+        at, backoff = trie.contexts_of(context)
+        return trie.lookup(at[which], keys[1].astype(np.int64)), backoff[which]
+
+    def tally(keys, sums):
+        return np.array([sums[0].sum(), (sums[0] > 0).sum()], np.uint64).tobytes()
+
+    words = blocks.Exchange(plan, 1 << 64, 1, (np.uint64, np.uint64), number, tally=tally)
+    grams = blocks.Exchange(plan, 1 << 64, 2, (np.uint16, np.uint16), answer)
+
+    def ask_words(table: pa.Table) -> pa.Table:
         b = _Block(table)
-        count = np.bincount(b.which[b.train], minlength=len(b.words)).astype(np.uint32)
-        at = b.bounds(n)
-        return rows([(block_of(table), 0, s, blocks.pack(b.words[at[s] : at[s + 1]]), blocks.planes(count[at[s] : at[s + 1]]), 0, 0) for s in range(n)])
-
-    def vocabulary(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys = [blocks.unpack(x.as_py(), np.uint64) for x in table.column("a")]
-        count = np.concatenate([blocks.from_planes(x.as_py(), np.uint32) for x in table.column("b")])
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(which, weights=count).astype(np.int64)
-        ids = np.where(total > 0, (np.cumsum(total > 0) - 1) * n + shard, _NONE).astype(np.uint32)
-        at = np.cumsum([0, *(len(k) for k in keys)])
-        sums = int(total.sum()), int((total > 0).sum())
-        return rows([(b, 0, shard, blocks.planes(total[w := which[at[i] : at[i + 1]]].astype(np.uint32)), blocks.planes(ids[w]), *sums) for i, b in enumerate(table.column("block").to_pylist())])
-
-    def bigrams(table: pa.Table, replies: pa.Table) -> pa.Table:
+        return words.ask(blocks.block_of(table), [b.words], [np.bincount(b.which[b.train], minlength=len(b.words)).astype(np.uint32)])
+
+    def totals(table: pa.Table) -> pa.Table:
+        """N and V, added up over the vocabulary's shards, to every block."""
+        notes = table.column("note").to_pylist() if blocks.block_of(table) == blocks.TALLY else []
+        sums = np.sum([np.frombuffer(x, np.uint64) for x in notes], axis=0).tobytes() if notes else b""
+        n = plan.blocks if notes else 0
+        return pa.table({"block": pa.array(range(n), pa.int32()), "lane": pa.array([0] * n, pa.int32()), "cols": pa.array([[]] * n, pa.list_(pa.binary())), "note": pa.array([sums] * n, pa.binary()), "kind": pa.array([2] * n, pa.int32())})
+
+    def ask_grams(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return grams.ask(0, [np.zeros(0, np.uint64)] * 2, [])
         b = _Block(table)
-        _, ids, _, _ = b.known(replies)
-        keys, at, place = b.pairs(ids, n)
-        seen = place[b.train & (place >= 0)]
-        count = np.bincount(seen, minlength=len(keys)).astype(np.uint32)
-        return rows([(block_of(table), 1, s, blocks.pack(keys[at[s] : at[s + 1]]), blocks.planes(count[at[s] : at[s + 1]]), 0, 0) for s in range(n) if at[s] < at[s + 1]]) if len(keys) else rows([])
-
-    def tries(table: pa.Table) -> pa.Table:
-        keys = [blocks.unpack(x.as_py(), np.uint64) for x in table.column("a")]
-        count = np.concatenate([blocks.from_planes(x.as_py(), np.uint32) for x in table.column("b")])
-        every = np.concatenate(keys)
-        some = np.flatnonzero(count)
-        order = some[np.argsort(every[some], kind="stable")]
-        sorted_, count = every[order], count[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
-        mine = sorted_[first]
-        trie = Trie((mine >> np.uint64(32)).astype(np.int64), (mine & np.uint64(0xFFFFFFFF)).astype(np.int64), np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64))
-        out = []
-        for b, k in zip(table.column("block").to_pylist(), keys, strict=True):
-            context, which = np.unique(k >> np.uint64(32), return_inverse=True)
-            at, backoff = trie.contexts_of(context)
-            out.append((b, 1, table.column("shard")[0].as_py(), blocks.planes(trie.lookup(at[which], (k & np.uint64(0xFFFFFFFF)).astype(np.int64))), blocks.planes(backoff[which]), 0, 0))
-        return rows(out)
+        count, ids = words.read(replies, b.words)
+        keys, follow, total, _ = b.trigrams(count.astype(np.int64), ids)
+        return grams.ask(blocks.block_of(table), [keys, follow], [total])
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        if not table.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         b = _Block(table)
-        count, ids, total, types = b.known(replies)
-        keys, at, place = b.pairs(ids, n)
-        p = np.zeros(len(keys))
-        weight = np.ones(len(keys))
-        for k, s, x, y in zip(*(replies.column(c).to_pylist() for c in ("kind", "shard", "a", "b")), strict=True):
-            if k == 1:
-                p[at[s] : at[s + 1]] = restore(blocks.from_planes(x, np.uint16))
-                w = blocks.from_planes(y, np.uint16)
-                weight[at[s] : at[s + 1]] = np.where(w > 0, restore(w), 1.0)
+        kind = replies.column("kind")
+        part = lambda k: replies.filter(pc.equal(kind, k)).select(["block", "lane", "cols", "note"])
+        total, types = np.frombuffer(part(2).column("note")[0].as_py(), np.uint64).tolist()
+        count, ids = words.read(part(0), b.words)
+        count = count.astype(np.int64)
+        keys, _, _, (mine, whole, after, after_whole) = b.trigrams(count, ids)
+        code, back = grams.read(part(1), keys)
+        code, back = np.append(restore(code), 0.0), np.append(np.where(back > 0, restore(back), 1.0), 1.0)  # the last: none
+        pairs = lambda m, w: np.rint(k3 / np.where(w >= 0, back[w], back[m]) - k3)  # noqa: E731  a context's count
         c = count[b.which].astype(float)
         base = (c + 0.5) / (total + 0.5 * (types + 1))
-        has = place >= 0
-        mixed = base.copy()
-        mixed[has] = p[place[has]] + weight[place[has]] * base[has]
-        starts = np.concatenate([[0], np.cumsum(b.lengths)[:-1]])
-        by_row = lambda v: np.add.reduceat(v, starts)
+        before = np.empty(len(c))
+        before[1:] = c[:-1]
+        before[b.starts] = count[np.searchsorted(b.words, _END)] if len(b.words) else 0
+        second = (pairs(after, after_whole) + k2 * base) / (before + k2)
+        # of a dealt pair the trie knows a part's count only: the answer's ratio gives the follower's count back
+        third = np.where(whole >= 0, code[mine] * k3 / back[mine], 0.0)
+        pair = np.where(whole >= 0, k3 / back[whole] - k3, 0.0)
+        mixed = np.where(whole >= 0, (third + k3 * second) / (pair + k3), code[mine] + back[mine] * second)
+        by_row = lambda v: np.add.reduceat(v, b.starts)
         return pa.table({
             "doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.held), "n_tokens": pa.array(b.lengths, pa.int64()), "n_known": pa.array(by_row((c > 0).astype(np.int64)), pa.int64()),
             "train_tokens": pa.array(np.full(len(b.ids), total), pa.int64()), "base_score": pa.array(by_row(np.log10(base))), "score": pa.array(by_row(np.log10(mixed))),
         })
 
-    known = blocked.groupBy("block").applyInArrow(words, _FIELDS).groupBy("shard").applyInArrow(vocabulary, _FIELDS)
-    asked = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(bigrams, _FIELDS)
-    answers = asked.groupBy("shard").applyInArrow(tries, _FIELDS)
-    return blocked.groupBy("block").cogroup(known.union(answers).groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = blocked.groupBy("block").applyInArrow(ask_words, blocks.FIELDS)
+    known = words.run(asked)
+    told = grams.run(blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_grams, blocks.FIELDS))
+    sums = known.groupBy("block").applyInArrow(totals, blocks.FIELDS + ", kind int")
+    every = known.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1))).unionByName(sums)
+    return blocked.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

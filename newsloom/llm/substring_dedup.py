@@ -1,17 +1,18 @@
 """Substring dedup: windows of `width` words that start anywhere earlier lose their later copies.
 
 A count-min sketch over all windows goes first. Each block of documents sketches its windows: two rows of cells, a
-window in one cell of each; the block's non-empty cells go to the shards of the sketch, which add the blocks up and
-tell every block which of its cells hold two windows or more. Cells only ever overestimate, so a window that repeats
-is always passed on; one that doesn't rarely is (the sketch has `cells_per_window` cells a window in each row, however
-many windows there are, so its accuracy doesn't fall as the input grows). Then the windows passed on, and only those,
-are grouped exactly, by 128 bits of their word sequence; every one but the first by (document, start) is marked, and
-the words under marked windows go. Windows are judged on the input, not on what is left.
+window in one cell of each; the shards of the sketch add the blocks' cells up and tell every block which of its cells
+hold two windows or more. Cells only ever overestimate, so a window that repeats is always passed on; one that doesn't
+rarely is (the sketch has `cells_per_window` cells a window in each row, however many windows there are, so its accuracy
+doesn't fall as the input grows). Then the windows passed on, and only those, are grouped exactly, by 128 bits of their
+word sequence; every one but the first by (document, start) is marked, and the words under marked windows go. Windows
+are judged on the input, not on what is left.
 
 Words are runs of characters other than space and 0x09-0x0D, unchanged.
 
-Defined cases: null and empty texts have no words; a text of fewer than `width` words keeps all; a row with null id
-counts after all others; rows with one id are taken in the order of their text; an empty table gives an empty table.
+Defined cases: null and empty texts have no words; a text of fewer than `width` words keeps all; ids are ordered as
+signed integers, rows with null id come after all others; rows with one id (null ids too) stand in an order of their
+own, the same in every run; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,155 +28,106 @@ from . import blocks, common
 
 WIDTH = 20
 CELLS_PER_WINDOW = 4
-_LAST = np.iinfo(np.int64).max
 
 
 def _read(table):
-    """(ids, texts as Arrow) of a block, by id and text."""
+    """(ids, which are null, texts as Arrow) of a block, by id and text."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     table = table.select(["doc_id", "text"])
-    ids = pc.fill_null(table.column("doc_id"), _LAST)
-    table = table.set_column(0, "doc_id", ids).sort_by([("doc_id", "ascending")] if pc.count_distinct(ids).as_py() == len(ids) else [("doc_id", "ascending"), ("text", "ascending")])
-    return table.column("doc_id").to_numpy(), table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+    ids = table.column("doc_id")
+    apart = ids.null_count < 2 and pc.count_distinct(ids).as_py() == len(ids) - ids.null_count
+    table = table.sort_by([("doc_id", "ascending")] if apart else [("doc_id", "ascending"), ("text", "ascending")])
+    ids = table.column("doc_id")
+    return pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(), table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
 
 
 def _windows(table, width: int, seeds: int = 1):
-    """Per chunk of a block: (ids, first row, Words, index of each window's first word, its hashes)."""
-    ids, text = _read(table)
+    """Per chunk of a block: (ids, which are null, Words, index of each window's first word, its hashes)."""
+    ids, null, text = _read(table)
     data, offsets = common.buffers(text)
     for row, end, part, at in common.chunks(data, offsets):
         w = common.Words(part, at, lower=False, seeds=seeds)
         found = [w.windows(width, k) for k in range(seeds)]
-        yield ids[row:end], row, w, found[0][0], [h for _, h in found]
+        yield ids[row:end], null[row:end], w, found[0][0], [h for _, h in found]
 
 
-def _cells(h: np.ndarray, total: int, row: int) -> np.ndarray:
-    return common.mix(h, 11 + row) % np.uint64(total)
+def _cells(h: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the cells of windows in both rows of the sketch, distinct and in order; each window's place in the first row, in the second)."""
+    both = np.concatenate([common.mix(h, 11) % np.uint64(total), common.mix(h, 12) % np.uint64(total) + np.uint64(total)])
+    cells, place = np.unique(both, return_inverse=True)
+    return cells, place[: len(h)], place[len(h) :]
 
 
-def marked_windows(blocked: DataFrame, n_bytes: int, width: int = WIDTH, cells_per_window: int = CELLS_PER_WINDOW) -> DataFrame:
-    """(block, marked): packed uint32 ordinals of a block's windows (in its order) that start earlier elsewhere too."""
+def marked_windows(blocked: DataFrame, n_bytes: int, plan: blocks.Plan, width: int = WIDTH, cells_per_window: int = CELLS_PER_WINDOW) -> DataFrame:
+    """Of each block, what `_marks` reads: which of its windows (by their ordinals) start earlier elsewhere too."""
     import pyarrow as pa
 
     # a word takes two bytes at least, so there are fewer windows than this; typical texts have a third of them
     total = max(1 << 16, n_bytes * cells_per_window // 4)
-    n = blocks.shards_for(total, blocks.SHARD_KEYS * cells_per_window)
-    per = -(-total // n)  # cells of a shard in either row of the sketch
+    sketch = blocks.Exchange(plan, 2 * total, 1, (bool,), lambda keys, sums: [sums[0] > 1])
+    exact = _exact(plan)
 
-    def sketch(table: pa.Table) -> pa.Table:
+    def asked(table: pa.Table) -> pa.Table:
         h = np.concatenate([np.zeros(0, np.uint64), *(x[4][0] for x in _windows(table, width))])
-        out = []
-        for row in (0, 1):
-            cell, count = np.unique(_cells(h, total, row), return_counts=True)
-            bound = np.searchsorted(cell, np.arange(n + 1, dtype=np.uint64) * np.uint64(per))
-            for s in np.flatnonzero(np.diff(bound)):
-                a, b = bound[s], bound[s + 1]
-                here = (cell[a:b] - np.uint64(int(s) * per)).astype(np.uint32)
-                out.append((2 * int(s) + row, blocks.pack(here), np.packbits(count[a:b] > 1).tobytes()))
-        block = table.column("block")[0].as_py() if table.num_rows else 0
-        return pa.table({"block": pa.array([block] * len(out), pa.int32()), "shard": pa.array([x[0] for x in out], pa.int32()), "cells": pa.array([x[1] for x in out], pa.binary()), "more": pa.array([x[2] for x in out], pa.binary())})
-
-    def merge(table: pa.Table) -> pa.Table:
-        """A shard of the merged sketch: counts up to 2, as no more is asked of them."""
-        counts = np.zeros(per, np.uint8)
-        cells = table.column("cells")
-        for data, more in zip(cells, table.column("more"), strict=True):
-            c = blocks.unpack(data.as_py(), np.uint32)
-            counts[c] = np.minimum(counts[c] + 1 + np.unpackbits(np.frombuffer(more.as_py(), np.uint8), count=len(c)), 2)
-        bits = [np.packbits(counts[blocks.unpack(data.as_py(), np.uint32)] > 1).tobytes() for data in cells]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
-
-    def candidates(table: pa.Table, replies: pa.Table) -> pa.Table:
+        cells, a, b = _cells(h, total)
+        count = np.bincount(a, minlength=len(cells)) + np.bincount(b, minlength=len(cells))
+        return sketch.ask(blocks.block_of(table), [cells], [np.minimum(count, 2).astype(np.uint8)])
+
+    def passed(table: pa.Table, replies: pa.Table) -> pa.Table:
         """The windows that both rows of the sketch take for repeated, to the shards of the exact grouping."""
-        ids, h1, h2 = [], [], []
-        for own, _, w, at, (x, y) in _windows(table, width, 2):
-            ids.append(own[w.row[at]])
-            h1.append(x)
-            h2.append(y)
-        if not ids:
-            return _none(("key", pa.binary()), ("more", pa.binary()), ("ids", pa.binary()), ("ords", pa.binary()))
-        ids, h1, h2 = np.concatenate(ids), np.concatenate(h1), np.concatenate(h2)
-        answer = {s: b for s, b in zip(replies.column("shard").to_pylist(), replies.column("bits").to_pylist(), strict=True)}
-        seen = np.ones(len(h1), bool)
-        for row in (0, 1):
-            cell, back = np.unique(_cells(h1, total, row), return_inverse=True)
-            bound = np.searchsorted(cell, np.arange(n + 1, dtype=np.uint64) * np.uint64(per))
-            many = np.zeros(len(cell), bool)
-            for s in np.flatnonzero(np.diff(bound)):
-                many[bound[s] : bound[s + 1]] = np.unpackbits(np.frombuffer(answer[2 * int(s) + row], np.uint8), count=int(bound[s + 1] - bound[s]))
-            seen &= many[back]
-        keep = np.flatnonzero(seen)
+        parts = [(own[w.row[at]], null[w.row[at]], x, y) for own, null, w, at, (x, y) in _windows(table, width, 2)]
+        if not parts:
+            return exact.ask(0, [np.zeros(0, np.uint64)] * 2, [])
+        ids, null, h1, h2 = (np.concatenate(p) for p in zip(*parts, strict=True))
+        cells, a, b = _cells(h1, total)
+        (many,) = sketch.read(replies, cells)
+        keep = np.flatnonzero(many[a] & many[b])
         # of a block's equal windows only the first can be the first of all: the others are marked here and don't travel as keys
-        order = np.lexsort((keep, h2[keep], h1[keep]))
-        x, y = h1[keep[order]], h2[keep[order]]
+        order = keep[np.lexsort((keep, h2[keep], h1[keep]))]
         first = np.ones(len(order), bool)
-        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        later, keep = np.sort(keep[order[~first]]), np.sort(keep[order[first]])
-        shard = (h1[keep] % np.uint64(n)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        keep, bound = keep[order], np.searchsorted(shard[order], np.arange(n + 1))
-        out = [(int(s), keep[bound[s] : bound[s + 1]]) for s in np.flatnonzero(np.diff(bound))]
-        block = table.column("block")[0].as_py()
-        none = pa.table({"block": pa.array([block] * min(1, len(later)), pa.int32()), "shard": pa.array([block % n] * min(1, len(later)), pa.int32()), **{c: pa.array([b""] * min(1, len(later)), pa.binary()) for c in ("key", "more", "ids")}, "ords": pa.array([blocks.pack(later.astype(np.uint32))] * min(1, len(later)), pa.binary())})
-        sent = pa.table({
-            "block": pa.array([block] * len(out), pa.int32()), "shard": pa.array([s for s, _ in out], pa.int32()),
-            "key": pa.array([blocks.planes(h1[k]) for _, k in out], pa.binary()), "more": pa.array([blocks.planes(h2[k]) for _, k in out], pa.binary()),
-            "ids": pa.array([blocks.pack(ids[k].astype(np.uint64)) for _, k in out], pa.binary()), "ords": pa.array([blocks.pack(k.astype(np.uint32)) for _, k in out], pa.binary()),
-        })
-        return pa.concat_tables([sent, none])
-
-    def group(table: pa.Table) -> pa.Table:
-        """Exact groups of windows: all but the first of each. Rows without keys hold what a block has marked itself."""
-        import pyarrow.compute as pc
-
-        told = pc.equal(pc.binary_length(table.column("key")), 0)
-        own, table = table.filter(told), table.filter(pc.invert(told))
-        own = pa.table({"block": own.column("block"), "marked": own.column("ords")})
-        if not table.num_rows:
-            return own
-        block = table.column("block").to_numpy()
-        key, more = ([blocks.from_planes(x.as_py(), np.uint64) for x in table.column(c)] for c in ("key", "more"))
-        ids = [blocks.unpack(x.as_py(), np.uint64) for x in table.column("ids")]
-        ords = [blocks.unpack(x.as_py(), np.uint32) for x in table.column("ords")]
-        src = np.repeat(np.arange(len(block)), [len(x) for x in key])
-        key, more, ids, ords = map(np.concatenate, (key, more, ids, ords))
-        order = np.lexsort((ords, ids, more, key))
-        key, more = key[order], more[order]
-        later = np.zeros(len(order), bool)
-        later[1:] = (key[1:] == key[:-1]) & (more[1:] == more[:-1])
-        gone = np.sort(order[later])
-        src, ords = src[gone], ords[gone]
-        bound = np.searchsorted(src, np.arange(len(block) + 1))
-        which = np.flatnonzero(np.diff(bound))
-        rest = pa.table({"block": pa.array(block[which], pa.int32()), "marked": pa.array([blocks.pack(ords[bound[i] : bound[i + 1]]) for i in which], pa.binary())})
-        return pa.concat_tables([rest, own])
-
-    replies = blocked.groupBy("block").applyInArrow(sketch, "block int, shard int, cells binary, more binary").groupBy("shard").applyInArrow(merge, "block int, shard int, bits binary")
-    passed = blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(candidates, "block int, shard int, key binary, more binary, ids binary, ords binary")
-    return passed.groupBy("shard").applyInArrow(group, "block int, marked binary")
-
-
-def _none(*extra):
-    import pyarrow as pa
+        first[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+        later, order = np.sort(order[~first]), order[first]
+        block = blocks.block_of(table)
+        values = [null[order].astype(np.uint8), ids[order].astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63), np.full(len(order), block, np.uint32)]
+        ordinals = order.astype(np.uint32)
+        return exact.ask(block, [h1[order], h2[order]], values, lambda i, j: blocks.planes(ordinals[i:j]), blocks.planes(later.astype(np.uint32)) if len(later) else None)
+
+    replies = sketch.run(blocked.groupBy("block").applyInArrow(asked, blocks.FIELDS))
+    return exact.run(blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(passed, blocks.FIELDS))
+
+
+def _exact(plan: blocks.Plan) -> blocks.Exchange:
+    """Windows by 128 bits; the reply says whether a block's (null id, id, block) is the least of all that have it."""
+    return blocks.Exchange(plan, 1 << 64, 2, (bool,), least=True)
+
 
-    return pa.table({"block": pa.array([], pa.int32()), "shard": pa.array([], pa.int32())} | {k: pa.array([], t) for k, t in extra})
+def _marks(replies) -> np.ndarray:
+    """Ordinals of a block's marked windows, in order."""
+    read = lambda x: blocks.from_planes(x, len(x) // 4).astype(np.int64)
+    gone = []
+    for cols, note in zip(replies.column("cols").to_pylist(), replies.column("note").to_pylist(), strict=True):
+        ordinals = read(note)
+        gone.append(ordinals[~blocks.from_planes(cols[0], len(ordinals), bool)] if cols else ordinals)
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *gone]))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, cells_per_window: int = CELLS_PER_WINDOW, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, cells_per_window: int = CELLS_PER_WINDOW, digest: bool = False, fan: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, text): kept words joined by one space; with `digest` its sha256 (kept_sha256) instead."""
     import pyarrow as pa
 
     n_bytes = blocks.measure(docs, text)
-    blocked = blocks.in_blocks(docs, n_bytes, id_col=id_col, text=text)
-    marked = marked_windows(blocked, n_bytes, width, cells_per_window)
+    # a shard of a sketch's cells holds a byte a cell: four times as many as keys of eight bytes
+    plan = blocks.plan(n_bytes, n_bytes * cells_per_window // 4, shard_keys=blocks.SHARD_KEYS * cells_per_window, fan=fan)
+    blocked = blocks.in_blocks(docs, plan.blocks, id_col=id_col, text=text)
+    marked = marked_windows(blocked, n_bytes, plan, width, cells_per_window)
     name = "kept_sha256" if digest else "text"
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
-        gone = np.sort(np.concatenate([np.zeros(0, np.uint32), *(blocks.unpack(x.as_py(), np.uint32) for x in replies.column("marked"))])) if replies.num_rows else np.zeros(0, np.uint32)
+        gone = _marks(replies)
         first, out = 0, []
-        for own, _, w, at, _ in _windows(table, width, 1):
+        for own, null, w, at, _ in _windows(table, width, 1):
             a, b = np.searchsorted(gone, [first, first + len(at)])
             starts = at[gone[a:b] - first]
             first += len(at)
@@ -192,7 +144,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
                     left = b" ".join(compress(words, kept[x:y].tolist()))
                 else:
                     left = b" ".join(words)
-                out.append((None if doc == _LAST else int(doc), len(words), n_lost, hashlib.sha256(left).hexdigest() if digest else left.decode()))
+                out.append((None if null[i] else int(doc), len(words), n_lost, hashlib.sha256(left).hexdigest() if digest else left.decode()))
         return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "n_words": pa.array([x[1] for x in out], pa.int64()), "n_removed": pa.array([x[2] for x in out], pa.int64()), name: pa.array([x[3] for x in out], pa.string())})
 
     return blocked.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(cut, f"doc_id long, n_words long, n_removed long, {name} string")

@@ -176,8 +176,8 @@ def test_trie_sums_to_one():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 30, (400, 2)), axis=0)
     count = rng.integers(1, 5, len(keys))
-    trie = elias_fano.Trie(keys[:, 0], keys[:, 1], count)
-    at, backoff = trie.contexts_of(np.arange(35))
+    trie = elias_fano.Trie(keys[:, 0].astype(np.uint64), keys[:, 1], count, 2.5)
+    at, backoff = trie.contexts_of(np.arange(35, dtype=np.uint64))
     assert (at[30:] == -1).all() and (backoff[30:] == 0).all()
     for k in np.unique(keys[:, 0]):
         total = elias_fano.restore(trie.lookup(np.full(40, at[k]), np.arange(40))).sum() + elias_fano.restore(backoff[k : k + 1])[0]
@@ -192,6 +192,7 @@ def test_elias_fano():
         q = rng.integers(0, u, 500)
         at, found = elias_fano.EliasFano(v, u).successor(q)
         assert (at == np.searchsorted(v, q)).all() and (found == np.isin(q, v)).all()
+        assert (elias_fano.EliasFano(v, u)[np.arange(n)] == v).all()
 
 
 def test_line_dedup(spark, empty):
