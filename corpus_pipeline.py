@@ -1,8 +1,13 @@
-"""A corpus from raw documents to token ids: toxicity, line dedup, near duplicates, decontamination, encoding."""
+"""A corpus from raw documents to token ids: toxicity, line dedup, near duplicates, decontamination, encoding.
+
+Defined cases, in all stages: null text counts as empty, null and repeated ids are ids like others (rows are told apart
+by id and text), other columns pass through whatever their names, an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, common, decontaminate, jaccard_join, line_dedup, toxicity
 
@@ -13,7 +18,8 @@ NEAR_WORDS, NEAR_THRESHOLD = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of documents outside its held-out fold."""
     model = toxicity.fit(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    return model.score(docs, docs.columns).filter("_score < 0.5").select(*docs.columns)
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return model.score(rows, ["row"], "toxic").filter("toxic < 0.5").select("row.*")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,21 +28,20 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents of one class of near copies, by the next stage's measure, are one page here: else a large group's whole
     text would count as boilerplate, and the next stage would find nothing left to link.
     """
-    found = jaccard_join.classes(docs, words=NEAR_WORDS, threshold=NEAR_THRESHOLD)
-    return line_dedup.remove_boilerplate(docs, copies=common.settle(found.filter("n_shingles > 0").select("doc_id", "component_id")))
+    found = jaccard_join.classified(docs, words=NEAR_WORDS, threshold=NEAR_THRESHOLD)
+    return line_dedup.remove_boilerplate(docs, copies=common.settle(found.filter("class is not null").select("doc_id", "same", "class").distinct()))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similarity, directly or through others, the one with the smallest id stays."""
-    found = jaccard_join.classes(docs, words=NEAR_WORDS, threshold=NEAR_THRESHOLD)
-    gone = common.settle(found.filter("component_id <> doc_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by similarity, directly or through others, the one with the smallest id stays; of rows that
+    repeat id and text one; a null id is the largest. Documents without words stay."""
+    return jaccard_join.leaders(docs, words=NEAR_WORDS, threshold=NEAR_THRESHOLD)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.hits(docs.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
-    return docs.join(common.settle(found.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a window of a benchmark item go, each row by its own text."""
+    gone = decontaminate.contaminated(docs.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    return common.without(docs, common.settle(gone))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
