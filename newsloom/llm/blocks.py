@@ -18,6 +18,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,40 +71,42 @@ def in_blocks(docs: DataFrame, blocks: int, *, id_col: str = "doc_id", text: str
 # ---- arrays as bytes ---------------------------------------------------------------------------
 
 def planes(values: np.ndarray) -> bytes:
-    """Values in any order, in byte planes, of which the shuffle's compressor drops the empty ones; booleans as bits."""
-    if values.dtype == bool:
-        return np.packbits(values).tobytes()
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+    """Values in any order, in byte planes, compressed: words follow few patterns and high bytes are empty. Booleans as bits."""
+    if not len(values):
+        return b""
+    raw = np.packbits(values) if values.dtype == bool else np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def from_planes(data: bytes, n: int, kind=None) -> np.ndarray:
     """n values; their width in bytes is that of the data, or they are booleans."""
+    raw = zstandard.ZstdDecompressor().decompress(data) if n else b""
     if kind is bool:
-        return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
-    width = len(data) // n if n else 8
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"u{width}").ravel() if n else np.zeros(0, np.uint64)
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+    width = len(raw) // n if n else 8
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(f"u{width}").ravel() if n else np.zeros(0, np.uint64)
 
 
 def pack(ordered: np.ndarray) -> bytes:
     """Ordered values as differences in byte planes."""
-    return planes(np.diff(ordered, prepend=ordered.dtype.type(0))) if len(ordered) else b""
+    return planes(np.diff(ordered, prepend=ordered.dtype.type(0)))
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data, len(data) // 8), dtype=np.uint64) if data else np.zeros(0, np.uint64)
+def unpack(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(from_planes(data, n), dtype=np.uint64)
 
 
 # ---- the exchange ------------------------------------------------------------------------------
 
 #: The block of rows that are for nobody: what `tally` made.
 TALLY = -1
-FIELDS = "block int, lane int, cols array<binary>, note binary"
+FIELDS = "block int, lane int, n int, cols array<binary>, note binary"
 
 
 def _table(rows):
     import pyarrow as pa
 
-    kinds = {"block": pa.int32(), "lane": pa.int32(), "cols": pa.list_(pa.binary()), "note": pa.binary()}
+    kinds = {"block": pa.int32(), "lane": pa.int32(), "n": pa.int32(), "cols": pa.list_(pa.binary()), "note": pa.binary()}
     return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
 
 
@@ -129,52 +132,60 @@ def _merged(keys: list[np.ndarray], values: list[np.ndarray], least: bool):
 
 
 class Exchange:
-    """Questions about keys below `span` (by their first column) and their answers.
-
-    keys: how many uint64 columns make a key; they come in order and distinct within a block. Values are unsigned
-    integers. By default they are added up over all blocks, and `answer` gets distinct keys in order with their sums
-    and returns an array for each of `replies` (kinds). With `least`, the reply says whether the block's own values are
-    the least of all blocks' for the key. A block's `note` on a lane comes back to it untouched. `tally`, of a shard's
-    keys and sums, makes the note of a row of the block TALLY.
+    """Questions about keys and their answers.
+
+    keys: how many uint64 columns make a key; they come in order and distinct within a block. A key's shard follows from
+    its `place` below `span`: by default its first column, else a function of the columns. Values are unsigned integers.
+    By default they are added up over all blocks, and `answer` gets distinct keys in order with their sums and returns an
+    array for each of `replies` (kinds). With `least`, the reply says whether the block's own values are the least of all
+    blocks' for the key. A block's `note` on a lane comes back to it untouched. `tally`, of a shard's keys and sums, makes
+    the note of a row of the block TALLY.
     """
 
-    def __init__(self, plan: Plan, span: int, keys: int, replies: tuple, answer: Callable | None = None, least: bool = False, tally: Callable | None = None):
-        self.plan, self.keys, self.replies, self.answer, self.least, self.tally = plan, keys, (bool,) if least else replies, answer, least, tally
+    def __init__(self, plan: Plan, span: int, keys: int, replies: tuple, answer: Callable | None = None, least: bool = False, tally: Callable | None = None, place: Callable | None = None):
+        self.plan, self.keys, self.replies, self.answer, self.least, self.tally, self.place = plan, keys, (bool,) if least else replies, answer, least, tally, place
         self.width = -(-span // plan.shards)
 
-    def _bounds(self, first: np.ndarray, width: int, lo: int, hi: int) -> list[int]:
-        """Where runs of `width` keys begin, for the runs from lo to hi."""
-        cuts = [i * width for i in range(lo + 1, hi)]
-        inner = np.searchsorted(first, np.array([min(c, (1 << 64) - 1) for c in cuts], np.uint64)).tolist() if cuts else []
-        return [0, *inner, len(first)]
-
-    def _lanes(self, first: np.ndarray) -> list[int]:
-        return self._bounds(first, self.width * self.plan.per_lane, 0, self.plan.lanes)
-
-    def ask(self, block: int, keys: list[np.ndarray], values: list[np.ndarray], note: Callable[[int, int], bytes] | None = None, own: bytes | None = None):
-        """A block's questions. note: bytes for the run of keys from one place to another; own: bytes for the block, with no keys."""
-        at, rows = self._lanes(keys[0]), []
-        for lane, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if a < b:
-                rows.append((block, lane, [pack(keys[0][a:b]), *(planes(x[a:b]) for x in (*keys[1:], *values))], note(a, b) if note else None))
+    def _runs(self, keys: list[np.ndarray], per: int, lo: int, n: int):
+        """(order, bounds): the keys dealt by their shard // per, from lo on, n runs; keys keep their order within a run."""
+        place = self.place(keys) if self.place else keys[0]
+        which = (place // np.uint64(self.width)).astype(np.int64) // per - lo
+        which = which.astype(np.uint16) if n < 1 << 16 else which
+        order = np.argsort(which, kind="stable")
+        return order, np.searchsorted(which[order], np.arange(n + 1)).tolist()
+
+    def _lanes(self, keys):
+        return self._runs(keys, self.plan.per_lane, 0, self.plan.lanes)
+
+    @staticmethod
+    def _packed(keys, values, which) -> list[bytes]:
+        return [pack(keys[0][which]), *(planes(x[which]) for x in (*keys[1:], *values))]
+
+    def ask(self, block: int, keys: list[np.ndarray], values: list[np.ndarray], note: Callable[[np.ndarray], bytes] | None = None, own: bytes | None = None):
+        """A block's questions. note: bytes for the keys at these places; own: bytes for the block, with no keys."""
+        rows = []
+        if len(keys[0]):
+            order, at = self._lanes(keys)
+            for lane, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                if a < b:
+                    which = order[a:b]
+                    rows.append((block, lane, b - a, self._packed(keys, values, which), note(which) if note else None))
         if own is not None:
-            rows.append((block, block % self.plan.lanes, [], own))
+            rows.append((block, block % self.plan.lanes, 0, [], own))
         return _table(rows)
 
     def _open(self, table):
         """(blocks, lanes, notes, cut points, keys, values) of rows with keys."""
-        cols = table.column("cols").to_pylist()
-        first = [unpack(c[0]) for c in cols]
-        rest = [[from_planes(x, len(f)) for x in c[1:]] for c, f in zip(cols, first, strict=True)]
-        cut = np.cumsum([0, *(len(f) for f in first)])
-        every = [np.concatenate(first), *(np.concatenate(x) for x in zip(*rest, strict=True))] if first else []
-        return table.column("block").to_pylist(), table.column("lane").to_pylist(), table.column("note").to_pylist(), cut, every[: self.keys], every[self.keys :]
+        cols, n = table.column("cols").to_pylist(), table.column("n").to_pylist()
+        parts = [[unpack(c[0], k), *(from_planes(x, k) for x in c[1:])] for c, k in zip(cols, n, strict=True)]
+        every = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return table.column("block").to_pylist(), table.column("lane").to_pylist(), table.column("note").to_pylist(), np.cumsum([0, *n]), every[: self.keys], every[self.keys :]
 
     def _apart(self, table):
         """(rows without keys, rows with keys)."""
         import pyarrow.compute as pc
 
-        bare = pc.equal(pc.list_value_length(table.column("cols")), 0)
+        bare = pc.equal(table.column("n"), 0)
         return table.filter(bare), table.filter(pc.invert(bare))
 
     def _serve(self, table):
@@ -189,63 +200,73 @@ class Exchange:
             told = [np.isin(np.arange(len(place)), first)]
         else:
             told = [x[place] for x in self.answer(keys, values)]
-        rows = [(b, ln, [planes(x[cut[i] : cut[i + 1]].astype(k)) for x, k in zip(told, self.replies, strict=True)], n) for i, (b, ln, n) in enumerate(zip(block, lane, note, strict=True))]
+        rows = [(b, ln, cut[i + 1] - cut[i], [planes(x[cut[i] : cut[i + 1]].astype(k)) for x, k in zip(told, self.replies, strict=True)], n) for i, (b, ln, n) in enumerate(zip(block, lane, note, strict=True))]
         if self.tally:
-            rows.append((TALLY, lane[0], [], self.tally(keys, values)))
+            rows.append((TALLY, lane[0], 0, [], self.tally(keys, values)))
         return pa.concat_tables([_table(rows), own])
 
+    def _told(self, n: int, order: np.ndarray, at: list[int], rows: dict[int, list[bytes]]) -> list[np.ndarray]:
+        """Answers by run, in the order of the keys."""
+        out = []
+        for j, k in enumerate(self.replies):
+            told = np.zeros(n, k)
+            if n:
+                told[order] = np.concatenate([from_planes(rows[i][j], b - a, k if k is bool else None) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b])
+            out.append(told)
+        return out
+
     def run(self, asked: DataFrame) -> DataFrame:
-        """(block, lane, cols, note): the replies to the rows of `ask`."""
+        """(block, lane, n, cols, note): the replies to the rows of `ask`."""
         p = self.plan
         serve = lambda table: self._serve(table)  # noqa: E731  Spark counts a method's self as an argument
         if p.direct:
             return asked.groupBy("lane").applyInArrow(serve, FIELDS)
         asked = asked.withColumn("grp", F.floor(F.col("block") / p.per_group).cast("int"))
+        fields = ["block", "lane", "n", "cols", "note"]
+
+        def shards(keys, lane: int):
+            lo = lane * p.per_lane
+            return lo, *self._runs(keys, 1, lo, min(p.per_lane, p.shards - lo))
 
         def gather(table):
             """The questions of a group's blocks on one lane, merged, to the lane's shards."""
-            _, table = self._apart(table.select(["block", "lane", "cols", "note", "grp"]))
-            if not table.num_rows:
+            _, rows = self._apart(table.select(fields))
+            if not rows.num_rows:
                 return _table([])
-            grp, ln = table.column("grp")[0].as_py(), table.column("lane")[0].as_py()
-            keys, values, _, _ = _merged(*self._open(table)[4:], self.least)
-            lo, hi = ln * p.per_lane, min((ln + 1) * p.per_lane, p.shards)
-            at = self._bounds(keys[0], self.width, lo, hi)
-            return _table([(grp, lo + i, [pack(keys[0][a:b]), *(planes(x[a:b]) for x in (*keys[1:], *values))], None) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b])
+            grp, lane = table.column("grp")[0].as_py(), rows.column("lane")[0].as_py()
+            keys, values, _, _ = _merged(*self._open(rows)[4:], self.least)
+            lo, order, at = shards(keys, lane)
+            return _table([(grp, lo + i, b - a, self._packed(keys, values, order[a:b]), None) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b])
 
         def hand_on(table, told):
             import pyarrow as pa
 
-            own, table = self._apart(table.select(["block", "lane", "cols", "note"]))
-            if not table.num_rows:
-                tallies = [(TALLY, 0, [], n) for g, n in zip(told.column("grp").to_pylist(), told.column("note").to_pylist(), strict=True) if g == TALLY]
+            own, rows = self._apart(table.select(fields))
+            if not rows.num_rows:
+                tallies = [(TALLY, 0, 0, [], n) for g, n in zip(told.column("grp").to_pylist(), told.column("note").to_pylist(), strict=True) if g == TALLY]
                 return pa.concat_tables([own, _table(tallies)])
-            block, lane, note, cut, keys, values = self._open(table)
+            block, lane, note, cut, keys, values = self._open(rows)
             keys, _, place, first = _merged(keys, values, self.least)
-            ln = lane[0]
-            at = self._bounds(keys[0], self.width, ln * p.per_lane, min((ln + 1) * p.per_lane, p.shards))
-            rows = dict(zip(told.column("shard").to_pylist(), told.column("cols").to_pylist(), strict=True))
-            parts = [(rows[ln * p.per_lane + i], b - a) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
-            reply = [np.concatenate([from_planes(r[j], n, k if k is bool else None) for r, n in parts])[place] for j, k in enumerate(self.replies)]
+            lo, order, at = shards(keys, lane[0])
+            by_shard = {s - lo: c for s, c in zip(told.column("shard").to_pylist(), told.column("cols").to_pylist(), strict=True)}
+            reply = [x[place] for x in self._told(len(keys[0]), order, at, by_shard)]
             if self.least:
                 reply[0] &= np.isin(np.arange(len(place)), first)
-            out = [(b, ln, [planes(x[cut[i] : cut[i + 1]].astype(k)) for x, k in zip(reply, self.replies, strict=True)], n) for i, (b, n) in enumerate(zip(block, note, strict=True))]
+            out = [(b, lane[0], cut[i + 1] - cut[i], [planes(x[cut[i] : cut[i + 1]].astype(k)) for x, k in zip(reply, self.replies, strict=True)], n) for i, (b, n) in enumerate(zip(block, note, strict=True))]
             return pa.concat_tables([_table(out), own])
 
         merged = asked.groupBy("grp", "lane").applyInArrow(gather, FIELDS)
         told = merged.groupBy("lane").applyInArrow(serve, FIELDS).select(F.col("block").alias("grp"), F.floor(F.col("lane") / p.per_lane).cast("int").alias("lane"), F.col("lane").alias("shard"), "cols", "note")
         return asked.groupBy("grp", "lane").cogroup(told.groupBy("grp", "lane")).applyInArrow(hand_on, FIELDS)
 
-    def read(self, replies, first: np.ndarray) -> list[np.ndarray]:
-        """The answers to a block's keys, in their order. first: the keys' first column; replies: the block's rows."""
+    def read(self, replies, keys: list[np.ndarray]) -> list[np.ndarray]:
+        """The answers to a block's keys, in their order. replies: the block's rows."""
         _, replies = self._apart(replies)
-        rows = dict(zip(replies.column("lane").to_pylist(), replies.column("cols").to_pylist(), strict=True))
-        at = self._lanes(first)
-        parts = [(rows[i], b - a) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
-        return [np.concatenate([np.zeros(0, k), *(from_planes(r[j], n, k if k is bool else None) for r, n in parts)]) for j, k in enumerate(self.replies)]
+        order, at = self._lanes(keys)
+        return self._told(len(keys[0]), order, at, dict(zip(replies.column("lane").to_pylist(), replies.column("cols").to_pylist(), strict=True)))
 
-    def notes(self, replies) -> tuple[list[bytes], list[bytes]]:
-        """(the notes on a block's lanes in order, the block's own)."""
+    def notes(self, replies) -> tuple[list[tuple[int, list[bytes], bytes]], list[bytes]]:
+        """(number of keys, answers and note of each of a block's lanes in order; the block's own)."""
         own, replies = self._apart(replies)
-        rows = sorted(zip(replies.column("lane").to_pylist(), replies.column("note").to_pylist(), strict=True))
-        return [n for _, n in rows], own.column("note").to_pylist()
+        rows = sorted(zip(*(replies.column(c).to_pylist() for c in ("lane", "n", "cols", "note")), strict=True))
+        return [r[1:] for r in rows], own.column("note").to_pylist()

@@ -129,7 +129,7 @@ def postings(docs: DataFrame, n_bytes: int, words: int = WORDS, threshold: int =
     def post(table: pa.Table, replies: pa.Table) -> pa.Table:
         found = sets_of(table)
         keys, which, _ = keys_of(found)
-        levels = rarity.read(replies, keys)[0][which]
+        levels = rarity.read(replies, [keys])[0][which]
         out, first = [], 0
         for (h1, _), x in found.items():
             size, level = len(x), levels[first : first + len(x)]

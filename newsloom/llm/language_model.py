@@ -2,10 +2,10 @@
 
 Words get their training counts first: documents stand in blocks; a block asks the shards of the vocabulary about its
 distinct words and gets their counts and ids. Then it asks the shards of contexts about its distinct trigrams: a
-context is the two words before, one 64-bit hash of their ids, and its follower a word id. A shard adds up the training
-counts and builds its trie (Elias-Fano levels of contexts, pointers and followers; 16-bit smoothed probabilities and
-back-off weights; all in memory-mapped arrays) and answers by successor search within the context's pointers. Nothing
-of the model is on one machine, and its number of shards grows with the input.
+context is the ids of the two words before, and its follower a word id; its shard is a hash of the context. A shard adds
+up the training counts and builds its trie (Elias-Fano levels of contexts, pointers and followers; 16-bit smoothed
+probabilities and back-off weights; all in memory-mapped arrays) and answers by successor search within the context's
+pointers. Nothing of the model is on one machine, and its number of shards grows with the input.
 
 Every level is a mixture with the one below, with a prior of `PRIORS` observations (Dirichlet smoothing):
 
@@ -68,7 +68,7 @@ class _Block:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def trigrams(self, count: np.ndarray, ids: np.ndarray):
-        """(context hashes, followers, training counts: distinct, in order; places of: each token's own key, its
+        """(keys: words u and v, part, follower; training counts: distinct, in order; places of: each token's own key, its
         context's whole, the key after it, that key's whole; -1 where there is none)."""
         n, rows = len(self.which), len(self.lengths)
         # every row's tokens, with two starts before and what comes after the end; there are as many starts as ends
@@ -84,26 +84,25 @@ class _Block:
         ok = (u != _NONE) & (v != _NONE)  # a pair with an unseen word has no count
         least = np.minimum(c[keyed - 2], c[keyed - 1])
         parts = np.maximum(1, -(-least // DEALT)).astype(np.uint64)
-        pair = common.mix(common.mix(u, 21) + v, 22)
         dealt = parts > 1
-        context = np.where(dealt, common.mix(pair + common.mix(w, 24) % parts, 23), pair)
+        part = np.where(dealt, common.mix(w, 24) % parts + np.uint64(1), np.uint64(0))
         train = np.zeros(size, bool)
         train[at] = self.train
         train[after] = ~self.held
         one, own = ok & (w != _NONE), ok & (dealt | (w == _NONE))
-        keys = np.concatenate([context[one], pair[own]])
-        follow = np.concatenate([w[one], np.full(int(own.sum()), _WHOLE, np.uint64)])
+        many, zero = int(own.sum()), np.uint64(0)
+        keys = [np.concatenate(x) for x in ((u[one], u[own]), (v[one], v[own]), (part[one], np.full(many, zero)), (w[one], np.full(many, _WHOLE, np.uint64)))]
         told = np.concatenate([train[keyed][one], train[keyed][own]])
-        order = np.lexsort((follow, keys))
-        keys, follow = keys[order], follow[order]
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
         new = np.ones(len(order), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (follow[1:] != follow[:-1])
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         total = np.bincount(place, weights=told, minlength=int(new.sum())).astype(np.uint32)
         mine, whole = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         mine[keyed[one]], whole[keyed[own]] = place[: int(one.sum())], place[int(one.sum()) :]
-        return keys[new], follow[new], total, (mine[at], whole[at], mine[at + 1], whole[at + 1])
+        return [k[new] for k in keys], total, (mine[at], whole[at], mine[at + 1], whole[at + 1])
 
 
 def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", priors: tuple[float, float] = PRIORS, fan: int | None = None) -> DataFrame:
@@ -119,22 +118,28 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
     def number(keys, sums):
         """Counts, and ids of the words that training rows have: their place among all in order of the shard's hash range."""
         count = sums[0]
-        shard = int(keys[0][0]) // width if len(keys[0]) else 0
+        shard = int(keys[0][0]) // width
         ids = np.where(count > 0, (np.cumsum(count > 0) - 1).astype(np.uint64) * np.uint64(plan.shards) + np.uint64(shard + _FIRST_ID), _NONE)
         return count, ids
 
+    def context(keys) -> np.ndarray:
+        """64 bits for a pair of words, and a part of its followers."""
+        return common.mix(common.mix(common.mix(keys[0], 21) + keys[1], 22) + keys[2], 23)
+
     def answer(keys, sums):
+        hashed, follow = context(keys), keys[3].astype(np.int64)
         some = np.flatnonzero(sums[0])
-        trie = Trie(keys[0][some], keys[1][some].astype(np.int64), sums[0][some].astype(np.int64), k3)
-        context, which = np.unique(keys[0], return_inverse=True)
-        at, backoff = trie.contexts_of(context)
-        return trie.lookup(at[which], keys[1].astype(np.int64)), backoff[which]
+        some = some[np.argsort(hashed[some], kind="stable")]  # followers of a context stay in order
+        trie = Trie(hashed[some], follow[some], sums[0][some].astype(np.int64), k3)
+        each, which = np.unique(hashed, return_inverse=True)
+        at, backoff = trie.contexts_of(each)
+        return trie.lookup(at[which], follow), backoff[which]
 
     def tally(keys, sums):
         return np.array([sums[0].sum(), (sums[0] > 0).sum()], np.uint64).tobytes()
 
     words = blocks.Exchange(plan, 1 << 64, 1, (np.uint64, np.uint64), number, tally=tally)
-    grams = blocks.Exchange(plan, 1 << 64, 2, (np.uint16, np.uint16), answer)
+    grams = blocks.Exchange(plan, 1 << 64, 4, (np.uint16, np.uint16), answer, place=context)
 
     def ask_words(table: pa.Table) -> pa.Table:
         b = _Block(table)
@@ -145,15 +150,15 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
         notes = table.column("note").to_pylist() if blocks.block_of(table) == blocks.TALLY else []
         sums = np.sum([np.frombuffer(x, np.uint64) for x in notes], axis=0).tobytes() if notes else b""
         n = plan.blocks if notes else 0
-        return pa.table({"block": pa.array(range(n), pa.int32()), "lane": pa.array([0] * n, pa.int32()), "cols": pa.array([[]] * n, pa.list_(pa.binary())), "note": pa.array([sums] * n, pa.binary()), "kind": pa.array([2] * n, pa.int32())})
+        return pa.table({"block": pa.array(range(n), pa.int32()), "lane": pa.array([0] * n, pa.int32()), "n": pa.array([0] * n, pa.int32()), "cols": pa.array([[]] * n, pa.list_(pa.binary())), "note": pa.array([sums] * n, pa.binary()), "kind": pa.array([2] * n, pa.int32())})
 
     def ask_grams(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return grams.ask(0, [np.zeros(0, np.uint64)] * 2, [])
+            return grams.ask(0, [np.zeros(0, np.uint64)] * 4, [])
         b = _Block(table)
-        count, ids = words.read(replies, b.words)
-        keys, follow, total, _ = b.trigrams(count.astype(np.int64), ids)
-        return grams.ask(blocks.block_of(table), [keys, follow], [total])
+        count, ids = words.read(replies, [b.words])
+        keys, total, _ = b.trigrams(count.astype(np.int64), ids)
+        return grams.ask(blocks.block_of(table), keys, [total])
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
@@ -162,11 +167,11 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
             return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         b = _Block(table)
         kind = replies.column("kind")
-        part = lambda k: replies.filter(pc.equal(kind, k)).select(["block", "lane", "cols", "note"])
+        part = lambda k: replies.filter(pc.equal(kind, k)).drop_columns(["kind"])
         total, types = np.frombuffer(part(2).column("note")[0].as_py(), np.uint64).tolist()
-        count, ids = words.read(part(0), b.words)
+        count, ids = words.read(part(0), [b.words])
         count = count.astype(np.int64)
-        keys, _, _, (mine, whole, after, after_whole) = b.trigrams(count, ids)
+        keys, _, (mine, whole, after, after_whole) = b.trigrams(count, ids)
         code, back = grams.read(part(1), keys)
         code, back = np.append(restore(code), 0.0), np.append(np.where(back > 0, restore(back), 1.0), 1.0)  # the last: none
         pairs = lambda m, w: np.rint(k3 / np.where(w >= 0, back[w], back[m]) - k3)  # noqa: E731  a context's count

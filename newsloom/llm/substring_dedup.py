@@ -82,7 +82,7 @@ def marked_windows(blocked: DataFrame, n_bytes: int, plan: blocks.Plan, width: i
             return exact.ask(0, [np.zeros(0, np.uint64)] * 2, [])
         ids, null, h1, h2 = (np.concatenate(p) for p in zip(*parts, strict=True))
         cells, a, b = _cells(h1, total)
-        (many,) = sketch.read(replies, cells)
+        (many,) = sketch.read(replies, [cells])
         keep = np.flatnonzero(many[a] & many[b])
         # of a block's equal windows only the first can be the first of all: the others are marked here and don't travel as keys
         order = keep[np.lexsort((keep, h2[keep], h1[keep]))]
@@ -92,7 +92,7 @@ def marked_windows(blocked: DataFrame, n_bytes: int, plan: blocks.Plan, width: i
         block = blocks.block_of(table)
         values = [null[order].astype(np.uint8), ids[order].astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63), np.full(len(order), block, np.uint32)]
         ordinals = order.astype(np.uint32)
-        return exact.ask(block, [h1[order], h2[order]], values, lambda i, j: blocks.planes(ordinals[i:j]), blocks.planes(later.astype(np.uint32)) if len(later) else None)
+        return exact.ask(block, [h1[order], h2[order]], values, lambda which: blocks.planes(ordinals[which]), later.astype(np.uint32).tobytes() if len(later) else None)
 
     replies = sketch.run(blocked.groupBy("block").applyInArrow(asked, blocks.FIELDS))
     return exact.run(blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(passed, blocks.FIELDS))
@@ -105,12 +105,11 @@ def _exact(plan: blocks.Plan) -> blocks.Exchange:
 
 def _marks(replies) -> np.ndarray:
     """Ordinals of a block's marked windows, in order."""
-    read = lambda x: blocks.from_planes(x, len(x) // 4).astype(np.int64)
-    gone = []
-    for cols, note in zip(replies.column("cols").to_pylist(), replies.column("note").to_pylist(), strict=True):
-        ordinals = read(note)
-        gone.append(ordinals[~blocks.from_planes(cols[0], len(ordinals), bool)] if cols else ordinals)
-    return np.sort(np.concatenate([np.zeros(0, np.int64), *gone]))
+    lanes, own = _exact(blocks.Plan(1, 1, 1)).notes(replies)
+    gone = [np.frombuffer(x, np.uint32) for x in own]
+    for n, cols, note in lanes:
+        gone.append(blocks.from_planes(note, n)[~blocks.from_planes(cols[0], n, bool)])
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *gone]).astype(np.int64))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, cells_per_window: int = CELLS_PER_WINDOW, digest: bool = False, fan: int | None = None) -> DataFrame:
