@@ -3,14 +3,19 @@
 Patterns find e-mails, IPv4 addresses, cards (Luhn) and phones; they stay whatever the model says. The model labels
 the words that hold a digit or an @ (others can't be of these kinds). Its graph is one per document: neighbouring
 words are linked, and so are equal or similar words anywhere in it (same letters and digits), each occurrence with the
-next, so that a word's links grow with its count and not with its square. Sum-product messages run over the loops a
-fixed number of rounds; so an occurrence that stands in a clear context lends its label to the ones that don't. Weights
-are learned by pseudo-likelihood from what the patterns find, on at most `MAX_TEXTS` texts (smallest hash of the id).
-Runs of words with one label, likelier than `SURE`, that touch no pattern's span are added under that kind.
-
-Defined cases: null text counts as empty; texts without digits or @ have no spans; places are code points, end
-exclusive; rows with null id are scanned but not learned from; repeated rows come back each; an empty table learns
-nothing and returns nothing.
+next, so that a word's links grow with its count and not with its square. Words under a pattern's span have its label
+for certain; sum-product messages run over the loops a fixed number of rounds; so an occurrence that a pattern knows
+lends its label to the ones that it misses (1-555-555-0199 after +1-555-555-0199, 10-0-0-7 after 10.0.0.7).
+
+Weights are learned by pseudo-likelihood from what the patterns find, on one text each of at most `MAX_TEXTS` ids
+(smallest hash) with texts of at most `MAX_CHARS` characters. Were the patterns' own features always seen, they would
+carry all the weight and the model would only repeat the patterns: so they are hidden from a share `HIDDEN` of the words
+under spans, which must then be told by neighbours, cue words and similar words elsewhere. Runs of words with one label,
+likelier than `SURE`, that touch no pattern's span are added under that kind.
+
+Time is linear in a text's length. Defined cases: null text counts as empty; texts without digits or @ have no spans;
+places are code points, end exclusive; rows with null id are scanned but not learned from; repeated rows come back each;
+an empty table learns nothing and returns nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TEXTS, ROUNDS, SURE = 2000, 6, 0.9
+MAX_TEXTS, MAX_CHARS, ROUNDS, SURE = 2000, 100_000, 6, 0.7
+HIDDEN = 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -79,7 +85,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the field ---------------------------------------------------------------------------------
 
 _CUES = ({"email", "e-mail", "mail", "correo", "courriel"}, {"ip", "host", "server", "address"}, {"card", "visa", "karte", "carte", "tarjeta"}, {"phone", "tel", "call", "telefon", "tél", "fax", "mobile"})
-N_FEATURES = 20
+N_FEATURES = 21
+#: The features that decide a pattern (@, domain, dotted quad, its parts, Luhn, plus sign), and the shape of mixed words,
+#: which would stand for an address by itself where a corpus has few others.
+DECIDING = (1, 2, 3, 4, 6, 10, 13, 14)
+#: What is believed of a similar word's gain before data speak, and how strongly: names recur, so it is high.
+SKIP_GAIN, BELIEF = 4.0, 0.02
+#: The unary gain of a label that a pattern gives.
+CERTAIN = 20.0
 
 
 def _features(word: str, before: str, next_is: bool, previous_is: bool) -> list[float]:
@@ -92,7 +105,7 @@ def _features(word: str, before: str, next_is: bool, previous_is: bool) -> list[
     return [
         1, "@" in core, at > 0 and "." in core[at:], quad, quad and all(len(p) < 4 and int(p) < 256 for p in parts), only and digits >= 16, only and digits == len(core) and 16 <= digits <= 19 and luhn(core),
         only and 7 <= digits <= 12, only and 3 <= digits < 7, only and digits < 3, core[:1] == "+", "(" in word and ")" in word, "-" in core and only, digits > 0 and not only, len(core) > 24,
-        *(before in c for c in _CUES), next_is or previous_is,
+        *(before in c for c in _CUES), next_is or previous_is, only and "." in core,
     ]
 
 
@@ -126,13 +139,16 @@ class Graph:
         self.chain, self.skip = np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
     def labels(self, spans: list[tuple[int, int, int]]) -> np.ndarray:
-        """What the patterns say of each word: 0, or 1 + the kind's place."""
+        """What the patterns say of each word: 0, or 1 + the kind's place, the first kind where two meet."""
         out = np.zeros(len(self.at), np.int64)
-        for i, (_, a, b) in enumerate(self.at):
-            for k, s, e in spans:
-                if s < b and a < e:
-                    out[i] = k + 1
-                    break
+        first, end = (np.array([w[i] for w in self.at], np.int64) for i in (1, 2))
+        for kind in range(len(KINDS) - 1, -1, -1):
+            own = np.array([(s, e) for k, s, e in spans if k == kind], np.int64).reshape(-1, 2)  # in order, apart
+            if len(own):
+                at = np.searchsorted(own[:, 1], first, side="right")
+                met = at < len(own)
+                met[met] = own[at[met], 0] < end[met]
+                out[met] = kind + 1
         return out
 
 
@@ -157,18 +173,20 @@ class Field:
         np.add.at(after, chain[:, 0], one[chain[:, 1]])
         np.add.at(alike, skip[:, 0], one[skip[:, 1]])
         np.add.at(alike, skip[:, 1], one[skip[:, 0]])
-        w, a, b = np.zeros((x.shape[1], k)), np.zeros((k, k)), np.ones(k)
+        w, a, b = np.zeros((x.shape[1], k)), np.zeros((k, k)), np.full(k, SKIP_GAIN)
         for _ in range(steps):
             p = _softmax(x @ w + before @ a + after @ a.T + alike * b)
             g = (one - p) / max(1, len(y))
             w += rate * (20 * (x.T @ g) - decay * w)
             a += rate * (20 * (before.T @ g + (after.T @ g).T) - decay * a)
-            b = np.maximum(0.5, b + rate * (20 * (alike * g).sum(axis=0) - decay * b))  # similar words never repel
+            b = np.maximum(0, b + rate * (20 * (alike * g).sum(axis=0) - BELIEF * (b - SKIP_GAIN)))  # similar words never repel
         return cls(w, a, b)
 
-    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product, all links at once in each round."""
+    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS, known: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product, all links at once in each round. known: labels given by patterns, 0 where none is."""
         own = x @ self.unary
+        if known is not None:
+            own = own + CERTAIN * np.eye(own.shape[1])[known] * (known > 0)[:, None]
         if not len(chain) + len(skip):
             return _softmax(own)
         k = own.shape[1]
@@ -197,7 +215,7 @@ class Field:
         known = g.labels(base)
         if known.all():
             return []
-        p = self.marginals(g.x, g.chain, g.skip)
+        p = self.marginals(g.x, g.chain, g.skip, known=known)
         label, sure = p.argmax(axis=1), p.max(axis=1)
         out: list[tuple[int, int, int]] = []
         last = None
@@ -213,12 +231,21 @@ class Field:
         return [x for x in out if x[2] > x[1]]
 
 
-def fit(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Field | None:
+def hidden(x: np.ndarray, y: np.ndarray, share: float = HIDDEN, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(x without the deciding features of a share of the labelled words, which words those are)."""
+    some = (y > 0) & (np.random.default_rng(seed).random(len(y)) < share)
+    x = x.copy()
+    x[np.ix_(some, DECIDING)] = 0
+    return x, some
+
+
+def fit(docs: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS, share: float = HIDDEN) -> Field | None:
     """Learns from a bounded sample of (doc_id, text); what comes to the driver are its words' features."""
     import pyarrow as pa
 
-    with_signs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
-    ids = F.broadcast(with_signs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_texts).distinct())
+    with_signs = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike("[0-9@]"))
+    ids = F.broadcast(with_signs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_texts))
+    one = with_signs.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +255,7 @@ def fit(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Field | None:
                 rows.append((g.x.astype(np.float32).tobytes(), g.labels(base_spans(t)).astype(np.int8).tobytes(), g.chain.tobytes(), g.skip.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(4)], ["x", "y", "chain", "skip"])
 
-    rows = with_signs.join(ids, "doc_id").select("text").mapInArrow(run, "x binary, y binary, chain binary, skip binary").collect()
+    rows = one.select("text").mapInArrow(run, "x binary, y binary, chain binary, skip binary").collect()
     x, y, chain, skip, n = [], [], [], [], 0
     for r in sorted(rows, key=lambda r: (bytes(r["x"]), bytes(r["y"]))):
         y.append(np.frombuffer(r["y"], np.int8))
@@ -238,7 +265,8 @@ def fit(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Field | None:
         n += len(y[-1])
     if not n or not any(len(v) and v.any() for v in y):
         return None
-    return Field.fit(np.concatenate(x).astype(float), np.concatenate(y).astype(np.int64), np.concatenate(chain), np.concatenate(skip))
+    y = np.concatenate(y).astype(np.int64)
+    return Field.fit(hidden(np.concatenate(x).astype(float), y, share)[0], y, np.concatenate(chain), np.concatenate(skip))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -246,7 +274,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, model: Field | None) -> DataFrame:
-    """(doc_id, base, spans: arrays of (kind, start, end)-strings joined, counts) of (doc_id, text)."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans, n_added) of (doc_id, text): counts of the patterns' spans, those and
+    all spans as joined kind:start:end, and how many the model added."""
     import pyarrow as pa
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -259,14 +288,14 @@ def find(docs: DataFrame, model: Field | None) -> DataFrame:
                 for t in part.column(1).to_pylist():
                     base = base_spans(t) if t and _SIGN.search(t) else []
                     more = model.added(t, base) if model is not None and t and _SIGN.search(t) else []
-                    rows.append(([sum(k == i for k, _, _ in base) for i in range(4)], joined(base), joined(base + more)))
+                    rows.append(([sum(k == i for k, _, _ in base) for i in range(4)], joined(base), joined(base + more), len(more)))
                 counts = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string, n_added long")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find(docs, fit(docs))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", (sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)) + F.col("n_added")).alias("n_spans"))
