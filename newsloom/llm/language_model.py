@@ -116,11 +116,13 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
     width = -(-(1 << 64) // plan.shards)
 
     def number(keys, sums):
-        """Counts, and ids of the words that training rows have: their place among all in order of the shard's hash range."""
-        count = sums[0]
+        """Counts, and ids of the words that training rows have: the shard's commonest words have the smallest ids, so that
+        the ids of running text pack well."""
+        count = sums[0].astype(np.int64)
+        rank = np.empty(len(count), np.uint64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint64)
         shard = int(keys[0][0]) // width
-        ids = np.where(count > 0, (np.cumsum(count > 0) - 1).astype(np.uint64) * np.uint64(plan.shards) + np.uint64(shard + _FIRST_ID), _NONE)
-        return count, ids
+        return count, np.where(count > 0, rank * np.uint64(plan.shards) + np.uint64(shard + _FIRST_ID), _NONE)
 
     def context(keys) -> np.ndarray:
         """64 bits for a pair of words, and a part of its followers."""
@@ -133,7 +135,9 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
         trie = Trie(hashed[some], follow[some], sums[0][some].astype(np.int64), k3)
         each, which = np.unique(hashed, return_inverse=True)
         at, backoff = trie.contexts_of(each)
-        return trie.lookup(at[which], follow), backoff[which]
+        back = backoff[which]
+        # both codes are logarithms, and most counts are 1: their difference is nearly the same everywhere
+        return trie.lookup(at[which], follow) - back, back
 
     def tally(keys, sums):
         return np.array([sums[0].sum(), (sums[0] > 0).sum()], np.uint64).tobytes()
@@ -173,6 +177,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
         count = count.astype(np.int64)
         keys, _, (mine, whole, after, after_whole) = b.trigrams(count, ids)
         code, back = grams.read(part(1), keys)
+        code = code + back  # modulo 2**16, as it was taken
         code, back = np.append(restore(code), 0.0), np.append(np.where(back > 0, restore(back), 1.0), 1.0)  # the last: none
         pairs = lambda m, w: np.rint(k3 / np.where(w >= 0, back[w], back[m]) - k3)  # noqa: E731  a context's count
         c = count[b.which].astype(float)
