@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import surrogates
 from .functions import dates, hashes, numbers, structured, text, urls
 from .operators import entities, policy, ranking, state, views
 from .plans import publish
@@ -62,8 +63,8 @@ def p06_screen_guard(spark, d):
 
 
 @query(f"""WITH {ITEMS_SQL}, a AS (SELECT item_id, item_id % 50 <> 0 AS projected, CASE WHEN item_id % 17 = 0 THEN '  ' ELSE title END AS summary, CASE WHEN item_id % 7 <> 0 THEN item_id * 13 % 101 END AS relevance, item_id * 29 % 101 AS score FROM items),
-  r AS (SELECT item_id, CASE WHEN NOT projected THEN 'missing_projection' WHEN coalesce(trim(summary, ' '), '') = '' THEN 'summary_empty' WHEN relevance < 60 THEN 'low_relevance' WHEN score < 60 THEN 'low_score' ELSE 'admitted' END AS reason FROM a)
-  SELECT item_id, CASE WHEN reason = 'admitted' THEN 'active' ELSE 'filtered' END AS decision, reason FROM r""")
+  r AS (SELECT item_id, CASE WHEN NOT projected THEN 'analysis_projection_missing' WHEN coalesce(trim(summary, ' '), '') = '' THEN 'analysis_structural_invalid' WHEN relevance < 60 THEN 'below_ai_relevance_threshold' WHEN score < 60 THEN 'below_score_threshold' ELSE 'analysis_ready' END AS reason FROM a)
+  SELECT item_id, CASE WHEN reason = 'analysis_ready' THEN 'active' ELSE 'filtered' END AS decision, reason FROM r""")
 def p10_admission_gates(spark, d):
     i = F.col("item_id")
     decision, reason = policy.admission(i % 50 != 0, F.when(i % 17 == 0, "  ").otherwise(F.col("title")), F.when(i % 7 != 0, i * 13 % 101), i * 29 % 101)
@@ -86,17 +87,24 @@ def f24_novelty(spark, d):
     return table(spark, d, "events").select("event_id", policy.novelty(v).alias("novelty"))
 
 
-@query("""WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'rejected' ELSE 'odd' END AS req, CASE WHEN event_type = 'error' THEN 'repeat' ELSE 'new' END AS nov, event_id % 3 AS facts, CASE WHEN event_id % 6 = 0 THEN 'k' END AS prior,
-    CASE event_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'repeat' WHEN 2 THEN 'meaningful_update' WHEN 3 THEN 'uncertain' ELSE 'odd' END AS hist FROM events)
-  SELECT event_id, CASE WHEN nov = 'repeat' THEN 'rejected' WHEN req = 'candidate' AND facts = 0 THEN 'needs_review' WHEN req IN ('candidate', 'needs_review', 'rejected') THEN req ELSE 'needs_review' END AS publishability,
-    CASE WHEN prior IS NOT NULL AND hist = 'meaningful_update' AND facts > 0 THEN 'meaningful_update' WHEN prior IS NOT NULL THEN 'repeat' WHEN hist IN ('new', 'uncertain') THEN hist ELSE 'uncertain' END AS history FROM x""")
+_E12 = {
+    "req": "CASE event_id % 5 WHEN 0 THEN 'candidate' WHEN 1 THEN 'Needs_Review' WHEN 2 THEN 'rejected' WHEN 3 THEN NULL ELSE 'odd' END", "nov": "CASE WHEN event_type = 'error' THEN 'Repeat' ELSE 'new' END", "facts": "CAST(event_id % 3 AS INT)",
+    "hist": "CASE event_id % 6 WHEN 0 THEN 'new' WHEN 1 THEN 'Repeat' WHEN 2 THEN 'meaningful_update' WHEN 3 THEN 'uncertain' WHEN 4 THEN NULL ELSE 'odd' END", "asked": "CASE WHEN event_id % 7 = 0 THEN 'k' END", "known": "event_id % 14 = 0", "exact": "CASE WHEN event_id % 9 = 0 THEN 'x' END",
+}
+
+
+@query(f"""WITH x AS (SELECT event_id, {', '.join(f'{v} AS {k}' for k, v in _E12.items())} FROM events),
+  y AS (SELECT *, lower(coalesce(req, 'candidate')) AS r, lower(nov) = 'repeat' AS rep, lower(coalesce(hist, 'uncertain')) AS h, asked IS NOT NULL AND NOT known AS outside FROM x),
+  z AS (SELECT *, r IN ('candidate', 'needs_review', 'rejected') AS valid, CASE WHEN r IN ('candidate', 'needs_review', 'rejected') THEN r ELSE 'needs_review' END AS v, CASE WHEN NOT outside THEN coalesce(asked, exact) END AS prior FROM y)
+  SELECT event_id, CASE WHEN rep THEN 'rejected' WHEN v = 'candidate' AND facts = 0 THEN 'needs_review' ELSE v END AS publishability,
+    concat_ws(',', CASE WHEN NOT valid THEN 'invalid_publishability' END, CASE WHEN rep THEN 'confirmed_repeat_without_material_change' WHEN v = 'candidate' AND facts = 0 THEN 'candidate_without_facts' WHEN v = 'needs_review' THEN 'uncertain_event_core' END) AS flags,
+    CASE WHEN outside THEN 'uncertain' WHEN prior IS NOT NULL THEN CASE WHEN h = 'meaningful_update' AND facts > 0 THEN 'meaningful_update' ELSE 'repeat' END WHEN h IN ('new', 'uncertain') THEN h ELSE 'uncertain' END AS history, prior,
+    CASE WHEN outside THEN 'prior_event_outside_history_window' WHEN prior IS NULL AND h IN ('repeat', 'meaningful_update') THEN 'history_match_not_found' WHEN prior IS NULL AND h NOT IN ('new', 'uncertain') THEN 'invalid_novelty_status' END AS flag FROM z""")
 def e12_publishability(spark, d):
-    i = F.col("event_id")
-    pick = lambda n, *v: F.get(F.array(*map(F.lit, v)), (i % n).cast("int"))
-    facts = i % 3
-    state_ = policy.publishability(pick(4, "candidate", "needs_review", "rejected", "odd"), F.when(F.col("event_type") == "error", "repeat").otherwise("new"), facts)
-    history = policy.history_status(pick(5, "new", "repeat", "meaningful_update", "uncertain", "odd"), F.when(i % 6 == 0, "k"), facts > 0)
-    return table(spark, d, "events").select("event_id", state_.alias("publishability"), history.alias("history"))
+    x = table(spark, d, "events").selectExpr("event_id", *(f"{v} AS {k}" for k, v in _E12.items()))
+    state_, flags = policy.publishability(F.col("req"), F.col("nov"), F.col("facts"))
+    history, prior, flag = policy.history(F.col("hist"), F.col("asked"), F.col("known"), F.col("exact"), F.col("facts") > 0)
+    return x.select("event_id", state_.alias("publishability"), F.array_join(flags, ",").alias("flags"), history.alias("history"), prior.alias("prior"), flag.alias("flag"))
 
 
 # ---- scalar functions --------------------------------------------------------------------------
@@ -130,7 +138,7 @@ def f07_redacted_url(spark, d):
     return table(spark, d, "pages").select("page_id", urls.redacted(u).alias("url"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(coalesce(split_part(text, chr(10), 1), '')), '[^\p{L}\p{N}_]+', ' ', 'g')) AS title FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(replace(lower(coalesce(split_part(text, chr(10), 1), '')), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS title FROM documents")
 def f08_title_identity(spark, d):
     return table(spark, d, "documents").select("doc_id", text.event_title(F.get(F.split("text", "\n"), F.lit(0))).alias("title"))
 
@@ -171,10 +179,12 @@ def f41_numbers(spark, d):
     return table(spark, d, "part").select("p_partkey", numbers.suffixed(raw).alias("parsed"), numbers.thousands(F.when(n % 3 != 0, n * 1000)).alias("shown"), numbers.bounded_int(F.when(i % 2 == 0, F.concat(n, F.lit(".9"))).otherwise("x"), 5, 40, 10).alias("bounded"))
 
 
-@query(f"""SELECT event_id, CASE WHEN m >= 1440 THEN (m // 1440) || ' d' WHEN m >= 60 THEN (m // 60) || ' h' WHEN m >= 1 THEN m || ' min' ELSE 'just now' END AS ago FROM (SELECT event_id, CAST(floor((epoch_us(TIMESTAMP '{REFERENCE}') - epoch_us(ts)) / 60000000.0) AS BIGINT) AS m FROM events WHERE ts <= TIMESTAMP '{REFERENCE}')""")
+@query(f"""WITH x AS (SELECT event_id, CASE WHEN event_id % 10 > 0 THEN epoch_us(TIMESTAMP '{REFERENCE}') - epoch_us(ts) END AS u FROM events), y AS (SELECT event_id, u, CAST(floor(u / 86400000000.0) AS BIGINT) AS days FROM x),
+  z AS (SELECT *, (u - days * 86400000000) // 1000000 AS s FROM y)
+  SELECT event_id, CASE WHEN u IS NULL THEN '未知' WHEN days > 0 THEN days || '天前' WHEN s // 3600 > 0 THEN (s // 3600) || '小时前' WHEN s // 60 > 0 THEN (s // 60) || '分钟前' ELSE '刚刚' END AS ago FROM z""")
 def f54_relative_time(spark, d):
-    ref = F.lit(REFERENCE).cast("timestamp")
-    return table(spark, d, "events").filter(F.col("ts").cast("timestamp") <= ref).select("event_id", dates.relative(F.col("ts"), ref).alias("ago"))
+    at = F.when(F.col("event_id") % 10 > 0, F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", dates.relative(at, F.lit(REFERENCE).cast("timestamp")).alias("ago"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.stars'), json_extract_string(props, '$.k')) AS metric, try_cast(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS even FROM events")
@@ -204,12 +214,14 @@ def w01_admission_rank(spark, d):
     return ranking.ranked(rows, [score.desc(), ranking.rank_of(F.col("content_class"), ranking.CLASS_RANK).asc(), F.col("published_at").desc_nulls_last(), F.col("item_id").asc()], "rank").select("item_id", "rank")
 
 
-@query(f"""WITH {ITEMS_SQL}, g AS (SELECT *, item_id % 97 AS event, item_id * 29 % 101 AS score, CASE content_class WHEN 'official_model_company' THEN 0 WHEN 'news_media' THEN 1 WHEN 'project_tool' THEN 2 ELSE 3 END AS r FROM items)
-  SELECT event, arg_min(item_id, (r, -score, -epoch_us(published_at), item_id)) AS primary_item, CAST(max(score) AS BIGINT) AS display_score, epoch_us(min(published_at)) AS first_seen, epoch_us(max(published_at)) AS last_seen, count(*) AS members FROM g GROUP BY event""")
+@query(f"""WITH {surrogates.sql('items')}, g AS (SELECT *, item_id % 97 AS event, coalesce(published_at, captured_at) AS t_at,
+    CASE WHEN lower(source_group) IN ('official_blog', 'official_research', 'x_official', 'github_release') THEN 0 WHEN content_class = 'news_media' THEN 1 WHEN content_class = 'project_tool' THEN 2 WHEN content_class = 'community_social' THEN 3 ELSE 4 END AS r FROM items)
+  SELECT event, arg_min(item_id, (r, -b1_priority, -epoch_us(t_at), item_id)) AS primary_item, CAST(max(b1_priority) AS INTEGER) AS display_score, epoch_us(min(t_at)) AS first_seen, epoch_us(max(t_at)) AS last_seen, count(*) AS members FROM g GROUP BY event""")
 def w02_primary_member(spark, d):
-    score, at = F.col("item_id") * 29 % 101, _micros("published_at")
-    key = F.struct(ranking.rank_of(F.col("content_class"), ranking.PRIMARY_RANK), -score, -at, "item_id")
-    return items(spark, d).groupBy((F.col("item_id") % 97).alias("event")).agg(F.min_by("item_id", key).alias("primary_item"), F.max(score).alias("display_score"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("members"))
+    c = F.col
+    at = F.unix_micros(F.coalesce("published_at", "captured_at"))
+    key = ranking.primary_key(c("source_group"), c("content_class"), c("b1_priority"), c("published_at"), c("captured_at"), c("item_id"))
+    return surrogates.view(spark, d, "items").groupBy((c("item_id") % 97).alias("event")).agg(F.min_by("item_id", key).alias("primary_item"), F.max("b1_priority").alias("display_score"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("members"))
 
 
 @query("SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_size DESC, p_partkey DESC) AS INTEGER) AS rank, p_type FROM part QUALIFY rank <= 20")
@@ -268,9 +280,9 @@ def j14_semi(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def j15_anti(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("SELECT user_id, arg_max(event_id, (epoch_us(ts), event_id)) AS event_id, arg_max(event_type, (epoch_us(ts), event_id)) AS event_type FROM events GROUP BY 1")
@@ -304,10 +316,10 @@ def g08_funnel(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("fetched"), F.count_if("fresh").alias("within_window"), F.count_if(~F.col("fresh")).alias("time_excluded"), F.count_if(F.col("fresh") & (F.col("toxic") == 1)).alias("screened_out"), F.count_if(F.col("fresh") & (F.col("toxic") == 0) & (F.col("item_id") * 29 % 101 >= 60)).alias("admitted"), F.count_distinct("source_id").alias("sources"))
 
 
-_TASK = "CASE WHEN event_type = 'signup' THEN 'pending' WHEN event_type = 'error' AND event_id % 9 = 0 THEN 'failed' WHEN event_type = 'click' AND event_id % 50 = 0 THEN 'running' ELSE 'succeeded' END"
+_TASK = "CASE WHEN event_id % 29 = 0 THEN 'pending' WHEN event_id % 31 = 0 THEN 'failed' WHEN event_id % 23 = 0 THEN 'blocked' WHEN event_id % 97 = 0 THEN 'running' ELSE 'succeeded' END"
 
 
-@query(f"""SELECT user_id, CASE WHEN bool_and(s IN ('succeeded', 'skipped', 'cancelled')) THEN 'succeeded' WHEN bool_or(s = 'running') THEN 'running' WHEN bool_or(s = 'blocked') THEN 'blocked' WHEN bool_or(s = 'failed') THEN 'failed' ELSE 'pending' END AS status FROM (SELECT user_id, {_TASK} AS s FROM events) GROUP BY 1""")
+@query(f"""SELECT user_id, CASE WHEN bool_and(s IN ('succeeded', 'skipped', 'cancelled')) THEN 'succeeded' WHEN bool_or(s = 'running') THEN 'running' WHEN bool_or(s = 'blocked') AND NOT bool_or(s IN ('pending', 'retry_waiting', 'failed')) THEN 'blocked' WHEN bool_or(s = 'failed') AND NOT bool_or(s IN ('pending', 'retry_waiting')) THEN 'failed' ELSE 'pending' END AS status FROM (SELECT user_id, {_TASK} AS s FROM events) GROUP BY 1""")
 def g09_stage_fold(spark, d):
     return state.stage_status(table(spark, d, "events").selectExpr("user_id", f"{_TASK} AS status"), "user_id")
 
@@ -400,15 +412,17 @@ def t05_leases(spark, d):
     return out.select("event_id", F.coalesce("claimable", F.lit(False)).alias("claimable"), F.coalesce("reusable", F.lit(False)).alias("reusable"), "after_sweep")
 
 
-@query("""WITH o AS (SELECT doc_id AS k, source AS a, lang AS b, 'candidate' AS status FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS k, CASE WHEN doc_id % 2 = 0 THEN source ELSE NULL END AS a, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS b FROM documents WHERE doc_id % 4 <> 0),
-  j AS (SELECT coalesce(o.k, n.k) AS k, o.k IS NULL AS isnew, n.k IS NULL AS isold, coalesce(n.a, o.a) AS a, CASE WHEN n.k IS NULL THEN o.b ELSE n.b END AS b, o.a AS oa, o.b AS ob, o.status FROM o FULL JOIN n ON o.k = n.k)
-  SELECT k, a, b, CASE WHEN isnew OR (NOT isold AND (a IS DISTINCT FROM oa OR b IS DISTINCT FROM ob)) THEN 'new' ELSE status END AS status FROM j""")
+@query("""WITH o AS (SELECT doc_id AS k, source AS a, lang AS b, CASE WHEN doc_id % 7 = 0 THEN 'published' ELSE 'candidate' END AS status, 70 AS b1_priority FROM documents WHERE doc_id % 3 <> 0),
+  n AS (SELECT doc_id AS k, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '' ELSE NULL END AS a, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS b FROM documents WHERE doc_id % 4 <> 0),
+  j AS (SELECT coalesce(o.k, n.k) AS k, o.k IS NULL AS isnew, n.k IS NULL AS isold, coalesce(nullif(n.a, ''), o.a) AS a, CASE WHEN n.k IS NULL THEN o.b ELSE n.b END AS b, o.a AS oa, o.b AS ob, o.status, b1_priority FROM o FULL JOIN n ON o.k = n.k),
+  c AS (SELECT *, NOT isnew AND NOT isold AND (a IS DISTINCT FROM oa OR b IS DISTINCT FROM ob) AND status = 'candidate' AS again FROM j)
+  SELECT k, a, b, CASE WHEN isnew OR again THEN 'new' ELSE status END AS status, CASE WHEN again THEN 0 ELSE b1_priority END AS b1_priority FROM c""")
 def m01_item_upsert(spark, d):
     docs = table(spark, d, "documents")
     i = F.col("doc_id")
-    old = docs.filter(i % 3 != 0).select(i.alias("k"), F.col("source").alias("a"), F.col("lang").alias("b"), F.lit("candidate").alias("status"))
-    new = docs.filter(i % 4 != 0).select(i.alias("k"), F.when(i % 2 == 0, F.col("source")).alias("a"), F.when(i % 5 == 0, "xx").otherwise(F.col("lang")).alias("b"))
-    return state.upsert(old, new, ["k"], ["a"], ["b"], ["a", "b"])
+    old = docs.filter(i % 3 != 0).select(i.alias("k"), F.col("source").alias("a"), F.col("lang").alias("b"), F.when(i % 7 == 0, "published").otherwise("candidate").alias("status"), F.lit(70).alias("b1_priority"))
+    new = docs.filter(i % 4 != 0).select(i.alias("k"), F.when(i % 3 == 0, F.col("source")).when(i % 3 == 1, "").alias("a"), F.when(i % 5 == 0, "xx").otherwise(F.col("lang")).alias("b"))
+    return state.upsert(old, new, ["k"], ["a"], ["b"], ["a", "b"], {"b1_priority": 0})
 
 
 @query("SELECT conv_id, '# Conversation ' || conv_id || ' (' || count(*) || ')' || chr(10) || string_agg('- **' || role || '** ' || turn, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY 1")

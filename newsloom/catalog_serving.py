@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .functions import text
+from .functions import text, urls
 from .operators import entities, policy, ranking, state, views
+from .sources import pages
 from .tables import ITEMS_SQL, items, table
 
 #: After all events.
@@ -35,11 +36,15 @@ def e10_member_relation(spark, d):
     return m.join(lead, "event").select("item_id", relation.alias("relation"))
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING count(*) > 1 AND count(*) FILTER (WHERE o_orderpriority = '1-URGENT') = 0")
+_E08 = {"event_key": "CAST(o_orderkey AS STRING)", "event_family_key": "CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE ' Fam-' || CAST(o_custkey AS STRING) || '_A' END", "publishability": "CASE o_orderstatus WHEN 'F' THEN 'Candidate' WHEN 'O' THEN 'needs_review' ELSE 'rejected' END", "split_reason": "CASE o_orderpriority WHEN '1-URGENT' THEN ' different_model_or_major_version' WHEN '2-HIGH' THEN 'separate_time_window_actionable' WHEN '5-LOW' THEN NULL ELSE 'other' END"}
+
+
+@query(f"""WITH e AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _E08.items())} FROM orders),
+  f AS (SELECT event_key, trim(regexp_replace(lower(trim(CASE WHEN event_family_key <> '' THEN event_family_key ELSE event_key END)), '[^a-z0-9_]+', '_', 'g'), '_') AS family, coalesce(trim(split_reason) IN ('different_model_or_major_version', 'separate_time_window_actionable'), false) AS fine FROM e WHERE lower(publishability) IN ('candidate', 'needs_review'))
+  SELECT family AS event_family_key, count(*) AS n, string_agg(event_key, ',' ORDER BY event_key) FILTER (WHERE NOT fine) AS events FROM f GROUP BY 1 HAVING count(*) > 1 AND count(*) FILTER (WHERE NOT fine) > 0""")
 def e08_family_split(spark, d):
-    """Families with two publishable events or more and no allowed reason to split."""
-    rows = table(spark, d, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
-    return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("allowed")).filter("n > 1 AND allowed = 0").select("o_custkey", "n")
+    rows = table(spark, d, "orders").selectExpr(*(f"{v} AS {k}" for k, v in _E08.items()))
+    return entities.family_splits(rows).withColumn("events", F.array_join("events", ","))
 
 
 @query("""WITH k AS (SELECT l_orderkey AS item, l_suppkey AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem)
@@ -104,9 +109,11 @@ def p15_entry_filters(spark, d):
     return views.search(table(spark, d, "documents").filter(F.col("lang").isin("de", "fr")), "und", ["text"]).select("doc_id", "lang")
 
 
-@query("SELECT page_id, try_cast(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS post_id, regexp_matches(url, '^https?://[^/?#]+') AS public FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id WHEN page_id % 3 = 1 THEN page_id + 1 END AS post_id, regexp_matches(url, '^https?://[^/?#]+') AS public FROM pages")
 def f28_post_id(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).try_cast("long").alias("post_id"), F.col("url").rlike("^https?://[^/?#]+").alias("public"))
+    i = F.col("page_id").cast("string")
+    guid = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://t.co/2024/77/?p="), i)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://t.co/9?a=5&p="), (F.col("page_id") + 1).cast("string"), F.lit("#p=8"))).otherwise(F.concat(F.lit("https://t.co/"), i))
+    return table(spark, d, "pages").select("page_id", pages.wordpress_post_id(guid).alias("post_id"), urls.is_public(F.col("url")).alias("public"))
 
 
 @query("SELECT c_custkey, regexp_replace(substr('[' || c_name || '] ' || c_mktsegment, 1, 200), '([\\[\\]])', '\\\\\\1', 'g') AS label FROM customer")

@@ -20,3 +20,24 @@ def joined_hash(*parts: Column, sep: str = "\n") -> Column:
 def short_id(*parts: Column) -> Column:
     """The first 24 hex digits."""
     return F.substring(joined_hash(*parts), 1, 24)
+
+
+def feed_hash(title: Column, link: Column, summary: Column, content: Column) -> Column:
+    """Content hash of a feed entry: lower-cased title, link, summary, content, on lines."""
+    return joined_hash(F.lower(title), link, summary, content)
+
+
+def item_fingerprint(content_hash: Column, *parts: Column) -> Column:
+    """sha-256 of the content hash, or where there is none of the parts joined by bars."""
+    joined = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.sha2(F.coalesce(F.when(content_hash != "", content_hash), joined), 256)
+
+
+def stable_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with its keys in order, null values left out."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
+
+
+def policy_fingerprint(fields: dict[str, Column]) -> Column:
+    """sha-256 of settings as JSON with keys in order: the same settings, the same fingerprint."""
+    return F.sha2(stable_json(fields), 256)

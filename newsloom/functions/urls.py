@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode import unescaped
+
 # Query keys that only track.
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "spm")
 IDENTITY_TRACKING = ("campaign", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "spm", "src")
@@ -47,9 +49,24 @@ def _pairs(q: Column) -> Column:
     return F.transform(F.filter(F.split(q, "&"), lambda x: x != ""), lambda x: F.when(F.contains(x, F.lit("=")), x).otherwise(F.concat(x, F.lit("="))))
 
 
+def _decoded(part: Column) -> Column:
+    """A query part's text: + as space, percent escapes decoded, broken ones left as they are."""
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(text: Column) -> Column:
+    """Letters, digits and _.-~ stay, a space is +, all else is escaped."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def _kept(q: Column, drop: tuple[str, ...]) -> Column:
-    key = lambda x: F.lower(F.substring_index(x, "=", 1))
-    return F.filter(_pairs(q), lambda x: ~(key(x).startswith("utm_") | key(x).isin(*drop)))
+    """(key, value) structs of a query, decoded, without tracking keys."""
+    pairs = F.transform(_pairs(q), lambda x: F.struct(_decoded(F.substring_index(x, "=", 1)).alias("k"), _decoded(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))
+    return F.filter(pairs, lambda p: ~(F.lower(p["k"]).startswith("utm_") | F.lower(p["k"]).isin(*drop)))
+
+
+def _joined(pairs: Column) -> Column:
+    return F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
 def _netloc_without_default_port(url: Column) -> Column:
@@ -62,21 +79,22 @@ def _glue(s: Column, n: Column, p: Column, q: Column) -> Column:
 
 
 def envelope_url(url: Column) -> Column:
-    """Form 1: tracking keys dropped, the others in order; no trailing slash, root path empty, no fragment."""
-    raw = F.trim(url)
-    out = _glue(scheme(raw), _netloc_without_default_port(raw), F.regexp_replace(path(raw), "/+$", ""), F.array_join(_kept(query(raw), TRACKING), "&"))
+    """Form 1: entities decoded, tracking keys dropped, the others in order and encoded anew; no trailing slash, root path
+    empty, no fragment."""
+    raw = F.trim(unescaped(url))
+    out = _glue(scheme(raw), _netloc_without_default_port(raw), F.regexp_replace(path(raw), "/+$", ""), _joined(_kept(query(raw), TRACKING)))
     return F.when(raw == "", None).when(is_public(raw), out).otherwise(raw)
 
 
 def event_url(url: Column) -> Column:
-    """Form 2, an event's identity: more tracking keys dropped, the others sorted; root path /."""
-    raw = F.trim(url)
+    """Form 2, an event's identity: of form 1 more tracking keys dropped, the others sorted by key and value; root path /."""
+    raw = envelope_url(url)
     p = F.regexp_replace(path(raw), "/+$", "")
-    name = host(_glue(scheme(raw), _netloc_without_default_port(raw), F.lit(""), F.lit("")))
-    port = F.regexp_extract(_netloc_without_default_port(raw), r":([0-9]+)$", 1)
-    full = F.when(port != "", F.concat(name, F.lit(":"), port)).otherwise(name)
-    out = _glue(scheme(raw), full, F.when(p == "", "/").otherwise(p), F.array_join(F.array_sort(_kept(query(raw), IDENTITY_TRACKING)), "&"))
-    return F.when(raw == "", None).when(is_public(raw), out).otherwise(F.regexp_replace(F.lower(raw), "/+$", ""))
+    port = F.regexp_extract(netloc(raw), r":([0-9]+)$", 1)
+    full = F.when(port != "", F.concat(host(raw), F.lit(":"), port)).otherwise(host(raw))
+    out = _glue(scheme(raw), full, F.when(p == "", "/").otherwise(p), _joined(F.array_sort(_kept(query(raw), IDENTITY_TRACKING))))
+    bare = F.regexp_replace(F.lower(raw), "/+$", "")
+    return F.when(is_public(raw), out).otherwise(F.when(bare != "", bare))
 
 
 def item_url(url: Column) -> Column:
@@ -102,3 +120,23 @@ def github_repo(url: Column) -> Column:
     """owner/repo in lower case of a repository's URL; null for others."""
     found = F.lower(F.regexp_extract(url, r"^(?i)https?://(?:www\.)?github\.com/([^/?#]+/[^/?#]+?)(?:\.git)?/?(?:[?#].*)?$", 1))
     return F.when(found != "", found)
+
+
+def public_host_url(url: Column) -> Column:
+    """The url where it is http(s) and its host isn't local: no localhost, no private, loopback, link-local, reserved or
+    multicast IPv4 address, no IPv6 address of these kinds; else null."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(netloc(F.trim(url))), "^.*@", ""), r"(?<=\]|^[^:]*):[0-9]*$", "")
+    parts = F.transform(F.split(name, "\\."), lambda x: x.try_cast("int"))
+    a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    ipv4 = name.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    c = F.get(parts, F.lit(2))
+    closed = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    closed6 = name.rlike(r"^\[(::1?|f[cd][0-9a-f]*:.*|fe[89ab][0-9a-f]*:.*|ff[0-9a-f]*:.*|::ffff:.*|2001:db8:.*)\]$")
+    local = (name == "localhost") | name.endswith(".localhost") | name.endswith(".local") | (ipv4 & closed) | closed6
+    return F.when(is_public(F.trim(url)) & (name != "") & ~F.coalesce(local, F.lit(False)), F.trim(url))
+
+
+def repo_full_name(url: Column) -> Column:
+    """owner/repo of a repository's URL in its own case; null for others."""
+    found = F.regexp_extract(url, r"^(?i)https?://(?:www\.)?github\.com(?::[0-9]+)?/+([^/?#]+/+[^/?#]+)", 1)
+    return F.when(found != "", F.regexp_replace(F.regexp_replace(found, "/+", "/"), r"\.git$", ""))

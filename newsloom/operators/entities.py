@@ -55,6 +55,22 @@ def split_identities(members: DataFrame, identity: str, event: str) -> DataFrame
     return members.groupBy(identity).agg(F.count_distinct(event).alias("n_events")).filter("n_events > 1")
 
 
+# The reasons for which one family may have several events.
+SPLIT_REASONS = (
+    "different_model_or_major_version", "separate_time_window_actionable", "independent_security_policy_or_breaking_change",
+    "platform_released_independent_product", "standalone_pricing_quota_access_change",
+)
+
+
+def family_splits(events: DataFrame, reasons: tuple[str, ...] = SPLIT_REASONS) -> DataFrame:
+    """(event_family_key, n, events): families with several publishable events of which at least one has no allowed reason;
+    the events without one, in order. events: (event_key, event_family_key, publishability, split_reason)."""
+    family = text.family_key(F.coalesce(F.when(F.col("event_family_key") != "", F.col("event_family_key")), F.col("event_key")))
+    rows = events.filter(F.lower("publishability").isin("candidate", "needs_review")).select(family.alias("event_family_key"), "event_key", F.coalesce(F.trim("split_reason").isin(*reasons), F.lit(False)).alias("fine"))
+    found = rows.groupBy("event_family_key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(~F.col("fine"), F.col("event_key")))).alias("events"))
+    return found.filter((F.col("n") > 1) & (F.size("events") > 0))
+
+
 def first_record(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
     """The first row of each key, the key being the first of `keys` that isn't null or empty."""
     k = F.coalesce(*(F.when(c != "", c) for c in keys))

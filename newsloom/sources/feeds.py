@@ -84,3 +84,112 @@ def registry(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def first_per_source(items: DataFrame, limit: int, order: str = "position") -> DataFrame:
     return items.withColumn("_r", F.row_number().over(Window.partitionBy("source_id").orderBy(order))).filter(F.col("_r") <= limit).drop("_r")
+
+
+# ---- routing, validators, adapters -------------------------------------------------------------
+
+COLLECTORS = ("feed", "rsshub", "github")
+
+
+def routed(sources: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(sources by transport, what no transport takes): nothing is guessed."""
+    out = {t: sources.filter(F.col("transport") == t) for t in COLLECTORS}
+    return out, sources.filter(~F.coalesce(F.col("transport").isin(*COLLECTORS), F.lit(False)))
+
+
+def conditional_headers(sources: DataFrame) -> DataFrame:
+    """(id, headers): the validators of a source's last answer as request headers."""
+    pairs = F.array(F.struct(F.lit("If-None-Match").alias("k"), F.col("etag").alias("v")), F.struct(F.lit("If-Modified-Since").alias("k"), F.col("last_modified").alias("v")))
+    return sources.select("id", F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["v"] != "", F.lit(False)))).alias("headers"))
+
+
+def landed_status(http_status: Column, body: Column, n_items: Column) -> Column:
+    """What a landed answer is: unchanged, failed, degraded (read, but empty) or a success."""
+    return F.when(http_status == 304, "not_modified").when(F.coalesce(http_status, F.lit(0)).between(200, 299) & body.isNotNull(), F.when(F.coalesce(n_items, F.lit(0)) > 0, "success").otherwise("degraded")).otherwise("failed")
+
+
+def interpolated(url: Column, values: dict[str, str]) -> Column:
+    """A url's ${NAME} places filled; a base that ends in a slash loses it; null where a name has no value."""
+    out = url
+    for name, value in values.items():
+        out = F.replace(out, F.lit("${" + name + "}"), F.lit(value.rstrip("/") if name.endswith("_BASE_URL") else value))
+    return F.when(~F.contains(out, F.lit("${")), out)
+
+
+def registry_errors(sources: DataFrame) -> DataFrame:
+    """(id, error): ids that stand twice, rows without a group."""
+    twice = sources.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("duplicate_id").alias("error"))
+    return twice.unionByName(sources.filter(F.coalesce(F.trim("source_group"), F.lit("")) == "").select("id", F.lit("missing_group").alias("error")))
+
+
+_FOUND = r"(?i)https?://(?:www\.)?github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)"
+
+
+def project_link(*texts: Column) -> Column:
+    """The first repository link in the texts, in order."""
+    found = []
+    for t in texts:
+        owner, repo = F.regexp_extract(t, _FOUND, 1), F.regexp_replace(F.regexp_extract(t, _FOUND, 2), r"\.git$", "")
+        found.append(F.when(owner != "", F.regexp_replace(F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo), "[.,)]+$", "")))
+    return F.coalesce(*found)
+
+
+# Names of a launch's counters in its payload.
+VOTES = ("votes", "voteCount", "vote_count", "points", "upvotes", "ph_vote_count", "ph_votes")
+COMMENTS = ("comments", "commentCount", "comment_count", "comments_count", "ph_comments_count", "ph_comment_count")
+
+
+def launches(items: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Product launches of an Atom feed: votes and comments out of the payload, else the text; a repository that they link to
+    becomes their identity, and its metadata (owner, repo, metadata map) is laid over the metrics. One outer join.
+    items: (item_id, external_id, title, url, summary, content, payload: map of texts, metrics: map of texts)."""
+    from ..operators import projects
+    from .pages import engagement
+
+    p, m = F.col("payload"), F.coalesce("metrics", F.create_map().cast("map<string,string>"))
+    said = F.concat_ws(" ", "title", "summary", "content")
+    pick = lambda names: F.coalesce(*(F.try_element_at(m, F.lit(n)) for n in names[:1]), *(F.try_element_at(p, F.lit(n)) for n in names))
+    votes, comments = F.coalesce(pick(VOTES), engagement(said, "upvote").cast("string")), F.coalesce(pick(COMMENTS), engagement(said, "comment").cast("string"))
+    link = project_link(F.col("url"), F.col("content"), F.col("summary"), F.try_element_at(p, F.lit("website")), F.coalesce(F.try_element_at(p, F.lit("productLinks")), F.try_element_at(p, F.lit("product_links"))))
+    owner, repo = F.lower(F.regexp_extract(link, "github.com/([^/]+)/([^/]+)", 1)), F.lower(F.regexp_extract(link, "github.com/([^/]+)/([^/]+)", 2))
+    key = F.when(link.isNotNull() & ~owner.isin("orgs", "users"), F.concat(owner, F.lit("/"), repo))
+    status = F.when(votes.isNull() & comments.isNull(), "unavailable_in_feed").otherwise("available")
+    own = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("votes", votes), ("comments", comments), ("producthunt_metrics_status", status), ("github_url", link), ("canonical_project_key", key)))), lambda x: x["v"].isNotNull()))
+    rows = items.withColumns({"_key": key, "_own": F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(own, k)), own)})
+    known = metadata.select(F.lower(F.concat("owner", F.lit("/"), "repo")).alias("_key"), F.col("metadata").alias("_meta")).dropDuplicates(["_key"])
+    rows = rows.join(known, "_key", "left")
+    return rows.withColumns({"external_id": F.coalesce(F.concat(F.lit("github_repo:"), F.col("_key")), F.col("external_id")), "metrics": F.when(F.col("_meta").isNotNull(), projects.overlaid(F.col("_own"), F.col("_meta"))).otherwise(F.col("_own"))}).select(*items.columns)
+
+
+def readme(content: Column, encoding: Column, cap: int = 16_000) -> Column:
+    """A README's text out of a contents answer: base64 decoded, cut; null where it is none."""
+    text_ = F.when(F.lower(encoding) == "base64", F.try_to_binary(F.regexp_replace(content, r"\s+", ""), F.lit("base64")).cast("string")).otherwise(content)
+    return F.when(F.trim(text_) != "", F.substring(text_, 1, cap))
+
+
+def answer_text(body: Column) -> Column:
+    """The text of a provider's answer in either of two shapes: output_text parts, or the first choice's message."""
+    whole = F.get_json_object(body, "$.output_text")
+    parts = F.from_json(F.get_json_object(body, "$.output"), "array<struct<type:string,content:array<struct<type:string,text:string>>>>")
+    texts = F.filter(F.flatten(F.transform(parts, lambda o: F.coalesce(o["content"], F.array().cast("array<struct<type:string,text:string>>")))), lambda c: (c["type"] == "output_text") & c["text"].isNotNull())
+    joined = F.array_join(F.transform(texts, lambda c: c["text"]), "")
+    return F.coalesce(*(F.when(F.trim(c) != "", c) for c in (whole, joined, F.get_json_object(body, "$.choices[0].message.content"))))
+
+
+# Names under which a loose record may hold a field, first wins.
+RECORD_ALIASES = {
+    "canonical_url": ("canonical_url", "url", "link"), "summary": ("summary", "raw_summary"), "content": ("content", "raw_content", "content_text"), "external_id": ("external_id", "guid"),
+}
+
+
+def loose_record(record: Column) -> dict[str, Column]:
+    """Fields of a map of texts by their aliases; blanks count as absent."""
+    got = lambda k: F.try_element_at(record, F.lit(k))
+    return {f: F.coalesce(*(F.when(F.trim(got(a)) != "", got(a)) for a in names)) for f, names in RECORD_ALIASES.items()}
+
+
+def newest_lines(spark, folder: str, schema: str) -> DataFrame:
+    """Records of the newest of the exports below a folder: files by modification time, malformed lines dropped."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folder).select("path", "modificationTime")
+    last = files.orderBy(F.desc("modificationTime"), "path").limit(1).collect()  # one row
+    return json_lines(spark, last[0]["path"], schema) if last else spark.createDataFrame([], schema)
