@@ -161,7 +161,7 @@ def f20_collapse(spark, d):
 
 @query(None)
 def f02_html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", text.without_tags(F.col("html")).alias("text"))
+    return table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, sha256(CASE WHEN item_id % 5 = 0 THEN 'x' || item_id WHEN coalesce(source_url, '') <> '' THEN source_url ELSE lower(coalesce(title, '')) || chr(10) || coalesce(content_text, '') END) AS identity,

@@ -82,8 +82,15 @@ def _tags_out(html: Column) -> Column:
 
 
 def without_tags(html: Column) -> Column:
-    """Readable text of HTML: scripts and styles out, block tags as line ends, other tags as spaces; then as `plain` text."""
-    return _tidied(_tags_out(html))
+    """Text of HTML: scripts and styles out, block tags as line ends, other tags as spaces, lines trimmed, blank ones out.
+    Entities stay: this form works within higher-order functions."""
+    lines = F.filter(F.transform(F.split(_tags_out(html), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\f]+", " "))), lambda x: x != "")
+    return F.array_join(lines, "\n")
+
+
+def html_text(html: Column) -> Column:
+    """Readable text of HTML: tags out as above, entities decoded, then as `plain` text."""
+    return _tidied(_tags_out(F.coalesce(html, F.lit(""))))
 
 
 def markdown_label(value: Column, cap: int = 100) -> Column:
