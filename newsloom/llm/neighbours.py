@@ -2,12 +2,16 @@
 
 Centroids come from a bounded sample (`SAMPLE` rows, smallest hash of the id): k-means with a penalty on full clusters,
 one centroid for about `LIST` vectors of the table, `MAX_LISTS` at most. Every vector goes to the list of its nearest
-centroid, and boundary vectors to further ones: those within (1 + `CLOSURE`) of the nearest distance, `REPLICAS` at
-most in all. A query walks a graph over
-the centroids, in memory, from a few entry points to its nearest ones, and reads those lists whose centroid is within
-(1 + `RATIO`) of the nearest, `PROBES` at most. Lists longer than `PART` rows (copies of one vector cannot be told
-apart by centroids) are dealt into parts, so a list is never one task's alone; each part gives its own best k, which a
-ranking by query brings together. Distances are Euclidean in double precision, on the original vectors.
+centroid, full ones counted as further off by the same penalty, and boundary vectors to further ones: those within
+(1 + `CLOSURE`) of the nearest distance, `REPLICAS` at most in all. A query walks a graph over the centroids, in memory,
+from a few entry points to its nearest ones, and reads those lists whose centroid is within (1 + `RATIO`) of the nearest,
+`LEAST_PROBES` at least and `PROBES` at most. Lists longer than `PART` rows (copies of one vector cannot be told apart by
+centroids) are dealt into parts, and the queries of a list into parts of about `ASKED`, so a list is never one task's
+alone; each part gives its own best k, which a ranking by query brings together. Queries whose lists held fewer than k
+vectors are asked of all lists. Distances are Euclidean in double precision, on the original vectors.
+
+The graph serves queries. Postings are assigned by one matrix product with all centroids: for the 16,384 there are at
+most, that is faster in numpy than a walk for each vector.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do vectors of
 another length than most have; ties go to the smaller id; rows that repeat an id count once; an empty table gives none.
@@ -27,7 +31,7 @@ from . import common
 K, LIST, MAX_LISTS, SAMPLE = 10, 64, 1 << 14, 40_000
 REPLICAS, CLOSURE, BALANCE = 4, 0.15, 0.05
 PROBES, LEAST_PROBES, RATIO = 96, 8, 0.6
-PART = 4096
+PART, ASKED = 4096, 512
 DEGREE, WALK = 24, 128
 
 
@@ -40,8 +44,8 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding")
     return rows.filter(F.size("v") == (most["d"] if most else 0))
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Centroids of clusters of like size: a cluster's distance grows with how full it is."""
+def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids of clusters of like size, penalties): a cluster's squared distance grows by its penalty, with how full it is."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     full = np.ones(k)
@@ -63,7 +67,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
             crowded = np.flatnonzero(count[nearest] >= np.quantile(count[nearest], 0.5))
             c[~some] = x[rng.choice(crowded, (~some).sum())]
         full = count * k / len(x)
-    return np.unique(c, axis=0)
+    c, first = np.unique(c, axis=0, return_index=True)
+    return c, BALANCE * (spread or 0.0) * np.maximum(0, full[first] - 1)
 
 
 def _square(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -73,8 +78,8 @@ def _square(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Centroids and the graph over them."""
 
-    def __init__(self, centroids: np.ndarray):
-        self.c, n = centroids, len(centroids)
+    def __init__(self, centroids: np.ndarray, penalty: np.ndarray):
+        self.c, self.penalty, n = centroids, penalty, len(centroids)
         self.links: list[np.ndarray] = []
         for a in range(0, n, 1024):
             d = _square(centroids[a : a + 1024], centroids)
@@ -122,7 +127,7 @@ class Index:
     def lists(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
         """(row, centroid) of every list that each vector belongs to."""
         top = min(len(self.c), 4 * REPLICAS)
-        d = _square(x, self.c)
+        d = _square(x, self.c) + self.penalty
         near = np.argpartition(d, top - 1, axis=1)[:, :top]
         for i in range(len(x)):
             order = near[i][np.argsort(d[i, near[i]], kind="stable")]
@@ -148,7 +153,7 @@ def build(rows: DataFrame) -> tuple[Index | None, int]:
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
     distinct = np.unique(sample, axis=0)
     k = int(max(1, min(n // LIST, MAX_LISTS, len(distinct) // 2 or 1)))
-    return Index(kmeans(distinct, k)), n
+    return Index(*kmeans(distinct, k)), n
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -174,11 +179,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([j for _, j in pairs], pa.int32()), *(c.take(pa.array([i for i, _ in pairs], pa.int64())) for c in batch.columns)], ["list", "query_id", "q"])
 
     posted = rows.mapInArrow(assign, "list int, vec_id long, v array<double>")
-    sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    sizes = F.broadcast(common.settle(sizes))  # a row a list: MAX_LISTS at most
-    posted = posted.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
-    asked = queries.mapInArrow(probe, "list int, query_id long, q array<double>").join(sizes, "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "q")
+    one = F.count(F.lit(1))
+    held_rows = posted.groupBy("list").agg(F.ceil(one / PART).cast("int").alias("parts"))
+    held_rows = common.settle(held_rows)  # a row a list: MAX_LISTS at most
+
+    def asked_of(questions: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): the best k of every part of every list that (list, query_id, q) asks."""
+        wanted = questions.groupBy("list").agg(F.ceil(one / ASKED).cast("int").alias("asked"))
+        sizes = F.broadcast(common.settle(held_rows.join(wanted, "list")))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = posted.join(sizes, "list").select("list", dealt("vec_id", "parts").alias("part"), every("asked").alias("ask"), "vec_id", "v")
+        right = questions.join(sizes, "list").select("list", every("parts").alias("part"), dealt("query_id", "asked").alias("ask"), "query_id", "q")
+        return left.groupBy("list", "part", "ask").cogroup(right.groupBy("list", "part", "ask")).applyInArrow(scan, "query_id long, vec_id long, score double")
 
     def scan(lists: pa.Table, wanted: pa.Table) -> pa.Table:
         ids, out = lists.column("vec_id").to_numpy() if lists.num_rows else np.zeros(0, np.int64), []
@@ -197,8 +210,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 out += [(query, int(ids[i]), float(d[i])) for i in near if np.isfinite(d[i])]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
-    found = posted.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = lambda found: found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = common.settle(best(asked_of(queries.mapInArrow(probe, "list int, query_id long, q array<double>"))))
+    full = found.groupBy("query_id").agg(one.alias("n")).filter(F.col("n") >= min(k, n - 1)).select("query_id")
+    short = common.settle(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(full, "query_id", "left_anti"))
+    if not short.isEmpty():
+        lists = F.explode(F.sequence(F.lit(0), F.lit(len(index.c) - 1))).alias("list")
+        rest = asked_of(short.select(lists, "query_id", "q"))
+        found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(best(rest))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

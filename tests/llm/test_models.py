@@ -134,3 +134,20 @@ def test_recall_on_many_vectors(spark, capsys):
     with capsys.disabled():
         print(f"\nrecall@10 {hits / 2000:.3f} on {n} vectors; {len(index.c)} lists, {np.mean(lists):.1f} read a query")
     assert hits >= 0.95 * 2000 and np.mean(lists) < 0.5 * len(index.c)
+
+
+def test_short_queries_are_asked_of_all_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_PROBES", 1)
+    monkeypatch.setattr(neighbours, "PROBES", 1)
+    monkeypatch.setattr(neighbours, "LIST", 4)
+    monkeypatch.setattr(neighbours, "ASKED", 3)
+    monkeypatch.setattr(neighbours, "PART", 5)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    x[:20] = x[0]  # a hot list, of many queries too
+    rows = neighbours.valid(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"))
+    got = {}
+    for r in neighbours.search(rows, rows.filter("vec_id < 40")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert len(got) == 40 and all(sorted(v) == list(range(1, 11)) for v in got.values())
+    assert [got[3][i] for i in range(1, 11)] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
