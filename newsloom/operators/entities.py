@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..tables import settle
+from ..tables import settle, with_hot
 
 
 def two_key_dedup(df: DataFrame, scope: list[str], external: str, content: str, order: str) -> DataFrame:
@@ -41,10 +41,11 @@ def components(edges: DataFrame, node: str, key: str) -> DataFrame:
     while True:
         told = pairs.join(label, "node")
         least = told.groupBy("key").agg(F.min("component").alias("least"))
-        near = pairs.join(least, "key").groupBy("node").agg(F.min("least").alias("least"))
-        step = label.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("least", "component")).alias("component"))
-        jump = step.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        new = settle(step.join(jump, step["component"] == jump["up"], "left").select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")))
+        near = with_hot(pairs, least, "key").groupBy("node").agg(F.min("least").alias("least"))
+        step = settle(label.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("least", "component")).alias("component")))
+        # every component is a node, so each finds its own
+        jump = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        new = settle(with_hot(step, jump, "component").select("node", "was", F.least("component", "top").alias("component")))
         label = new.select("node", "component")
         if new.filter("was <> component").isEmpty():
             return label.withColumnRenamed("node", node)

@@ -73,3 +73,21 @@ def promote(spark: SparkSession, staging: str, final: str) -> None:
             fs.rename(old, dst)
         raise OSError(f"{staging} can't become {final}")
     fs.delete(old, True)
+
+
+def fetch_export(items: DataFrame, path: str) -> None:
+    """Fetched items for inspection, before any stage: JSON lines with keys in order, and a line of Markdown each."""
+    keys = sorted(items.columns)
+    ordered = items.select(*keys)
+    ordered.write.mode("overwrite").json(f"{path}/items")
+    shown = F.concat(F.lit("- ["), F.coalesce("title", F.lit("(untitled)")), F.lit("]("), F.coalesce("url", F.lit("")), F.lit(") "), F.coalesce("source_id", F.lit("")))
+    items.select(shown.alias("value")).write.mode("overwrite").text(f"{path}/digest")
+
+
+def export_edition(records: DataFrame, digest: DataFrame, manifest_: DataFrame, spark: SparkSession, final: str, limit: int = 30) -> None:
+    """An edition's lines, digest lines and manifest beside the public folder, then in its place: all or nothing."""
+    staged = f"{final}.staging"
+    export_jsonl(records, f"{staged}/intel_items.jsonl", limit)
+    digest.orderBy("display_order", "line_no").select("line").coalesce(1).write.mode("overwrite").text(f"{staged}/intel_digest.md")
+    manifest_.coalesce(1).write.mode("overwrite").json(f"{staged}/manifest.json")
+    promote(spark, staged, final)

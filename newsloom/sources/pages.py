@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
+from ..functions import numbers, text, unicode
 
 #: Paths of two parts under these names aren't repositories.
 NOT_OWNERS = ("trending", "sponsors", "collections")
@@ -46,7 +46,7 @@ def article_text(html: Column) -> Column:
     """The longest of the page's article and main elements as text, whole; null where there is none."""
     found = F.concat(F.regexp_extract_all(html, F.lit("(?is)<article[^>]*>(.*?)</article>"), F.lit(1)), F.regexp_extract_all(html, F.lit("(?is)<main[^>]*>(.*?)</main>"), F.lit(1)))
     bodies = F.transform(found, lambda x: text.without_tags(x))
-    return text.trimmed_or_null(F.try_element_at(F.array_sort(bodies, lambda a, b: F.length(b) - F.length(a)), F.lit(1)))
+    return unicode.unescaped(text.trimmed_or_null(F.try_element_at(F.array_sort(bodies, lambda a, b: F.length(b) - F.length(a)), F.lit(1))))
 
 
 def _opening(attribute: str, value: str) -> str:
@@ -85,7 +85,7 @@ def article_body(source_id: Column, body: Column) -> Column:
         if attribute is not None:
             found = _element(found, _opening(attribute, value))
         out = out.when(source_id == source, text.trimmed_or_null(text.without_tags(found)))
-    return out
+    return unicode.unescaped(out)
 
 
 def wordpress_post_id(url: Column) -> Column:

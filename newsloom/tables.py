@@ -16,13 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the session's shared folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """Cuts lineage by a checkpoint in the session's shared folder. A local session without one gets a folder of its own; a
+    cluster has to name one, since a machine's own folder is lost with the machine."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if it has more than so many rows and more than a `HEAVY`-th of all: there can be `HEAVY` of them at most.
+HOT_ROWS, HEAVY = 100_000, 1000
+
+
+def with_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with side's one row a key (inner or left). Hot keys' rows of side are broadcast, so that a key's rows
+    don't meet in one task; one grouping of rows by key finds them, combined before its shuffle."""
+    counted = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    most, total = counted.agg(F.max("_n"), F.sum("_n")).first()
+    if most is None or most <= max(HOT_ROWS, total // HEAVY):
+        return rows.join(side, key, how)
+    hot = settle(counted.filter(F.col("_n") > max(HOT_ROWS, total // HEAVY)).select(key))
+    few = F.broadcast(side.join(F.broadcast(hot), key))
+    rest = rows.join(F.broadcast(hot), key, "left_anti")
+    return rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how).unionByName(rest.join(side, key, how))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as news items: page urls, event times and labels join by id, all one to one at most."""
     t = lambda n: table(spark, sf_dir, n)

@@ -396,3 +396,36 @@ def test_reading_of_odd_entries(spark):
     sources = table(spark, [("s", "Name", "feed", "https://s", None)], "id string, name string, transport string, url string, account_url string")
     cards = {c.id: c for c in reading.cards(df, sources).collect()}
     assert (cards[1].source_name, cards[1].source_url, cards[1].display_score) == ("Name", "https://r", 2) and (cards[2].source_name, cards[2].source_url, cards[2].display_score) == ("s", None, 2) and cards[3].display_score == 0
+
+
+def test_hot_keys_join_the_same(spark, monkeypatch):
+    from newsloom import tables
+
+    rows = table(spark, [(i % 3 if i % 2 else 9, i) for i in range(40)] + [(None, 99)], "k int, v int")
+    side = table(spark, [(i, f"s{i}") for i in range(10)], "k int, s string")
+    plain = {how: got(tables.with_hot(rows, side, "k", how), "k", "v", "s") for how in ("inner", "left")}
+    edges = table(spark, [("A", "x"), ("B", "x"), ("C", "x"), ("C", "y"), ("D", "y"), ("E", "z")], "e string, k string")
+    monkeypatch.setattr(tables, "HOT_ROWS", 2)
+    monkeypatch.setattr(tables, "HEAVY", 10_000)
+    assert {how: got(tables.with_hot(rows, side, "k", how), "k", "v", "s") for how in ("inner", "left")} == plain
+    assert got(entities.components(edges, "e", "k"), "e", "component") == [("A", "A"), ("B", "A"), ("C", "A"), ("D", "A"), ("E", "E")]
+
+
+def test_views_small(spark, tmp_path):
+    from newsloom.operators import views
+
+    ent = "array<struct<name:string>>"
+    rows = table(spark, [(1, "Alpha", None, "body", None, ["Key"], [("Acme",)]), (2, "Beta", "alpha", None, None, None, None)], f"i int, title string, summary string, content_text string, summary_cn string, keywords array<string>, entities {ent}")
+    assert got(views.candidate_matches(rows, " ALPHA acme "), "i") == [(1,)] and got(views.history_matches(rows, "alpha"), "i") == [(1,), (2,)] and views.candidate_matches(rows, "body key").count() == 1 and views.history_matches(rows, "body").count() == 0
+    st = table(spark, [("a",), ("b",), ("a",), ("",), (None,)], "status string")
+    assert [tuple(r) for r in views.status_counts(st).collect()] == [("a", 2), ("b", 1)]
+    r = one(spark, a=views.stage_name(L(" Stage-A")), b=views.stage_name(L("d")), c=views.stage_name(L("x")))
+    assert list(r.values()) == ["screen", "stage_d", None]
+    ev, mem = table(spark, [(1,), (2,)], "event_id int"), table(spark, [(2, 5), (1, 5), (2, 6)], "event_id int, item_id int")
+    assert [r.event_id for r in views.event_of_item(ev, mem, 5).collect()] == [1] and [r.item_id for r in views.children(mem, "event_id", 2, ["item_id"]).collect()] == [5, 6]
+    publish.fetch_export(table(spark, [("T", "u", "s", 1)], "title string, url string, source_id string, a int"), str(tmp_path / "f"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "f" / "items")).collect()] == ['{"a":1,"source_id":"s","title":"T","url":"u"}'] and [r.value for r in spark.read.text(str(tmp_path / "f" / "digest")).collect()] == ["- [T](u) s"]
+    recs = table(spark, [(2, "b"), (1, "a")], "display_order int, title string")
+    dig = table(spark, [(1, 1, "y"), (1, 0, "x")], "display_order int, line_no int, line string")
+    publish.export_edition(recs, dig, recs.limit(1), spark, str(tmp_path / "daily"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "daily" / "intel_digest.md")).collect()] == ["x", "y"] and spark.read.json(str(tmp_path / "daily" / "intel_items.jsonl")).count() == 2
