@@ -33,12 +33,13 @@ HOT_ROWS, HEAVY = 100_000, 1000
 
 def with_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined with side's one row a key (inner or left). Hot keys' rows of side are broadcast, so that a key's rows
-    don't meet in one task; one grouping of rows by key finds them, combined before its shuffle."""
-    counted = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    most, total = counted.agg(F.max("_n"), F.sum("_n")).first()
-    if most is None or most <= max(HOT_ROWS, total // HEAVY):
+    don't meet in one task; one grouping of rows by key finds them, combined before its shuffle. rows: best a settled table."""
+    total = rows.count()
+    if total <= HOT_ROWS:
+        return rows.join(side, key, how)
+    hot = settle(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(HOT_ROWS, total // HEAVY)).select(key))
+    if hot.isEmpty():
         return rows.join(side, key, how)
-    hot = settle(counted.filter(F.col("_n") > max(HOT_ROWS, total // HEAVY)).select(key))
     few = F.broadcast(side.join(F.broadcast(hot), key))
     rest = rows.join(F.broadcast(hot), key, "left_anti")
     return rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how).unionByName(rest.join(side, key, how))
