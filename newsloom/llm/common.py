@@ -2,57 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# a worker's large Arrow buffers go back to the system when they are done with, rather than into a pool
+from ..tables import settle, table, with_hot  # noqa: F401  what the operators use of them
+
+# a worker's large Arrow buffers go back to the system when they are done with, rather than into a pool; and so do its large
+# arrays, where the C library can be told to map each on its own
 pa.set_memory_pool(pa.system_memory_pool())
+try:
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+except (AttributeError, OSError):
+    pass
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir holds. Where it is unset, a local session gets a folder of its own; a cluster
-    has to name a shared one, since a machine's own folder is lost with the machine."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-
-
-#: A key is hot if it has more than so many rows and more than a `HEAVY`-th of all: there can be `HEAVY` of them at most.
-HOT_ROWS, HEAVY = 100_000, 1000
-
-
-def with_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with side's one row a key (inner or left). Hot keys' rows of side are broadcast, so that a key's rows
-    don't meet in one task; one grouping of rows by key finds them, combined before its shuffle."""
-    counted = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    most, total = counted.agg(F.max("_n"), F.sum("_n")).first()
-    if most is None or most <= max(HOT_ROWS, total // HEAVY):
-        return rows.join(side, key, how)
-    hot = settle(counted.filter(F.col("_n") > max(HOT_ROWS, total // HEAVY)).select(key))
-    few = F.broadcast(side.join(F.broadcast(hot), key))
-    rest = rows.join(F.broadcast(hot), key, "left_anti")
-    return rows.join(F.broadcast(hot), key, "left_semi").join(few, key, how).unionByName(rest.join(side, key, how))
+#: Rows named by three numbers each are broadcast up to so many.
+NARROW = 500_000
 
 
 def without(docs: DataFrame, gone: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs less the rows that `gone` names, (doc_id, same): same is xxhash64 of the text, null as empty. A null id is an id
-    like others, and rows that share an id are told apart by their texts. No name of docs clashes with the join's."""
+    like others, and rows that share an id are told apart by their texts. No name of docs clashes with the join's. gone: best a settled table."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     named = gone.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"))
+    named = F.broadcast(named) if gone.count() <= NARROW else named  # else whole rows shuffle
     there = F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))) == F.col("_same"))
     return rows.join(named, there, "left_anti").select("_row.*")
 
@@ -62,16 +42,6 @@ def pair(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> list
     return [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("same")]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there: cuts lineage, survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 

@@ -35,8 +35,6 @@ from . import blocks, common
 WORDS, THRESHOLD = 4, 85
 #: Shingles that a task of verification gets at once, about.
 VERIFY = 400_000
-#: Nodes to fetch the texts of are broadcast (three numbers each) up to so many; beyond it that join shuffles.
-NARROW = 500_000
 
 
 def _sets(part, at, words: int):
@@ -169,12 +167,14 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WOR
     import pyarrow as pa
 
     pairs = common.settle(pairs)
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(0.0).alias("similarity"), F.lit(False).alias("link"))
     size = nodes.select(F.col("node").alias("b"), "n")
     led = common.settle(pairs.join(size, "b").groupBy("a").agg(F.sum("n").alias("n")))
     tasks = max(1, -(-(led.agg(F.sum("n")).first()[0] or 0) // VERIFY))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_id"), F.col("same").alias("_same"))
     needed = common.settle(needed)
-    needed = F.broadcast(needed) if needed.count() <= NARROW else needed
+    needed = F.broadcast(needed) if needed.count() <= common.NARROW else needed
     texts = common.settle(docs.join(needed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same"))).select("node", "text"))
     parts = led.select("a", F.greatest(F.lit(1), F.ceil(F.col("n") / VERIFY)).cast("int").alias("parts"))
     task = lambda: F.pmod(F.xxhash64("a", "part"), F.lit(tasks)).cast("int").alias("task")

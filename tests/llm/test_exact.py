@@ -106,6 +106,7 @@ def test_decontamination_of_repeated_ids(spark, monkeypatch, broadcast):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(docs, bench).collect()), key=repr)
     assert got == _contamination(rows, items)
+    monkeypatch.setattr(common, "NARROW", broadcast)
     left = common.without(docs, decontaminate.contaminated(docs, bench)).collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in left))) == sorted(map(repr, [(1, "a b c d e f"), (None, None), (5, ""), (6, "x"), (7, "y x")]))
 
