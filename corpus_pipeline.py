@@ -7,7 +7,6 @@ by id and text), other columns pass through whatever their names, an empty table
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, common, decontaminate, jaccard_join, line_dedup, toxicity
 
@@ -18,8 +17,8 @@ NEAR_WORDS, NEAR_THRESHOLD = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of documents outside its held-out fold."""
     model = toxicity.fit(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return model.score(rows, ["row"], "toxic").filter("toxic < 0.5").select("row.*")
+    scored = model.score(docs.select(*common.pair(docs), "text"), ["doc_id", "same"])
+    return common.without(docs, common.settle(scored.filter("_score >= 0.5").select("doc_id", "same").distinct()))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
