@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import dates, text
-from .operators import events, policy, projects, ranking, reading, state
+from .operators import entities, events, policy, projects, ranking, reading, state
 from .plans import publish, records
 from .surrogates import sql, view
 from .tables import table
@@ -146,13 +146,8 @@ def w15_dense_order(spark, d):
 
 # ---- events ------------------------------------------------------------------------------------
 
-def _key_sql(ext: str = "external_id") -> str:
-    """Expected identity of a surrogate item, by its own rules: (id, url)."""
-    return f"""lower(replace({ext}, ' ', ''))"""
-
-
 _URL = "CASE WHEN item_id % 5 = 0 THEN CASE WHEN item_id % 7 = 0 THEN 'https://src.org/' || item_id END WHEN item_id % 5 = 1 THEN 'https://github.com/Own/Repo' || (item_id % 20) ELSE 'https://ex.org/p' || (item_id % 80) || '?b=1' END"
-_KEYS = f"""k0 AS (SELECT *, {_key_sql()} AS ext, {_URL} AS link FROM items),
+_KEYS = f"""k0 AS (SELECT *, lower(replace(external_id, ' ', '')) AS ext, {_URL} AS link FROM items),
   k1 AS (SELECT *, coalesce(ext LIKE 'github_release:%' OR ext LIKE 'github_repo:%', false) AS alone, item_id % 5 = 1 AS root FROM k0),
   kk AS (SELECT *, list_filter(['external:' || ext, CASE WHEN NOT alone AND NOT (root AND ext IS NOT NULL) THEN 'url:' || link END], lambda x: x IS NOT NULL) AS keys FROM k1)"""
 
@@ -163,9 +158,7 @@ def e04_event_key(spark, d):
     c = F.col
     url = events.url_of(c("canonical_url"), c("source_url"))
     rows = view(spark, d, "items").filter("item_id > 0")
-    from .operators.entities import identity_keys
-
-    return rows.select("item_id", F.array_join(identity_keys(c("external_id"), url), "|").alias("keys"), F.array_join(events.related_hints(c("external_id"), url), "|").alias("hints"), events.event_key(c("external_id"), url, c("item_id"), c("title")).alias("event_key"))
+    return rows.select("item_id", F.array_join(entities.identity_keys(c("external_id"), url), "|").alias("keys"), F.array_join(events.related_hints(c("external_id"), url), "|").alias("hints"), events.event_key(c("external_id"), url, c("item_id"), c("title")).alias("event_key"))
 
 
 _CLAIMS = "SELECT CAST(l_suppkey % 40 AS INTEGER) AS position, 'e' || CAST(l_suppkey % 40 AS STRING) AS event_key, l_orderkey AS item_id FROM lineitem"
@@ -298,7 +291,7 @@ def p26_package(spark, d):
 
 @query("""WITH m AS (SELECT doc_id % 40 AS event_id, doc_id AS item_id, source, lang FROM documents WHERE doc_id % 40 < 30), p AS (SELECT event_id, min(item_id) AS lead FROM m GROUP BY 1)
   SELECT event_id, 'key' || event_id AS event_key, CAST(31 - event_id AS INTEGER) AS display_order, CAST(event_id * 2 AS DOUBLE) AS display_score, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'unknown' END AS kind, CASE WHEN event_id % 2 = 0 THEN 'top' ELSE 'selected' END AS reason_code, count(*) AS refs,
-    string_agg(item_id, ',' ORDER BY item_id) AS ref_items, max(CASE WHEN item_id = lead THEN item_id END) AS lead_item, count(*) FILTER (WHERE item_id % 2 = 0) AS audits, CASE WHEN bool_or(item_id % 3 = 0) AND bool_or(item_id % 3 <> 0) THEN 'candidate,new' WHEN bool_or(item_id % 3 = 0) THEN 'new' ELSE 'candidate' END AS member_statuses FROM m JOIN p USING (event_id) GROUP BY ALL HAVING true""".replace("GROUP BY ALL HAVING true", "GROUP BY event_id"))
+    string_agg(item_id, ',' ORDER BY item_id) AS ref_items, max(CASE WHEN item_id = lead THEN item_id END) AS lead_item, count(*) FILTER (WHERE item_id % 2 = 0) AS audits, CASE WHEN bool_or(item_id % 3 = 0) AND bool_or(item_id % 3 <> 0) THEN 'candidate,new' WHEN bool_or(item_id % 3 = 0) THEN 'new' ELSE 'candidate' END AS member_statuses FROM m JOIN p USING (event_id) GROUP BY event_id""")
 def p27_records(spark, d):
     docs = table(spark, d, "documents").filter("doc_id % 40 < 30")
     m = docs.selectExpr("doc_id % 40 AS event_id", "doc_id AS item_id", "source AS source_id", "CAST(NULL AS STRING) AS source_group", "CAST(NULL AS STRING) AS source_url", "CAST(NULL AS STRING) AS source_title", "'related' AS match_type", "100 AS match_confidence")
@@ -315,7 +308,7 @@ def p27_records(spark, d):
 
 
 @query(f"""WITH {sql('items')}, {_KEYS}, a AS (SELECT item_id, CASE WHEN b1_priority >= 60 THEN 'active' ELSE 'filtered' END AS bucket, CASE WHEN item_id % 3 = 0 THEN item_id END AS rank FROM items)
-  SELECT a.item_id AS id, bucket, rank, CASE WHEN a.item_id % 2 = 0 THEN 'r' || a.item_id ELSE substr(title, 1, 5) END AS summary_cn, array_to_string(keys, '|') AS identity_keys, epoch_us(coalesce(published_at, captured_at)) AS at, length(content_text) AS body FROM a JOIN (SELECT kk.*, text AS content_text FROM kk JOIN documents ON doc_id = item_id) k USING (item_id)""".replace("length(content_text)", "least(16000, length(coalesce(nullif(content_text, ''), substr(title, 1, 5), title, '')))"))
+  SELECT a.item_id AS id, bucket, rank, CASE WHEN a.item_id % 2 = 0 THEN 'r' || a.item_id ELSE substr(title, 1, 5) END AS summary_cn, array_to_string(keys, '|') AS identity_keys, epoch_us(coalesce(published_at, captured_at)) AS at, least(16000, length(coalesce(nullif(content_text, ''), substr(title, 1, 5), title, ''))) AS body FROM a JOIN (SELECT kk.*, text AS content_text FROM kk JOIN documents ON doc_id = item_id) k USING (item_id)""")
 def p29_candidates(spark, d):
     items = view(spark, d, "items").join(table(spark, d, "documents").selectExpr("doc_id AS item_id", "text AS content_text"), "item_id").withColumn("summary", F.substring("title", 1, 5)).drop("source_group")
     adm = items.selectExpr("item_id", "CASE WHEN b1_priority >= 60 THEN 'active' ELSE 'filtered' END AS decision", "CASE WHEN item_id % 3 = 0 THEN item_id END AS rank", "b1_priority AS guarded_score")

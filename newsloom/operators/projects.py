@@ -52,7 +52,7 @@ def risk_flags(archived: Column, fork: Column, licence: Column, readme: Column,
 # records: content_class, source_id, source_transport, external_id, id, url, title, summary, content_text, status, published_at, metrics
 # and raw_payload (maps of texts), ai (struct of status, keep, summary_cn, risk_flags).
 
-def is_project_record(r: dict[str, Column] | None = None) -> Column:
+def is_project_record() -> Column:
     """Whether a record is about a repository, by any of six signs."""
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     kind = F.try_element_at("raw_payload", F.lit("github_item_type"))
@@ -61,7 +61,7 @@ def is_project_record(r: dict[str, Column] | None = None) -> Column:
     return signs | F.coalesce(kind.isin("repository", "release"), F.lit(False)) | F.coalesce(key != "", F.lit(False))
 
 
-def is_reported(record_class: Column | None = None) -> Column:
+def is_reported() -> Column:
     """Whether a record goes into the report: a repository of the project class, no release."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     kind = F.coalesce(F.try_element_at("raw_payload", F.lit("github_item_type")), F.lit(""))

@@ -31,10 +31,11 @@ def settle(df: DataFrame) -> DataFrame:
 HOT_ROWS, HEAVY = 100_000, 1000
 
 
-def with_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def with_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined with side's one row a key (inner or left). Hot keys' rows of side are broadcast, so that a key's rows
-    don't meet in one task; one grouping of rows by key finds them, combined before its shuffle. rows: best a settled table."""
-    total = rows.count()
+    don't meet in one task; one grouping of rows by key finds them, combined before its shuffle. rows: best a settled table; total: how
+    many there are, where that is known."""
+    total = rows.count() if total is None else total
     if total <= HOT_ROWS:
         return rows.join(side, key, how)
     hot = settle(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(HOT_ROWS, total // HEAVY)).select(key))
