@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes a block holds, about; and how many keys a shard serves. Either keeps a worker's arrays below some 100 MB.
 BLOCK_BYTES = 3 << 20
-SHARD_KEYS = 1 << 20
+SHARD_KEYS = 1 << 19
 LEAST_BLOCKS = 48
 #: Most rows that a block sends or a shard receives.
 FAN = 2048

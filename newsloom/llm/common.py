@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import settle, table, with_hot  # noqa: F401  what the operators use of them
+from ..tables import HOT_ROWS, settle, table, with_hot  # noqa: F401  what the operators use of them
 
 # a worker's large Arrow buffers go back to the system when they are done with, rather than into a pool; and so do its large
 # arrays, where the C library can be told to map each on its own
@@ -57,7 +57,7 @@ _LOWERED[65:91] = _BYTE_VALUE[97:123]
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Arrays as long as a text's bytes or words are worked on in pieces of so many elements; words longer than `LONG` bytes
 #: are hashed by themselves. So what a worker keeps doesn't grow with its longest text.
-PIECE, LONG = 1 << 20, 1 << 14
+PIECE, LONG = 1 << 18, 1 << 14
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -180,7 +180,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20):
+def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE):
     """(first row, end row, bytes, offsets) of runs of rows with about `limit` bytes, so that temporary arrays stay small."""
     row, n = 0, len(offsets) - 1
     while row < n:

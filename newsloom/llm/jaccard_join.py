@@ -207,12 +207,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = common.settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = common.settle(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    n_edges, n_nodes = edges.count(), label.count()
     while True:
-        near = common.with_hot(edges, label.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        told = common.settle(label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("was"), F.least("component", "other").alias("component")))
+        near = common.with_hot(edges, label.select(F.col("node").alias("b"), F.col("component").alias("other")), "b", total=n_edges).groupBy("a").agg(F.min("other").alias("other"))
+        told = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("was"), F.least("component", "other").alias("component"))
+        told = common.settle(told) if n_nodes > common.HOT_ROWS else told
         # every component is a node, so each finds its own
         jump = told.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        new = common.settle(common.with_hot(told, jump, "component").select("node", "was", F.least("component", "top").alias("component")))
+        new = common.settle(common.with_hot(told, jump, "component", total=n_nodes).select("node", "was", F.least("component", "top").alias("component")))
         label = new.select("node", "component")
         if new.filter("was <> component").isEmpty():
             return label
