@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, language_model, line_dedup, neighbours, pii, substring_dedup, toxicity, url_reputation
+from . import bpe, chat, decontaminate, importance, jaccard_join, language_model, line_dedup, neighbours, pii, substring_dedup, toxicity, url_reputation, whitening
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_reputation": url_reputation.op8_url_reputation,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_importance": importance.op11_importance,
+    "op12_chat": chat.op12_chat,
+    "op13_whitening": whitening.op13_whitening,
 }
 SQL = {
     "op5_jaccard_join": jaccard_join.OP5_SQL,
@@ -22,4 +25,6 @@ SQL = {
     "op8_url_reputation": url_reputation.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op11_importance": importance.OP11_SQL,
+    "op12_chat": chat.OP12_SQL,
 }

@@ -28,7 +28,7 @@ def _rows(rows, names):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = registry.QUERIES[name](spark, DIR)
     want = con.execute(registry.SQL[name])
