@@ -128,7 +128,8 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what the windows hold, read back from their text. A digest is of a whole conversation, so this gathers each
     conversation's windows in a row; the windows themselves don't."""
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame([(HOSTILE[0], 0, "user", HOSTILE[1]), (HOSTILE[0], 1, "assistant", HOSTILE[1])], "conv_id long, turn long, role string, text string"))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    rows = rows.unionByName(spark.range(2).select(F.lit(HOSTILE[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE[1]).alias("text")))
     held = read_back(windows(rows)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "window", "turns", "learnt"))).alias("w"), F.sum("chars").alias("formatted_chars"))
     held = held.select("conv_id", F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"), F.array_join(F.transform("w", lambda x: x["learnt"]), "").alias("learnt"), "formatted_chars")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
