@@ -55,18 +55,19 @@ _BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.
 _LOWERED = _BYTE_VALUE.copy()
 _LOWERED[65:91] = _BYTE_VALUE[97:123]
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Arrays as long as a text's bytes or words are worked on in pieces of so many elements; words longer than `LONG` bytes
-#: are hashed by themselves. So what a worker keeps doesn't grow with its longest text.
-PIECE, LONG = 1 << 18, 1 << 14
+#: Arrays as long as a text's bytes or words are worked on in pieces of so many elements, so that what a worker keeps doesn't
+#: grow with its longest text. Words longer than `LONG` bytes are hashed one by one: powers modulo 2^64 make long words of
+#: certain patterns collide whatever the base. Runs of values are `WIDEST` at most.
+PIECE, LONG, WIDEST = 1 << 18, 32, 1 << 14
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power(base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to PIECE and some more."""
+    """base**i and base**-i modulo 2**64 for i up to PIECE and WIDEST more."""
     if base not in _powers:
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
-            out = np.full(PIECE + LONG + 2, b, np.uint64)
+            out = np.full(PIECE + WIDEST + 2, b, np.uint64)
             out[0] = 1
             made.append(np.multiply.accumulate(out))
         _powers[base] = (made[0], made[1])
@@ -82,7 +83,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def rolling(values: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Hash of every run of `width` consecutive values (width: LONG at most)."""
+    """Hash of every run of `width` consecutive values (width: WIDEST at most)."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -144,6 +145,7 @@ class Words:
         last[tails] = word[tails]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         long = np.flatnonzero(ends - starts > LONG)
+        apart = [xxhash.xxh3_128_intdigest(raw.lower() if lower else raw) for raw in (data[starts[i] : ends[i]].tobytes() for i in long.tolist())]
         hashes = []
         values = (_LOWERED if lower else _BYTE_VALUE)[data] if n <= PIECE + LONG else None
         for k in range(seeds):
@@ -154,9 +156,7 @@ class Words:
                 sums = np.zeros(n + 1, np.uint64)
                 np.cumsum(values * up[:n], out=sums[1:])
                 h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64), k + 7)
-            for i in long:
-                raw = data[starts[i] : ends[i]].tobytes()
-                h[i] = xxhash.xxh64_intdigest(raw.lower() if lower else raw, k + 1)
+            h[long] = [(x >> 64 * k) & (2**64 - 1) for x in apart]  # both halves where there are two seeds
             hashes.append(h)
         return starts, ends, hashes
 

@@ -310,3 +310,31 @@ def test_line_dedup_of_hot_hosts_and_clashing_names(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
     monkeypatch.setattr(line_dedup, "HEAVY", 2)
     assert sorted(map(repr, line_dedup.remove_boilerplate(docs, counts=True).collect())) == want
+
+
+# ---- words that collide as polynomials -------------------------------------------------------------
+
+def _thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 16384, 65536])
+def test_patterned_words_stay_apart(spark, n):
+    one, two = _thue_morse(n, 0), _thue_morse(n, 1)
+    for lower in (False, True):
+        raw = np.frombuffer(f"{one} {two} {one}".encode(), np.uint8)
+        w = common.Words(raw, np.array([0, len(raw)]), lower, 2)
+        for h in w.hashes:
+            assert h[0] == h[2] != h[1]
+        assert w.hashes[0][0] != w.hashes[1][0]
+
+
+@pytest.mark.parametrize("n", [1024, 16384])
+def test_operators_tell_patterned_words_apart(spark, n):
+    one, two, same = _thue_morse(n, 0), _thue_morse(n, 1), [f"s{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join([*same[:15], one, *same[15:]])), (2, " ".join([*same[:15], two, *same[15:]]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.component_id for r in jaccard_join.classes(docs, words=4, threshold=85).collect()} == {1: 1, 2: 2}
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    told = language_model.scores(spark.createDataFrame([(held, f"{two} s1"), (held + 1, f"{one} s1")], "doc_id long, text string"))
+    assert {r.doc_id: r.n_known for r in told.collect()}[held] == 2  # s1 and the end
