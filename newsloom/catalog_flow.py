@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .operators import claims, evaluation
+from .operators import claims, evaluation, planning
 from .tables import shared_folder, table
 
 
@@ -73,3 +73,60 @@ def t05_claims(spark, d):
 def t18_attempts(spark, d):
     """One row an attempt, as it ended; one that is still running ends at -1."""
     return claims.attempts(claims.folded(_requests(spark, d))).withColumn("finished_at", F.coalesce("finished_at", F.lit(-1)))
+
+
+# ---- plans ---------------------------------------------------------------------------------------
+
+_PLAN = {
+    "plan": "'p' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING)", "position": "CAST(doc_id % 50 AS INT)", "event_key": "CASE WHEN doc_id % 50 % 17 = 5 THEN '' WHEN doc_id % 50 % 13 = 7 THEN 'k' || CAST(doc_id % 50 - 1 AS STRING) ELSE 'k' || CAST(doc_id % 50 AS STRING) END",
+    "i1": "doc_id % 50 * 3 + 1", "i2": "doc_id % 50 * 3 + 2", "i3": "CASE WHEN doc_id % 50 % 4 = 1 THEN doc_id % 50 * 3 + 5 WHEN doc_id % 50 % 11 = 3 THEN 777 END",
+    "publishability": "CASE doc_id % 50 % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'rejected' WHEN 2 THEN 'Candidate' WHEN 3 THEN 'odd' ELSE 'candidate' END", "history_status": "CASE doc_id % 50 % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'uncertain' ELSE 'meaningful_update' END",
+    "prior_event_key": "CASE doc_id % 50 % 19 WHEN 2 THEN 'h1' WHEN 4 THEN 'zz' END", "fact": "CASE WHEN doc_id % 50 % 6 = 0 THEN 0 WHEN doc_id % 50 % 23 = 9 THEN 2 ELSE 1 END", "caveat": "CASE WHEN doc_id % 50 % 2 = 0 THEN 'x' END", "ident": "'i' || CAST(doc_id % 50 % 12 AS STRING)",
+}
+
+
+def _prepared(spark, d):
+    rows = table(spark, d, "documents").selectExpr(*(f"{v} AS {k}" for k, v in _PLAN.items()))
+    facts = "CASE fact WHEN 0 THEN array() WHEN 1 THEN array(named_struct('claim', concat('c', i1 % 2), 'supporting_item_ids', array(i1))) ELSE array(named_struct('claim', 'c', 'supporting_item_ids', array(9999L))) END"
+    events = rows.selectExpr("plan", "position", "event_key", "array(i1, i2, i3) AS item_ids", "event_key AS title", "publishability", "history_status", "prior_event_key", f"CAST({facts} AS {planning.FACTS}) AS facts", "CASE WHEN caveat IS NOT NULL THEN array(caveat) END AS caveats", "CAST(NULL AS STRING) AS split_reason", "concat('f', position) AS event_family_key")
+    items = rows.selectExpr("plan", "i1 AS item_id", "true AS active", "array(ident) AS identities").unionByName(rows.selectExpr("plan", "i2 AS item_id", "false AS active", "CAST(array() AS array<string>) AS identities"))
+    plans = rows.select("plan").distinct()
+    history, index = plans.selectExpr("plan", "explode(array('h1', 'h3')) AS event_key"), plans.selectExpr("plan", "'i3' AS identity", "array('h3', 'h1') AS event_keys")
+    return planning.prepared(events, items, history, index)
+
+
+_PREPARED = f"""WITH RECURSIVE ev AS (SELECT *, list_filter([i1, i2, i3], lambda x: x IS NOT NULL) AS ids FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in _PLAN.items())} FROM documents)),
+known AS (SELECT plan, i1 AS item FROM ev UNION SELECT plan, i2 FROM ev),
+outs AS (SELECT plan, position, string_agg(item, ',' ORDER BY item) AS outside FROM (SELECT plan, position, unnest(ids) AS item FROM ev) e WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.plan = e.plan AND k.item = e.item) GROUP BY 1, 2),
+ch AS (SELECT ev.*, outside, CASE WHEN event_key = '' THEN 'event_key_missing' WHEN position > min(position) OVER (PARTITION BY plan, event_key) THEN 'event_key_twice' WHEN outside IS NOT NULL THEN 'items_outside' END AS early FROM ev LEFT JOIN outs USING (plan, position)),
+el AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY position) AS rn FROM ch WHERE early IS NULL),
+cl AS (SELECT plan, 0::BIGINT AS rn, []::BIGINT[] AS had, []::VARCHAR[] AS owners, NULL::BIGINT AS taken, NULL::VARCHAR AS owner FROM ch GROUP BY plan
+  UNION ALL SELECT plan, rn, list_concat(had, ids[1:coalesce(hit - 1, len(ids))]), list_concat(owners, list_transform(ids[1:coalesce(hit - 1, len(ids))], lambda x: event_key)), ids[hit], owners[list_position(had, ids[hit])]
+  FROM (SELECT c.plan, e.rn, c.had, c.owners, e.ids, e.event_key, list_min(list_filter(range(1, len(e.ids) + 1), lambda k: list_contains(c.had, e.ids[k]))) AS hit FROM cl c JOIN el e ON e.plan = c.plan AND e.rn = c.rn + 1)),
+ac AS (SELECT el.*, taken, owner, CASE WHEN prior_event_key IS NULL AND ident = 'i3' THEN 'h3' ELSE prior_event_key END AS p FROM el JOIN cl USING (plan, rn)),
+ju AS (SELECT *, CASE WHEN p = 'zz' THEN 'uncertain' WHEN p IS NOT NULL THEN CASE WHEN history_status = 'meaningful_update' AND fact > 0 THEN 'meaningful_update' ELSE 'repeat' END WHEN history_status = 'meaningful_update' THEN 'uncertain' ELSE history_status END AS hs,
+  CASE WHEN p = 'zz' THEN 'prior_event_outside_history_window' WHEN p IS NULL AND history_status = 'meaningful_update' THEN 'history_match_not_found' END AS hf, CASE WHEN publishability = 'odd' THEN 'needs_review' ELSE lower(publishability) END AS pb FROM ac WHERE taken IS NULL AND fact < 2),
+pr AS (SELECT *, CASE WHEN hs = 'repeat' THEN 'rejected' WHEN pb = 'candidate' AND fact = 0 THEN 'needs_review' ELSE pb END AS pub, list_filter([caveat, hf, CASE WHEN publishability = 'odd' THEN 'invalid_publishability' END,
+  CASE WHEN hs = 'repeat' THEN 'confirmed_repeat_without_material_change' WHEN pb = 'candidate' AND fact = 0 THEN 'candidate_without_facts' WHEN pb = 'needs_review' THEN 'uncertain_event_core' END], lambda x: x IS NOT NULL) AS caveats,
+  CASE WHEN fact = 1 THEN ['c' || (i1 % 2) || ':' || i1] ELSE []::VARCHAR[] END AS facts, CASE WHEN p = 'zz' THEN NULL ELSE p END AS prior FROM ju),
+ln AS (SELECT *, CASE pub WHEN 'candidate' THEN 0 ELSE 1 END AS rank, row_number() OVER (PARTITION BY plan, ident ORDER BY position) AS k FROM pr WHERE pub <> 'rejected'),
+mg AS (SELECT plan, ident, k, position, event_key, ids, pub, hs, prior, facts, caveats, rank FROM ln WHERE k = 1
+  UNION ALL SELECT g.plan, g.ident, e.k, g.position, CASE WHEN f THEN g.event_key ELSE e.event_key END, CASE WHEN f THEN list_concat(g.ids, e.ids) ELSE list_concat(e.ids, g.ids) END, CASE WHEN f THEN g.pub ELSE e.pub END, CASE WHEN f THEN g.hs ELSE e.hs END, CASE WHEN f THEN g.prior ELSE e.prior END,
+    CASE WHEN f THEN list_concat(g.facts, e.facts) ELSE list_concat(e.facts, g.facts) END, list_concat(CASE WHEN f THEN list_concat(g.caveats, list_filter(e.caveats, lambda x: NOT list_contains(g.caveats, x))) ELSE list_concat(e.caveats, list_filter(g.caveats, lambda x: NOT list_contains(e.caveats, x))) END,
+    ['merged exact-identity event ' || CASE WHEN f THEN e.event_key || ' into ' || g.event_key ELSE g.event_key || ' into ' || e.event_key END]), CASE WHEN f THEN g.rank ELSE e.rank END
+  FROM (SELECT g, e, (g.rank, -len(g.ids), g.event_key) <= (e.rank, -len(e.ids), e.event_key) AS f FROM mg g JOIN ln e ON g.plan = e.plan AND g.ident = e.ident AND e.k = g.k + 1)),
+fi AS (SELECT * EXCLUDE (rank, k) FROM mg m WHERE k = (SELECT max(k) FROM ln WHERE ln.plan = m.plan AND ln.ident = m.ident) UNION ALL SELECT plan, ident, position, event_key, ids, pub, hs, prior, facts, caveats FROM pr WHERE pub = 'rejected')"""
+
+
+@query(f"{_PREPARED} SELECT plan, position, event_key, array_to_string(ids, ',') AS item_ids, pub AS publishability, hs AS history_status, prior AS prior_event_key, array_to_string(facts, ',') AS facts, array_to_string(caveats, '|') AS caveats FROM fi")
+def e05_prepared(spark, d):
+    out, _ = _prepared(spark, d)
+    facts = F.transform("facts", lambda f: F.concat(f["claim"], F.lit(":"), F.get(f["supporting_item_ids"], F.lit(0)).cast("string")))
+    return out.select("plan", "position", "event_key", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), "publishability", "history_status", "prior_event_key", F.array_join(facts, ",").alias("facts"), F.array_join("caveats", "|").alias("caveats"))
+
+
+@query(f"""{_PREPARED} SELECT plan, position, early AS error, CASE early WHEN 'event_key_missing' THEN position::VARCHAR WHEN 'items_outside' THEN outside ELSE event_key END AS what FROM ch WHERE early IS NOT NULL
+  UNION ALL SELECT plan, position, 'item_taken', taken || ':' || owner FROM ac WHERE taken IS NOT NULL UNION ALL SELECT plan, position, 'fact', event_key || ':fact_of_others' FROM ac WHERE taken IS NULL AND fact = 2
+  UNION ALL SELECT plan, NULL, 'not_covered', string_agg(i1, ',' ORDER BY i1) FROM ev WHERE NOT EXISTS (SELECT 1 FROM fi WHERE fi.plan = ev.plan AND list_contains(fi.ids, ev.i1)) GROUP BY plan""")
+def e06_plan_errors(spark, d):
+    return _prepared(spark, d)[1]

@@ -17,7 +17,7 @@ without seconds 300; a null `at` is a request that never came; requests that rep
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..tables import settle
+from .folds import folded as _fold
 
 FIELDS = "seq long, stage string, task string, at long, kind string, owner string, seconds int, input string, config string, force boolean, stage_lease boolean, result string, retryable boolean, retry_after double, code string"
 OUTCOME = "seq long, stage string, task string, at long, kind string, owner string, outcome string, reached boolean, status string, lease_owner string, lease_expires_at long, next_retry_at long, error_code string, result string, attempt_no int, attempt_status string, attempt_started_at long, attempt_finished_at long"
@@ -121,29 +122,6 @@ def told(s: dict, r: dict, stage_free: bool) -> tuple[dict, list[dict]]:
     return s, [*rows, _row(r, s, r["kind"], r["at"], outcome, reached)]
 
 
-def _folded(df: DataFrame, key: list[str], first: dict, move: Callable[[dict, dict], tuple[dict, list[dict]]], end: Callable[[dict, dict], list[dict]], schema: str) -> DataFrame:
-    """A fold of each key's rows in order of (at, seq), as they stream by; `end` tells what is left of a key's state and last row."""
-    made = _arrow(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, last = None, first, None
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if (k := tuple(r[c] for c in key)) != now:
-                    if last is not None:
-                        out += end(state, last)
-                    now, state = k, first
-                state, rows = move(state, r)
-                out += rows
-                last = r
-            yield pa.RecordBatch.from_pylist(out, schema=made)
-        if last is not None:
-            yield pa.RecordBatch.from_pylist(end(state, last), schema=made)
-
-    return df.repartition(*key).sortWithinPartitions(*key, "at", "seq").mapInArrow(run, schema)
-
-
 def _last_lease(horizon: int | None):
     """What ends after a task's last request: a lease that runs out by the horizon."""
 
@@ -169,7 +147,7 @@ def folded(requests: DataFrame, horizon: int | None = None) -> DataFrame:
     while True:
         asked = asking if reached is None else asking.join(reached, "seq", "left_semi")
         grants = stage_outcomes(leases.unionByName(asked)).filter("kind = 'claim'").select("seq", "granted")
-        out = settle(_folded(tasks.join(grants, "seq", "left"), ["task"], _NEW, move, end, OUTCOME))
+        out = settle(_fold(tasks.join(grants, "seq", "left"), ["task"], ["at", "seq"], lambda: _NEW, move, end, OUTCOME))
         found = out.filter("reached").select("seq")
         before = reached if reached is not None else asking.select("seq")
         if before.join(found, "seq", "left_anti").isEmpty() and found.join(before, "seq", "left_anti").isEmpty():
@@ -184,7 +162,7 @@ def stage_outcomes(requests: DataFrame) -> DataFrame:
         s, granted = stage_step(s, r)
         return s, [{"seq": r["seq"], "stage": r["stage"], "at": r["at"], "kind": r["kind"], "granted": granted, "lease_owner": s["owner"], "lease_expires_at": s["expires"]}]
 
-    return _folded(requests.filter("at is not null"), ["stage"], _NO_LEASE, move, lambda s, r: [], "seq long, stage string, at long, kind string, granted boolean, lease_owner string, lease_expires_at long")
+    return _fold(requests.filter("at is not null"), ["stage"], ["at", "seq"], lambda: _NO_LEASE, move, lambda s, r: [], "seq long, stage string, at long, kind string, granted boolean, lease_owner string, lease_expires_at long")
 
 
 def _latest(outcomes: DataFrame, key: list[str], what: list[str]) -> DataFrame:

@@ -63,12 +63,13 @@ SPLIT_REASONS = (
 )
 
 
-def family_splits(events: DataFrame, reasons: tuple[str, ...] = SPLIT_REASONS) -> DataFrame:
+def family_splits(events: DataFrame, reasons: tuple[str, ...] = SPLIT_REASONS, scope: tuple[str, ...] = ()) -> DataFrame:
     """(event_family_key, n, events): families with several publishable events of which at least one has no allowed reason;
-    the events without one, in order. events: (event_key, event_family_key, publishability, split_reason)."""
+    the events without one, in order. events: (event_key, event_family_key, publishability, split_reason), and the columns
+    of `scope`, within which families count."""
     family = text.family_key(F.coalesce(F.when(F.col("event_family_key") != "", F.col("event_family_key")), F.col("event_key")))
-    rows = events.filter(F.lower("publishability").isin("candidate", "needs_review")).select(family.alias("event_family_key"), "event_key", F.coalesce(F.trim("split_reason").isin(*reasons), F.lit(False)).alias("fine"))
-    found = rows.groupBy("event_family_key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(~F.col("fine"), F.col("event_key")))).alias("events"))
+    rows = events.filter(F.lower("publishability").isin("candidate", "needs_review")).select(*scope, family.alias("event_family_key"), "event_key", F.coalesce(F.trim("split_reason").isin(*reasons), F.lit(False)).alias("fine"))
+    found = rows.groupBy(*scope, "event_family_key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(~F.col("fine"), F.col("event_key")))).alias("events"))
     return found.filter((F.col("n") > 1) & (F.size("events") > 0))
 
 
