@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .operators import claims, evaluation, planning
+from .sources import articles
 from .tables import shared_folder, table
 
 
@@ -130,3 +131,32 @@ def e05_prepared(spark, d):
   UNION ALL SELECT plan, NULL, 'not_covered', string_agg(i1, ',' ORDER BY i1) FROM ev WHERE NOT EXISTS (SELECT 1 FROM fi WHERE fi.plan = ev.plan AND list_contains(fi.ids, ev.i1)) GROUP BY plan""")
 def e06_plan_errors(spark, d):
     return _prepared(spark, d)[1]
+
+
+# ---- pages ---------------------------------------------------------------------------------------
+
+_DECODED = "replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(regexp_split_to_array({0}, '<[^>]*>'), lambda r: trim(regexp_replace(r, '\\s+', ' ', 'g'))), lambda r: r <> ''), ' '), '&quot;', '\"', 'g'), '&amp;?', '&', 'g'), chr(0), '')"
+_BLOCK_SQL = f"regexp_replace({_DECODED}, '\\s+([,.;:!?])', '\\1', 'g')"
+
+
+@query(f"""WITH p AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS parts FROM pages),
+  b AS (SELECT page_id, k, CASE WHEN k = 1 THEN parts[1] WHEN starts_with(parts[k], '<b>') THEN array_to_string(parts[k:], '<p>') ELSE split_part(parts[k], '</p>', 1) END AS inner_html FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM p)),
+  t AS (SELECT page_id, k, {_BLOCK_SQL.format('inner_html')} AS block FROM b)
+  SELECT page_id, string_agg(block, chr(10) || chr(10) ORDER BY k) AS article FROM t WHERE block <> '' GROUP BY 1""")
+def s13_articles(spark, d):
+    """Paragraphs without an end hold those after them, as in the pages' tree."""
+    landed = table(spark, d, "pages").select("page_id", F.lit("nvidia_ai_blog").alias("source_id"), F.col("html").alias("body"))
+    return articles.bodies(landed).select("page_id", "article")
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(range(1, 4)) AS position, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS titles FROM pages),
+  a AS (SELECT 'https://l.org' || regexp_extract_all(html, '<a href="([^"]*)">', 1)[1] AS url, min(page_id) AS page_id FROM pages GROUP BY 1), h AS (SELECT a.url, {_BLOCK_SQL.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS head FROM a JOIN pages USING (page_id))
+  SELECT l.page_id, position, url, {_DECODED.format('titles[position]')} AS title, head FROM l JOIN h ON 'https://l.org' || hrefs[position] = url WHERE position <= len(hrefs)""")
+def s06_listed_articles(spark, d):
+    """Pages as listings of their first three links; as articles each page under the address of its own first link, the first page of an address."""
+    pages = table(spark, d, "pages")
+    listings = pages.select(F.col("page_id").cast("string").alias("source_id"), F.lit("https://l.org/x").alias("url"), F.col("html").alias("body"))
+    own = F.concat(F.lit("https://l.org"), F.regexp_extract("html", '<a href="([^"]*)">', 1))
+    landed = pages.groupBy(own.alias("url")).agg(F.min_by("html", "page_id").alias("body"))
+    out = articles.listed_articles(listings, landed, "nav a[href]", 3)
+    return out.select(F.col("source_id").cast("long").alias("page_id"), "position", "url", "title", F.substring_index("content", "\n\n", 1).alias("head"))
