@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .operators import claims, evaluation, planning
+from .operators import captures, claims, evaluation, planning
 from .sources import articles
 from .tables import shared_folder, table
 
@@ -160,3 +160,38 @@ def s06_listed_articles(spark, d):
     landed = pages.groupBy(own.alias("url")).agg(F.min_by("html", "page_id").alias("body"))
     out = articles.listed_articles(listings, landed, "nav a[href]", 3)
     return out.select(F.col("source_id").cast("long").alias("page_id"), "position", "url", "title", F.substring_index("content", "\n\n", 1).alias("head"))
+
+
+# ---- captures ------------------------------------------------------------------------------------
+
+_CAPTURE = {
+    "seq": "event_id", "source_id": "'s' || CAST(user_id AS STRING)", "external_id": "CASE event_id % 4 WHEN 0 THEN 'github_repo:o/r' || CAST(event_id % 3 AS STRING) WHEN 1 THEN 'e' || CAST(event_id % 5 AS STRING) END", "content_hash": "'h' || CAST(event_id % 9 AS STRING)",
+    "title": "'t' || CAST(event_id % 2 AS STRING)", "content_class": "CASE WHEN event_id % 4 = 0 THEN 'project_tool' ELSE 'news_media' END", "stars": "event_id * 7 % 50",
+}
+
+
+def _applied(spark, d):
+    rows = table(spark, d, "events").selectExpr(*(f"{v} AS {k}" for k, v in _CAPTURE.items()), "ts AS at")
+    none = {c: "CAST(NULL AS TIMESTAMP)" if c.endswith("_at") else "CAST(NULL AS STRING)" for c in ("summary", "content_text", "content_depth", "canonical_url", "published_at", "discovered_at", "original_title", "source_url", "raw_payload")}
+    rows = rows.selectExpr("*", "'b' AS build", "concat('{\"stars\": ', stars, '}') AS metrics", *(f"{v} AS {c}" for c, v in none.items())).drop("stars").withColumn("at", F.col("at").cast("timestamp"))
+    return captures.applied(spark.createDataFrame([], captures.ITEM), rows, spark.createDataFrame([], "id string, content_class string"))
+
+
+_APPLIED = f"""WITH RECURSIVE cap AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY at_, seq) AS rn, CASE WHEN content_class = 'project_tool' THEN sha256(external_id) ELSE content_hash END AS h FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in _CAPTURE.items())}, ts AS at_ FROM events)),
+st AS (SELECT source_id, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::BIGINT AS item, false AS inserted, false AS material, []::STRUCT(item BIGINT, ext VARCHAR, hash VARCHAR, title VARCHAR, cls VARCHAR, stars BIGINT)[] AS items FROM cap GROUP BY 1
+  UNION ALL SELECT source_id, rn, seq, coalesce(items[k].item, seq), k IS NULL, k IS NOT NULL AND (fresh OR items[k].title <> title OR items[k].cls <> cls),
+    CASE WHEN k IS NULL THEN list_append(items, struct_pack(item := seq, ext := ext, hash := h, title := title, cls := cls, stars := stars))
+      ELSE list_transform(items, lambda x, i: CASE WHEN i = k THEN struct_pack(item := x.item, ext := x.ext, hash := CASE WHEN fresh AND NOT owned THEN h ELSE x.hash END, title := title, cls := cls, stars := CASE WHEN cls = 'project_tool' THEN greatest(x.stars, stars) ELSE stars END) ELSE x END) END
+  FROM (SELECT *, cls <> 'project_tool' AND items[k].hash <> h AS fresh, list_contains(list_transform(items, lambda x: x.hash), h) AS owned
+    FROM (SELECT s.source_id, c.rn, c.seq, s.items, c.external_id AS ext, c.h, c.title, c.content_class AS cls, c.stars, coalesce(CASE WHEN c.external_id IS NOT NULL THEN nullif(list_position(list_transform(s.items, lambda x: x.ext), c.external_id), 0) END, nullif(list_position(list_transform(s.items, lambda x: x.hash), c.h), 0)) AS k
+      FROM st s JOIN cap c ON c.source_id = s.source_id AND c.rn = s.rn + 1)))"""
+
+
+@query(f"{_APPLIED} SELECT source_id, i.item, i.ext AS external_id, i.hash AS content_hash, i.title, i.cls AS content_class, i.stars FROM (SELECT source_id, unnest(items) AS i FROM st s WHERE rn = (SELECT max(rn) FROM cap WHERE cap.source_id = s.source_id))")
+def m01_two_key_items(spark, d):
+    return _applied(spark, d)[0].select("source_id", "item", "external_id", "content_hash", "title", "content_class", F.get_json_object("metrics", "$.stars").cast("long").alias("stars"))
+
+
+@query(f"{_APPLIED} SELECT source_id, seq, item, inserted, material FROM st WHERE rn > 0")
+def f63_capture_outcomes(spark, d):
+    return _applied(spark, d)[1].select("source_id", "seq", "item", "inserted", "material")
