@@ -26,7 +26,7 @@ from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pretokens whose ids, and pairs whose compatibility, are remembered in a worker; beyond it the memory starts anew.
-REMEMBERED, PAIRS = 400_000, 300_000
+REMEMBERED, PAIRS = 100_000, 100_000
 
 # Fixed values of the byte-level scheme: white space, and the split of a text into pretokens.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
