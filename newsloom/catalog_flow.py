@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from .catalog import query
+from .functions import freeform
 from .operators import captures, claims, evaluation, planning
+from .plans import scope
 from .sources import articles
 from .tables import shared_folder, table
 
@@ -195,3 +198,54 @@ def m01_two_key_items(spark, d):
 @query(f"{_APPLIED} SELECT source_id, seq, item, inserted, material FROM st WHERE rn > 0")
 def f63_capture_outcomes(spark, d):
     return _applied(spark, d)[1].select("source_id", "seq", "item", "inserted", "material")
+
+
+# ---- scopes --------------------------------------------------------------------------------------
+
+@query("SELECT d.source, count(*) AS documents, count(*) FILTER (WHERE doc_id % 3 = 0) AS members, sum(length(coalesce(text, '')))::BIGINT AS characters FROM documents d GROUP BY 1")
+def t02_frozen_read(spark, d):
+    """A build frozen over the documents, read through its manifest."""
+    root = f"{shared_folder(spark)}/builds-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents")
+    kept = scope.freeze(spark, root, "b", {"documents": f"{d}/documents.parquet"}, docs.filter("doc_id % 3 = 0").selectExpr("doc_id AS item_id", "source AS source_id"), datetime(2024, 1, 15, tzinfo=timezone.utc))
+    rows = kept.table("documents").join(kept.members().select(F.col("item_id").alias("doc_id"), F.lit(1).alias("m")), "doc_id", "left")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("m").alias("members"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters"))
+
+
+@query("""SELECT doc_id AS item_id, CASE WHEN doc_id % 11 = 0 THEN 'item_missing' WHEN doc_id % 7 = 0 THEN 'other_build' WHEN doc_id % 3 = 0 THEN 'scope_frozen' ELSE 'attached' END AS outcome FROM documents""")
+def t02_late_members(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    items = docs.filter("doc_id % 11 <> 0").selectExpr("doc_id AS item_id", "CASE WHEN doc_id % 7 = 0 THEN 'a' ELSE 'b' END AS build")
+    fine, refused = scope.admitted(docs.selectExpr("doc_id AS item_id", "'fetched' AS status"), items, docs.filter("doc_id % 3 <> 0").selectExpr("doc_id AS item_id"), "b")
+    return fine.select("item_id", F.lit("attached").alias("outcome")).unionByName(refused.withColumnRenamed("reason", "outcome"))
+
+
+@query("""SELECT e.event_id AS item_id, CASE WHEN event_type = 'error' THEN 'not_succeeded' WHEN e.event_id % 5 = 0 OR d.doc_id IS NULL THEN 'out_of_scope' WHEN e.event_id % 4 = 1 THEN 'stale' ELSE 'current' END AS outcome FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id""")
+def j10_current_results(spark, d):
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.sha2(F.concat("lang", F.col("doc_id").cast("string")), 256).alias("fingerprint"))
+    results = table(spark, d, "events").selectExpr("event_id AS item_id", "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status").join(items, "item_id", "left")
+    asked = F.when(F.col("item_id") % 4 == 1, "old").when(F.col("item_id") % 4 == 2, None).otherwise(F.col("fingerprint"))
+    fine, out = scope.current(results.select("item_id", "status", asked.alias("input_fingerprint")), items.filter("item_id % 5 <> 0"), items)
+    return fine.select("item_id", F.lit("current").alias("outcome")).unionByName(out.withColumnRenamed("reason", "outcome"))
+
+
+@query("""WITH s AS (SELECT doc_id AS subject, CASE WHEN doc_id % 4 <> 0 THEN lang END AS input, 'c' || (doc_id % 2) AS config FROM documents), r AS (SELECT event_id AS subject, CASE WHEN event_id % 3 = 0 THEN 'en' ELSE 'de' END AS input, 'c' || (event_id % 6 // 3) AS config FROM events WHERE event_type <> 'error')
+  SELECT subject FROM s WHERE subject % 13 = 0 OR NOT EXISTS (SELECT 1 FROM r WHERE r.subject = s.subject AND (s.input IS NULL OR s.input = r.input) AND s.config = r.config)""")
+def t04_to_run(spark, d):
+    subjects = table(spark, d, "documents").selectExpr("doc_id AS subject", "CASE WHEN doc_id % 4 <> 0 THEN lang END AS input", "concat('c', doc_id % 2) AS config")
+    results = table(spark, d, "events").selectExpr("event_id AS subject", "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status", "CASE WHEN event_id % 3 = 0 THEN 'en' ELSE 'de' END AS input", "concat('c', CAST(floor(event_id % 6 / 3) AS INT)) AS config")
+    return scope.to_run(subjects, results, subjects.filter("subject % 13 = 0")).select("subject")
+
+
+# ---- dates ---------------------------------------------------------------------------------------
+
+_AS = [("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "second"), ("MMMM dd, yyyy 'at' hh:mm a", "minute"), ("dd-MMM-yy HH:mm", "minute"), ("yyyyMMdd'T'HHmmss", "second"), ("MM/dd/yyyy", "day"), ("EEE MMM dd HH:mm:ss 'UTC' yyyy", "second"), ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'", "microseconds"), ("'no date'", None)]
+
+
+@query(f"SELECT event_id, CASE event_id % 8 {' '.join(f'''WHEN {i} THEN epoch_us({f'date_trunc({unit!r}, ts)' if unit else 'NULL::TIMESTAMP'}){' - 7200000000' if i == 6 else ''}''' for i, (_, unit) in enumerate(_AS))} END AS at FROM events")
+def f50_freeform(spark, d):
+    """Times written in eight ways, read back to what each of them says."""
+    ts, form = F.col("ts").cast("timestamp"), F.lit(None).cast("string")
+    for i, (pattern, _) in enumerate(_AS):
+        form = F.when(F.col("event_id") % 8 == i, F.date_format(ts, pattern)).otherwise(form)
+    return table(spark, d, "events").select("event_id", F.unix_micros(freeform.parsed(form, F.lit("2024-05-31").cast("timestamp"))).alias("at"))
