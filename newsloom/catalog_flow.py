@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .functions import freeform
+from .functions import addresses, freeform
 from .operators import captures, claims, evaluation, planning
 from .plans import scope
 from .sources import articles
@@ -249,3 +249,17 @@ def f50_freeform(spark, d):
     for i, (pattern, _) in enumerate(_AS):
         form = F.when(F.col("event_id") % 8 == i, F.date_format(ts, pattern)).otherwise(form)
     return table(spark, d, "events").select("event_id", F.unix_micros(freeform.parsed(form, F.lit("2024-05-31").cast("timestamp"))).alias("at"))
+
+
+# ---- addresses -----------------------------------------------------------------------------------
+
+_QUAD = "CAST(l_orderkey * 37 % 256 AS STRING) || '.' || CAST(l_partkey % 256 AS STRING) || '.' || CAST(l_suppkey % 256 AS STRING) || '.' || CAST(l_linenumber AS STRING)"
+_HOSTS = f"""CASE l_orderkey % 5 WHEN 0 THEN {_QUAD} WHEN 1 THEN '[::ffff:' || {_QUAD} || ']:80' WHEN 2 THEN '[2001:db8::' || CAST(l_linenumber AS STRING) || ']' WHEN 3 THEN '[2606:4700:' || CAST(l_partkey % 1000 AS STRING) || '::]' ELSE 'h' || CAST(l_suppkey AS STRING) || '.org' END"""
+_FOUR = " OR ".join(f"(n BETWEEN {int(n[0])} AND {int(n[-1])})" for n in map(addresses.ipaddress.ip_network, addresses.CLOSED4))
+
+
+@query(f"""WITH h AS (SELECT l_orderkey, l_linenumber, {_HOSTS} AS host, l_orderkey % 5 AS k, (l_orderkey * 37 % 256) * 16777216 + (l_partkey % 256) * 65536 + (l_suppkey % 256) * 256 + l_linenumber AS n FROM lineitem)
+  SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 AND ({_FOUR}) AND n NOT IN (3221225481, 3221225482) OR k IN (1, 2) THEN NULL ELSE 'http://' || host || '/' END AS url FROM h""")
+def p23_public_urls(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_HOSTS} AS host")
+    return rows.select("l_orderkey", "l_linenumber", addresses.public_url(F.concat(F.lit("HTTP://"), "host", F.lit("#x"))).alias("url"))
