@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import addresses, freeform
-from .operators import captures, claims, evaluation, planning
-from .plans import scope
+from .operators import captures, claims, evaluation, planning, ranking
+from .plans import bundle, keyed, scope
 from .sources import articles
 from .tables import shared_folder, table
 
@@ -263,3 +263,29 @@ _FOUR = " OR ".join(f"(n BETWEEN {int(n[0])} AND {int(n[-1])})" for n in map(add
 def p23_public_urls(spark, d):
     rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_HOSTS} AS host")
     return rows.select("l_orderkey", "l_linenumber", addresses.public_url(F.concat(F.lit("HTTP://"), "host", F.lit("#x"))).alias("url"))
+
+
+# ---- bundles and look-ups ------------------------------------------------------------------------
+
+@query("SELECT lang, count(*) AS n_lines, sum(strlen('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') + 1)::BIGINT AS bytes FROM documents GROUP BY 1")
+def k05_bundle(spark, d):
+    """A bundle of a table for each language, as its manifest has it, with the lines that are in its files."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    langs = [r.lang for r in docs.select("lang").distinct().collect()]
+    root = f"{shared_folder(spark)}/bundles-{uuid.uuid4().hex}"
+    bundle.write(spark, root, {"about.md": "documents by language\n"}, {lang: docs.filter(F.col("lang") == lang) for lang in langs})
+    made = bundle.current(spark, root)
+    told = spark.createDataFrame([(n, f["bytes"]) for n, f in made.files.items() if "parts" in f], "lang string, bytes long")
+    lines = spark.read.schema("doc_id long, lang string").json([f"{made.path}/{lang}" for lang in langs])
+    return lines.groupBy("lang").agg(F.count("doc_id").alias("n_lines")).join(told, "lang")
+
+
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id IN (3, 11, 42))")
+def r18_children(spark, d):
+    """Of the sources of three documents, looked up by id, the documents in order, looked up by source."""
+    root = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    keyed.write(docs, f"{root}/by_id", "doc_id", buckets=8)
+    keyed.write(docs, f"{root}/by_source", "source", order=["doc_id"], buckets=8)
+    sources = sorted({r.source for r in keyed.look_up(spark, f"{root}/by_id", "doc_id", [3, 11, 42], buckets=8).collect()})
+    return ranking.ranked(keyed.look_up(spark, f"{root}/by_source", "source", sources, buckets=8), [F.col("doc_id")], "place", ["source"])
