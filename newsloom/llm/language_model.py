@@ -110,7 +110,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
     import pyarrow as pa
 
     n_bytes = blocks.measure(docs, text)
-    plan = blocks.plan(n_bytes, n_bytes // 6, fan=fan)
+    plan = blocks.plan(n_bytes, n_bytes // 6, shard_keys=2 * blocks.SHARD_KEYS, fan=fan)
     blocked = blocks.in_blocks(docs, plan.blocks, id_col=id_col, text=text)
     k2, k3 = priors
     width = -(-(1 << 64) // plan.shards)
