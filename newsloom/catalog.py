@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import surrogates
 from .functions import dates, hashes, numbers, structured, text, urls
-from .operators import entities, policy, ranking, state, views
+from .operators import entities, listing, policy, ranking, state, views
 from .plans import publish
 from .tables import ITEMS_SQL, items, table
 
@@ -257,32 +257,36 @@ def e11_history_match(spark, d):
 
 @query("SELECT o_orderkey, count(l_orderkey) AS entries FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def j02_edition_counts(spark, d):
-    entries = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("entries"))
-    return table(spark, d, "orders").select("o_orderkey").join(entries, "o_orderkey", "left").select("o_orderkey", F.coalesce("entries", F.lit(0)).alias("entries"))
+    entries = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return listing.counted(table(spark, d, "orders").select("o_orderkey"), entries, "o_orderkey", "entries")
 
 
 @query("""SELECT o_orderkey, count(*) AS n, string_agg(p_name || ':' || s_name, ',' ORDER BY l_linenumber, p_name, s_name) AS members FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1""")
 def j05_nested_members(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = rows.join(table(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    inner = F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name", "s_name")))
-    return rows.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(inner, lambda x: F.concat(x["p_name"], F.lit(":"), x["s_name"])), ",").alias("members"))
+    """Orders as events of their lines, with parts and suppliers looked up."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("item_id"), "l_linenumber", "l_suppkey")
+    lines = listing.looked_up(lines, "l_suppkey", table(spark, d, "supplier"), "s_suppkey", ["s_name"]).filter("s_name is not null")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name")
+    out = listing.nested_members(table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id")), lines, parts, order=["l_linenumber", "p_name", "s_name"], fields=[])
+    shown = F.transform("members", lambda x: F.concat(x["p_name"], F.lit(":"), x["s_name"]))
+    return out.filter("n_members > 0").select(F.col("event_id").alias("o_orderkey"), F.col("n_members").alias("n"), F.array_join(shown, ",").alias("members"))
 
 
 @query("SELECT n_name, count(*) AS items, count(DISTINCT l_orderkey) AS editions FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def j08_source_counts(spark, d):
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = listing.looked_up(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey"), "l_suppkey", table(spark, d, "supplier"), "s_suppkey", ["s_nationkey"])
+    rows = listing.looked_up(rows, "s_nationkey", table(spark, d, "nation"), "n_nationkey", ["n_name"]).filter("n_name is not null")
     return rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("l_orderkey").alias("editions"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def j14_semi(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return listing.scoped(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def j15_anti(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return listing.uncovered(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT user_id, arg_max(event_id, (epoch_us(ts), event_id)) AS event_id, arg_max(event_type, (epoch_us(ts), event_id)) AS event_type FROM events GROUP BY 1")
@@ -324,17 +328,17 @@ def g09_stage_fold(spark, d):
     return state.stage_status(table(spark, d, "events").selectExpr("user_id", f"{_TASK} AS status"), "user_id")
 
 
-@query("SELECT conv_id, max(turn) + 1 AS next_turn, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+@query("SELECT conv_id, turn, max_turn + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence FROM (SELECT conv_id, turn, coalesce(max(CASE WHEN role <> 'assistant' THEN turn END) OVER (PARTITION BY conv_id), 0) AS max_turn, role FROM conversations) WHERE role = 'assistant'")
 def g22_sequence(spark, d):
-    inner = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return table(spark, d, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("next_turn"), F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(inner, lambda x: x["role"]), ">").alias("roles"))
+    """Answers numbered on from the last of the other turns."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    new, old = rows.filter("role = 'assistant'").select("conv_id", "turn"), rows.filter("role <> 'assistant'").select("conv_id", F.col("turn").alias("sequence"))
+    return listing.next_numbers(new, old, "conv_id", "sequence", [F.asc("turn")])
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY first, event_type) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1")
 def g13_ordered_union(spark, d):
-    firsts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    inner = F.array_sort(F.collect_list(F.struct("first", "event_type")))
-    return firsts.groupBy("user_id").agg(F.array_join(F.transform(inner, lambda x: x["event_type"]), ",").alias("kinds"))
+    return listing.united(table(spark, d, "events"), "user_id", "event_type", ["event_id"]).select("user_id", F.array_join("values", ",").alias("kinds"))
 
 
 # ---- entities ----------------------------------------------------------------------------------
@@ -436,9 +440,12 @@ def k04_manifest(spark, d):
     return publish.manifest(table(spark, d, "nation").withColumnRenamed("n_nationkey", "display_order"), "n_name")
 
 
-@query("SELECT CAST(user_id % 7 AS INTEGER) AS source, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failed, round(max(value), 2) AS top FROM events GROUP BY 1")
+@query("""WITH s AS (SELECT user_id, user_id % 7 AS run, CASE WHEN max(value) > 99 THEN 'Failed' WHEN min(value) < 1 THEN 'degraded' ELSE 'success' END AS status, count(*) AS f, count(*) FILTER (WHERE event_type = 'click') AS i, count(*) FILTER (WHERE event_type = 'error') AS k FROM events GROUP BY 1)
+  SELECT run, count(*) AS sources, sum(f)::BIGINT AS fetched, sum(i)::BIGINT AS inserted, sum(k)::BIGINT AS skipped, count(*) FILTER (WHERE status = 'Failed') AS failed, count(*) FILTER (WHERE status = 'degraded') AS degraded FROM s GROUP BY 1""")
 def g16_fetch_totals(spark, d):
-    return table(spark, d, "events").groupBy((F.col("user_id") % 7).cast("int").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(F.max("value"), 2).alias("top"))
+    status = F.when(F.max("value") > 99, "Failed").when(F.min("value") < 1, "degraded").otherwise("success")
+    stats = table(spark, d, "events").groupBy("user_id").agg(status.alias("status"), F.count(F.lit(1)).alias("items_fetched"), F.count_if(F.col("event_type") == "click").alias("items_inserted"), F.count_if(F.col("event_type") == "error").alias("items_skipped"))
+    return listing.fetch_totals(stats.withColumn("run", F.col("user_id") % 7), ["run"])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

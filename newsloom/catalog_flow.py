@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import addresses, freeform
-from .operators import captures, claims, evaluation, planning, ranking
-from .plans import bundle, keyed, scope
-from .sources import articles
+from .operators import captures, claims, evaluation, planning, policy, ranking, state
+from .plans import bundle, keyed, requests, scope
+from .sources import articles, entries
 from .tables import shared_folder, table
 
 
@@ -289,3 +289,80 @@ def r18_children(spark, d):
     keyed.write(docs, f"{root}/by_source", "source", order=["doc_id"], buckets=8)
     sources = sorted({r.source for r in keyed.look_up(spark, f"{root}/by_id", "doc_id", [3, 11, 42], buckets=8).collect()})
     return ranking.ranked(keyed.look_up(spark, f"{root}/by_source", "source", sources, buckets=8), [F.col("doc_id")], "place", ["source"])
+
+
+# ---- entries, requests, failures, rows by key ----------------------------------------------------
+
+@query("""WITH x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents)
+  SELECT x.source AS source_id, x.position::INTEGER AS position, 'id' || x.doc_id AS external_id, CASE WHEN x.doc_id % 7 = 0 THEN '(untitled)' ELSE 'T & ' || x.doc_id END AS title, 'https://e.org/' || x.doc_id AS link, CASE x.doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B C' END AS author,
+    CASE WHEN x.doc_id % 5 <> 0 THEN epoch_us(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * x.doc_id::INT) END AS at, CASE WHEN x.doc_id % 2 = 0 THEN 'full' ELSE 'summary' END AS content_depth, json_extract_string('{"lang": "' || d.lang || '"}', '$.lang') AS payload_lang,
+    sha256(lower(CASE WHEN x.doc_id % 7 = 0 THEN '(untitled)' ELSE 'T & ' || x.doc_id END) || chr(10) || 'https://e.org/' || x.doc_id || chr(10) || 's' || x.doc_id || chr(10) || CASE WHEN x.doc_id % 2 = 0 THEN '<p>c</p>' ELSE '' END) AS content_hash FROM x JOIN documents d USING (doc_id) WHERE position <= 40""")
+def s03_feed_entries(spark, d):
+    """Documents written as the entries of a feed a source, read again: the first forty of each."""
+    i = F.col("doc_id")
+    n = i.cast("string")
+    tag = lambda name, *parts: F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name}>"))
+    at = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + i * 60_000_000)
+    date = F.when(i % 5 == 0, "soon").when(i % 5 == 1, F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(F.date_format(at, "MMMM d, yyyy h:mm a"))
+    who = F.when(i % 3 == 0, "<author><name>A</name><email>a@b.c</email></author>").when(i % 3 == 1, "<author>B C</author>").otherwise("")
+    body = F.when(i % 2 == 0, '<c:encoded xmlns:c="c">&lt;p&gt;c&lt;/p&gt;</c:encoded>').otherwise("")
+    title = F.when(i % 7 == 0, "<title> </title>").otherwise(tag("title", F.lit("T &amp; "), n))
+    entry = tag("item", tag("guid", F.lit("id"), n), title, tag("link", F.lit("https://e.org/"), n), who, tag("description", F.lit("s"), n), body, tag("pubDate", date), tag("lang", F.col("lang")))
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("source_id"), entry.alias("entry"))
+    feeds = docs.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "entry"))), lambda x: x["entry"]).alias("entries"))
+    landed = feeds.select("source_id", F.concat(F.lit("<rss><channel>"), F.array_join("entries", ""), F.lit("</channel></rss>")).alias("body"), F.lit(40).alias("item_limit"))
+    out = entries.parsed(landed, F.lit("2024-05-31").cast("timestamp"))
+    return out.select("source_id", "position", "external_id", "title", "link", "author", F.unix_micros("published_at").alias("at"), "content_depth", F.get_json_object("raw_payload", "$.lang").alias("payload_lang"), "content_hash")
+
+
+@query("""WITH e AS (SELECT doc_id // 20 AS run_id, doc_id, '{"event_id":' || doc_id || ',"title":"' || lang || '"' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',"topic":"' || source || '"' END || '}' AS j FROM documents),
+  b AS (SELECT run_id, count(*) AS n_events, '{"max_selected":15,"candidate_events":[' || string_agg(j, ',' ORDER BY doc_id DESC) || ']}' AS body FROM e GROUP BY 1) SELECT run_id, n_events, sha256(body) AS body_sha256, strlen(body)::BIGINT AS body_bytes FROM b""")
+def u11_requests(spark, d):
+    rows = table(spark, d, "documents").selectExpr("CAST(floor(doc_id / 20) AS BIGINT) AS run_id", "-doc_id AS display_order", "doc_id AS event_id", "lang AS title", "CASE WHEN doc_id % 3 <> 0 THEN source END AS topic")
+    return requests.selection_requests(rows, ["event_id", "title", "topic"]).drop("body")
+
+
+_FAILED = {
+    "status": "CASE event_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 401 WHEN 3 THEN 422 WHEN 4 THEN 404 END", "code": "CASE event_id % 7 WHEN 0 THEN 'rate limit' WHEN 1 THEN 'E' || CAST(event_id % 3 AS STRING) WHEN 2 THEN 'Bad Gateway' END",
+    "message": "CASE event_id % 5 WHEN 0 THEN 'Request TIMED OUT' WHEN 1 THEN 'invalid JSON here' WHEN 2 THEN 'no auth' WHEN 3 THEN 'odd' END", "kind": "CASE event_id % 11 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'ValueError' WHEN 2 THEN 'ProviderRetryExhausted' END",
+}
+
+
+@query(f"""WITH e AS (SELECT event_id, {', '.join(f'{v} AS {k}' for k, v in _FAILED.items())} FROM events), s AS (SELECT *, lower(coalesce(code, '') || ' ' || coalesce(message, '')) AS said FROM e),
+  f AS (SELECT *, coalesce(kind = 'ProviderRetryExhausted', false) AS gone, coalesce(status = 429 OR status >= 500, false) OR said LIKE '%rate limit%' OR said LIKE '%bad gateway%' AS again, coalesce(kind = 'TimeoutError', false) OR said LIKE '%timed out%' AS slow, coalesce(status BETWEEN 400 AND 499, false) AS refused, said LIKE '%invalid json%' AS schema FROM s)
+  SELECT event_id, NOT gone AND (again OR slow) AS retryable, CASE WHEN gone THEN 'provider_retry_exhausted' WHEN again OR slow THEN 'provider_retryable' WHEN refused AND schema THEN 'schema' WHEN refused AND (status = 401 OR said LIKE '%auth%') THEN 'provider_auth' WHEN refused THEN 'provider_blocked' WHEN coalesce(kind = 'ValueError', false) OR schema THEN 'schema' ELSE 'provider_blocked' END AS category,
+    CASE WHEN gone THEN coalesce(code, 'retry_exhausted') WHEN again THEN coalesce(status::VARCHAR, code, 'provider_retryable') WHEN slow THEN coalesce(code, status::VARCHAR, 'timeout') WHEN refused THEN status::VARCHAR WHEN coalesce(kind = 'ValueError', false) OR schema THEN coalesce(code, kind, 'schema_error') ELSE coalesce(code, kind, 'provider_error') END AS code FROM f""")
+def p30_failure_class(spark, d):
+    rows = table(spark, d, "events").selectExpr("event_id", *(f"{v} AS {k}" for k, v in _FAILED.items()))
+    again, category, code = policy.failure_class(F.col("status"), F.col("code"), F.col("message"), F.col("kind"), F.lit(False))
+    return rows.select("event_id", again.alias("retryable"), category.alias("category"), code.alias("code"))
+
+
+@query("""WITH n AS (SELECT user_id AS item_id, arg_max(event_type, (value, event_id)) AS status FROM events WHERE event_type <> 'view' GROUP BY 1), o AS (SELECT DISTINCT user_id AS item_id FROM events UNION SELECT -1)
+  SELECT o.item_id, coalesce(n.status, 'old') AS status FROM o LEFT JOIN n USING (item_id)""")
+def m07_status_updates(spark, d):
+    """Of a key's several changes the last by value counts."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.col("event_type").alias("status"), "value", "event_id")
+    rows = e.select("item_id").distinct().unionByName(spark.range(1).select((F.col("id") - 1).alias("item_id"))).withColumn("status", F.lit("old"))
+    return state.with_status(rows, e.filter("status <> 'view'"), "item_id", ["value", "event_id"])
+
+
+@query("""WITH o AS (SELECT doc_id AS item_id, 'old' AS decision FROM documents), n AS (SELECT event_id % 700 AS item_id, arg_max(event_type, event_id) AS decision FROM events GROUP BY 1) SELECT coalesce(o.item_id, n.item_id) AS item_id, coalesce(n.decision, o.decision) AS decision FROM o FULL JOIN n USING (item_id)""")
+def m03_screen_rows(spark, d):
+    old = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.lit("old").alias("decision"), F.lit(-1).cast("long").alias("at"))
+    new = table(spark, d, "events").select((F.col("event_id") % 700).alias("item_id"), F.col("event_type").alias("decision"), F.col("event_id").alias("at"))
+    return state.last_rows(old, new, ["item_id"], ["at"]).select("item_id", "decision")
+
+
+@query("""WITH a AS (SELECT user_id AS source_id, event_id, event_id * 1000000::BIGINT AS t, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' WHEN 'click' THEN 'degraded' ELSE 'success' END AS status FROM events WHERE event_id % 4 <> 0), k AS (SELECT *, sum(CASE WHEN status = 'failed' THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY t, event_id) AS run FROM a WHERE status <> 'skipped'),
+  l AS (SELECT source_id, arg_max(status, event_id) AS status, arg_max(run, event_id) AS run FROM k GROUP BY 1)
+  SELECT s.user_id AS id, CASE l.status WHEN 'failed' THEN 'failed' WHEN 'degraded' THEN 'degraded' WHEN 'success' THEN 'healthy' ELSE 'unknown' END AS health_status, coalesce((SELECT count(*) FROM k WHERE k.source_id = l.source_id AND k.run = l.run AND k.status = 'failed'), 0) AS consecutive_failures FROM (SELECT DISTINCT user_id FROM events) s LEFT JOIN l ON l.source_id = s.user_id""")
+def t19_finished_fetches(spark, d):
+    """Attempts with results for all but each fourth, which are still going."""
+    e = table(spark, d, "events")
+    open_ = {"items_fetched": "0L", "http_status": "CAST(NULL AS INT)", "error_code": "CAST(NULL AS STRING)", "error_message": "CAST(NULL AS STRING)", "finished_at": "CAST(NULL AS TIMESTAMP)"}
+    rows = e.selectExpr("user_id AS source_id", "event_id AS attempt_id", "'running' AS status", *(f"{v} AS {k}" for k, v in open_.items()))
+    done = e.filter("event_id % 4 <> 0").selectExpr("event_id AS attempt_id", "CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' WHEN 'click' THEN 'degraded' ELSE 'success' END AS status", "1L AS items_fetched", "200 AS http_status", "CASE WHEN event_type = 'error' THEN 'e: x' END AS error")
+    sources = e.select(F.col("user_id").alias("id")).distinct()
+    _, out = state.finished_fetches(sources, rows, done, F.timestamp_micros(F.col("attempt_id") * 1_000_000))
+    return out.select("id", "health_status", "consecutive_failures")

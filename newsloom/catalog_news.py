@@ -171,40 +171,41 @@ def e06_first_claims(spark, d):
     return kept.select(F.lit("kept").alias("what"), "event_key", "item_id", F.col("event_key").alias("owner")).unionByName(dropped.select(F.lit("dropped").alias("what"), "event_key", "item_id", "owner"))
 
 
-_DRAFT = "item_id % 60"
+_DRAFT = "CAST(floor(item_id / 3) AS BIGINT)"
 _PUB = "CASE CAST(substr(draft_key, 2) AS INT) % 4 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'Candidate' WHEN 2 THEN 'rejected' ELSE 'candidate' END"
 
 
-@query(f"""WITH RECURSIVE {sql('items')}, {_KEYS}, mem AS (SELECT 'd' || ({_DRAFT}) AS draft_key, item_id, keys FROM kk WHERE item_id < 180), dr AS (SELECT DISTINCT draft_key, lower({_PUB}) AS pub FROM mem),
+@query(f"""WITH RECURSIVE {sql('items')}, {_KEYS}, mem AS (SELECT 'd' || ({_DRAFT}) AS draft_key, item_id, keys FROM kk), dr AS (SELECT DISTINCT draft_key, lower({_PUB}) AS pub FROM mem),
   ke AS (SELECT DISTINCT draft_key, unnest(keys) AS k FROM mem JOIN dr USING (draft_key) WHERE pub <> 'rejected'), reach AS (SELECT DISTINCT draft_key AS a, draft_key AS b FROM dr UNION SELECT r.a, y.draft_key FROM reach r JOIN ke x ON r.b = x.draft_key JOIN ke y ON x.k = y.k),
   sz AS (SELECT draft_key, pub, count(*) AS n FROM mem JOIN dr USING (draft_key) GROUP BY ALL)
   SELECT a AS draft_key, arg_min(b, (CASE pub WHEN 'candidate' THEN 0 WHEN 'needs_review' THEN 1 ELSE 2 END, -n, b)) AS "into" FROM reach JOIN sz ON b = draft_key GROUP BY 1""")
 def w10_merged_drafts(spark, d):
-    items = view(spark, d, "items").filter("item_id < 180")
+    items = view(spark, d, "items")
     members = items.selectExpr(f"'d' || CAST({_DRAFT} AS STRING) AS draft_key", "item_id")
     drafts = members.select("draft_key").distinct().selectExpr("draft_key", f"{_PUB} AS publishability")
     return events.merged_drafts(drafts, members, items)
 
 
-@query(f"""WITH {sql('items')}, {_KEYS}, mem AS (SELECT item_id % 50 AS draft_id, item_id, keys FROM kk WHERE item_id < 150), free AS (SELECT item_id, unnest(keys) AS k FROM kk WHERE item_id >= 150 AND item_id % 2 = 0), mk AS (SELECT draft_id, unnest(keys) AS k FROM mem),
+@query(f"""WITH {sql('items')}, {_KEYS}, mem AS (SELECT item_id // 12 AS draft_id, item_id, keys FROM kk WHERE item_id % 3 <> 0), free AS (SELECT item_id, unnest(keys) AS k FROM kk WHERE item_id % 3 = 0), mk AS (SELECT draft_id, unnest(keys) AS k FROM mem),
   res AS (SELECT item_id, min(draft_id) AS draft_id FROM free JOIN mk USING (k) GROUP BY 1), al AS (SELECT draft_id, item_id, false AS r FROM mem UNION ALL SELECT draft_id, item_id, true FROM res),
   f AS (SELECT al.*, i.*, coalesce(published_at, captured_at) AS t_at, CASE WHEN lower(source_group) IN ('official_blog', 'official_research', 'x_official', 'github_release') THEN 0 WHEN content_class = 'news_media' THEN 1 WHEN content_class = 'project_tool' THEN 2 ELSE 3 END AS cr FROM al JOIN items i USING (item_id))
   SELECT draft_id, arg_min(item_id, (cr, -b1_priority, -epoch_us(t_at), item_id)) AS primary_item_id, string_agg(item_id, ',' ORDER BY r, item_id) AS item_ids, CAST(max(b1_priority) AS INTEGER) AS display_score, epoch_us(min(t_at)) AS first_seen, epoch_us(max(t_at)) AS last_seen,
-    CASE WHEN draft_id >= 45 THEN 'agent:' || draft_id ELSE 'dk' || draft_id END AS event_key FROM f GROUP BY draft_id""")
+    CASE WHEN draft_id >= 45 THEN 'agent:' || draft_id ELSE 'dk' || draft_id END AS event_key, list_aggregate(list_sort(list_distinct(list('w' || (item_id % 4)))), 'string_agg', ',') AS words FROM f GROUP BY draft_id""")
 def j12_materialised(spark, d):
     items = view(spark, d, "items")
-    members = items.filter("item_id < 150").selectExpr("item_id % 50 AS draft_id", "item_id")
+    members = items.filter("item_id % 3 <> 0").selectExpr("CAST(floor(item_id / 12) AS BIGINT) AS draft_id", "item_id")
     drafts = members.select("draft_id").distinct().selectExpr("draft_id", "'dk' || CAST(draft_id % 45 AS STRING) AS draft_key", "'A Title' AS title")
-    out = events.materialised(drafts, members, items, items.filter("item_id >= 150 AND item_id % 2 = 0"))
+    reviews = items.selectExpr("item_id", "array(concat('w', item_id % 4), ' ', NULL) AS keywords", "array(named_struct('name', 'n', 'type', 'company')) AS entities")
+    out = events.materialised(drafts, members, items, items.filter("item_id % 3 = 0"), reviews)
     ids = F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",")
-    return out.select("draft_id", "primary_item_id", ids.alias("item_ids"), "display_score", F.unix_micros("first_seen_at").alias("first_seen"), F.unix_micros("last_seen_at").alias("last_seen"), "event_key")
+    return out.select("draft_id", "primary_item_id", ids.alias("item_ids"), "display_score", F.unix_micros("first_seen_at").alias("first_seen"), F.unix_micros("last_seen_at").alias("last_seen"), "event_key", F.array_join(F.array_sort("keywords"), ",").alias("words"))
 
 
-@query(f"""WITH {sql('items')}, {_KEYS}, p AS (SELECT item_id % 50 AS draft_id, min(item_id) AS lead FROM kk WHERE item_id < 200 GROUP BY 1)
-  SELECT draft_id, k.item_id, CASE WHEN k.item_id = lead THEN 'primary' WHEN list_has_any(k.keys, l.keys) THEN 'duplicate' ELSE 'related' END AS relation FROM kk k JOIN p ON k.item_id % 50 = draft_id JOIN kk l ON l.item_id = lead WHERE k.item_id < 200""")
+@query(f"""WITH {sql('items')}, {_KEYS}, p AS (SELECT item_id // 4 AS draft_id, min(item_id) AS lead FROM kk GROUP BY 1)
+  SELECT draft_id, k.item_id, CASE WHEN k.item_id = lead THEN 'primary' WHEN list_has_any(k.keys, l.keys) THEN 'duplicate' ELSE 'related' END AS relation FROM kk k JOIN p ON k.item_id // 4 = draft_id JOIN kk l ON l.item_id = lead""")
 def e10_relations(spark, d):
-    items = view(spark, d, "items").filter("item_id < 200")
-    ev = items.groupBy((F.col("item_id") % 50).alias("draft_id")).agg(F.min("item_id").alias("primary_item_id"), F.collect_set("item_id").alias("item_ids"))
+    items = view(spark, d, "items")
+    ev = items.groupBy(F.floor(F.col("item_id") / 4).alias("draft_id")).agg(F.min("item_id").alias("primary_item_id"), F.collect_set("item_id").alias("item_ids"))
     return events.relations(ev, items)
 
 
@@ -289,19 +290,20 @@ def p26_package(spark, d):
     return out.withColumns({c: F.array_join(c, "|") for c in ("source_groups", "eligibility_blockers", "editorial_caveats")})
 
 
-@query("""WITH m AS (SELECT doc_id % 40 AS event_id, doc_id AS item_id, source, lang FROM documents WHERE doc_id % 40 < 30), p AS (SELECT event_id, min(item_id) AS lead FROM m GROUP BY 1)
-  SELECT event_id, 'key' || event_id AS event_key, CAST(31 - event_id AS INTEGER) AS display_order, CAST(event_id * 2 AS DOUBLE) AS display_score, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'unknown' END AS kind, CASE WHEN event_id % 2 = 0 THEN 'top' ELSE 'selected' END AS reason_code, count(*) AS refs,
+@query("""WITH m AS (SELECT doc_id // 30 AS event_id, doc_id AS item_id, source, lang FROM documents), p AS (SELECT event_id, min(item_id) AS lead FROM m GROUP BY 1)
+  SELECT event_id, 'key' || event_id AS event_key, CAST(event_id + 1 AS INTEGER) AS display_order, CAST(event_id * 2 AS DOUBLE) AS display_score, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'unknown' END AS kind, CASE WHEN event_id % 2 = 0 THEN 'top' ELSE 'selected' END AS reason_code, count(*) AS refs,
     string_agg(item_id, ',' ORDER BY item_id) AS ref_items, max(CASE WHEN item_id = lead THEN item_id END) AS lead_item, count(*) FILTER (WHERE item_id % 2 = 0) AS audits, CASE WHEN bool_or(item_id % 3 = 0) AND bool_or(item_id % 3 <> 0) THEN 'candidate,new' WHEN bool_or(item_id % 3 = 0) THEN 'new' ELSE 'candidate' END AS member_statuses FROM m JOIN p USING (event_id) GROUP BY event_id""")
 def p27_records(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id % 40 < 30")
-    m = docs.selectExpr("doc_id % 40 AS event_id", "doc_id AS item_id", "source AS source_id", "CAST(NULL AS STRING) AS source_group", "CAST(NULL AS STRING) AS source_url", "CAST(NULL AS STRING) AS source_title", "'related' AS match_type", "100 AS match_confidence")
+    docs = table(spark, d, "documents")
+    m = docs.selectExpr("CAST(floor(doc_id / 30) AS BIGINT) AS event_id", "doc_id AS item_id", "source AS source_id", "CAST(NULL AS STRING) AS source_group", "CAST(NULL AS STRING) AS source_url", "CAST(NULL AS STRING) AS source_title", "'related' AS match_type", "100 AS match_confidence")
     lead = m.groupBy("event_id").agg(F.min("item_id").alias("lead"))
     m = m.join(lead, "event_id").withColumn("is_primary", F.col("item_id") == F.col("lead")).drop("lead")
     items = docs.selectExpr("doc_id AS item_id", "lang AS title", "CAST(NULL AS STRING) AS canonical_url", "lang AS summary", "CAST(NULL AS STRING) AS summary_cn", "CAST(NULL AS STRING) AS content_text", "'full' AS content_depth", "CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'candidate' END AS status", "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * CAST(doc_id AS INT) AS published_at", "CAST(NULL AS TIMESTAMP) AS captured_at")
     sources = docs.select("source").distinct().selectExpr("source AS id", "upper(source) AS name", "'grp' AS source_group")
     screens = docs.filter("doc_id % 2 = 0").selectExpr("doc_id AS item_id", "'pass' AS decision", "'' AS reason_code", "90 AS confidence")
-    ev = spark.range(30).selectExpr("id AS event_id", "'key' || CAST(id AS STRING) AS event_key", "id * 2 AS display_score", "'t' AS topic", "'c' AS content_class", "CAST(NULL AS STRING) AS source_group", "array('s') AS source_ids", "CAST(NULL AS ARRAY<STRING>) AS source_groups", "'T' AS title", "'S' AS summary_cn", "'u' AS canonical_url", "CASE id % 3 WHEN 0 THEN 'New' WHEN 1 THEN 'odd' END AS novelty_status", "array('f') AS risk_flags", "array('k') AS keywords", "'candidate' AS review_state", "CAST(NULL AS INT) AS resolution_confidence", "CAST(NULL AS TIMESTAMP) AS first_seen_at", "CAST(NULL AS TIMESTAMP) AS last_seen_at")
-    chosen = spark.range(30).selectExpr("id AS event_id", "CAST(31 - id AS INT) AS display_order", "CASE WHEN id % 2 = 0 THEN 'top' ELSE '' END AS reason_code", "' why ' AS reason")
+    numbers = docs.selectExpr("CAST(floor(doc_id / 30) AS BIGINT) AS id").distinct()
+    ev = numbers.selectExpr("id AS event_id", "'key' || CAST(id AS STRING) AS event_key", "id * 2 AS display_score", "'t' AS topic", "'c' AS content_class", "CAST(NULL AS STRING) AS source_group", "array('s') AS source_ids", "CAST(NULL AS ARRAY<STRING>) AS source_groups", "'T' AS title", "'S' AS summary_cn", "'u' AS canonical_url", "CASE id % 3 WHEN 0 THEN 'New' WHEN 1 THEN 'odd' END AS novelty_status", "array('f') AS risk_flags", "array('k') AS keywords", "'candidate' AS review_state", "CAST(NULL AS INT) AS resolution_confidence", "CAST(NULL AS TIMESTAMP) AS first_seen_at", "CAST(NULL AS TIMESTAMP) AS last_seen_at")
+    chosen = numbers.selectExpr("id AS event_id", "CAST(id + 1 AS INT) AS display_order", "CASE WHEN id % 2 = 0 THEN 'top' ELSE '' END AS reason_code", "' why ' AS reason")
     out = records.records(ev, m, items, sources, screens, chosen)
     hours = ((F.unix_micros("published_at") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / F.lit(3_600_000_000)).cast("long")
     return out.select("event_id", "event_key", "display_order", "display_score", "provenance.kind", "reason_code", F.size("source_refs").cast("long").alias("refs"), F.array_join(F.transform("source_refs", lambda r: r["item_id"].cast("string")), ",").alias("ref_items"), hours.alias("lead_item"), F.size("screen_audit").cast("long").alias("audits"), F.array_join("member_statuses", ",").alias("member_statuses"))
@@ -456,11 +458,11 @@ def m05_event_members(spark, d):
 
 
 @query(f"""WITH {sql('items')}, n AS (SELECT item_id % 6 AS run_id, item_id, CASE WHEN item_id = 14 THEN 'odd' WHEN item_id % 2 = 0 THEN 'active' ELSE 'filtered' END AS decision, CASE WHEN item_id % 5 = 0 THEN -3 END AS rank, item_id AS score FROM items WHERE item_id % 6 < 4), bad AS (SELECT run_id FROM n WHERE decision = 'odd')
-  SELECT run_id, item_id, decision, CASE WHEN rank IS NOT NULL THEN 1 END AS rank, CAST(least(100, score) AS INTEGER) AS guarded_score FROM n WHERE run_id NOT IN (SELECT run_id FROM bad) UNION ALL SELECT item_id % 6, item_id, 'reserve', NULL, 7 FROM items WHERE item_id < 60 AND (item_id % 6 >= 4 OR item_id % 6 IN (SELECT run_id FROM bad))""")
+  SELECT run_id, item_id, decision, CASE WHEN rank IS NOT NULL THEN 1 END AS rank, CAST(least(100, score) AS INTEGER) AS guarded_score FROM n WHERE run_id NOT IN (SELECT run_id FROM bad) UNION ALL SELECT item_id % 6, item_id, 'reserve', NULL, 7 FROM items WHERE item_id % 2 = 0 AND (item_id % 6 >= 4 OR item_id % 6 IN (SELECT run_id FROM bad))""")
 def m06_replaced_admissions(spark, d):
     items = view(spark, d, "items")
     new = items.filter("item_id % 6 < 4").selectExpr("item_id % 6 AS run_id", "item_id", "CASE WHEN item_id = 14 THEN 'odd' WHEN item_id % 2 = 0 THEN 'active' ELSE ' ' END AS decision", "CASE WHEN item_id % 5 = 0 THEN -3 END AS rank", "CAST(item_id AS INT) AS guarded_score", "'c' AS reason_code", "CAST(NULL AS STRING) AS reason")
-    old = items.filter("item_id < 60").selectExpr("item_id % 6 AS run_id", "item_id", "'reserve' AS decision", "CAST(NULL AS INT) AS rank", "7 AS guarded_score", "'' AS reason_code", "'' AS reason")
+    old = items.filter("item_id % 2 = 0").selectExpr("item_id % 6 AS run_id", "item_id", "'reserve' AS decision", "CAST(NULL AS INT) AS rank", "7 AS guarded_score", "'' AS reason_code", "'' AS reason")
     out, _ = state.replaced_admissions(old, new, items.selectExpr("item_id", "item_id % 6 AS build_id"))
     return out.select("run_id", "item_id", "decision", "rank", "guarded_score")
 

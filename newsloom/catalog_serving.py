@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import text, urls
-from .operators import entities, policy, ranking, state, views
+from .operators import entities, listing, policy, ranking, state, views
 from .sources import pages
 from .tables import ITEMS_SQL, items, table
 
@@ -51,8 +51,9 @@ def e08_family_split(spark, d):
   SELECT item, score FROM k WHERE r = 1 ORDER BY score DESC, item LIMIT 40 OFFSET 20""")
 def w08_member_feed(spark, d):
     """Members distinct by item, the first wins; by score, then item; one page."""
-    firsts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("score"))
-    return ranking.top(firsts, [F.desc("score"), F.asc("item")], 40, 20)
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("score"), "l_linenumber", "l_partkey")
+    page, _ = listing.member_feed(rows, item="item", score="score", first=["l_linenumber", "l_partkey", "score"], limit=40, offset=20)
+    return page.select("item", "score")
 
 
 @query("""SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size DESC, round(p_retailprice) DESC, p_partkey) AS INTEGER) AS rank FROM part WHERE p_type <> 'ECONOMY'""")
@@ -97,11 +98,12 @@ def p31_content_class(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", policy.content_class(group, F.when(i == 2, "github").otherwise("feed")).alias("content_class"))
 
 
-@query("WITH ids AS (SELECT unnest([7, 3, 100000000, 11, 3]) AS id, unnest([1, 2, 3, 4, 5]) AS pos) SELECT c_custkey, CAST(min(pos) AS INTEGER) AS place FROM ids JOIN customer ON id = c_custkey GROUP BY 1")
+@query("WITH ids AS (SELECT event_id % 300 AS k, min(event_id) AS pos FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT k AS c_custkey, pos AS place, c_custkey IS NULL AS missing FROM ids LEFT JOIN customer ON k = c_custkey")
 def j09_in_list_order(spark, d):
-    """Rows of an id list in the list's order, each once; ids without a row are left out."""
-    wanted = spark.createDataFrame(list(enumerate([7, 3, 100000000, 11, 3], 1)), "pos int, c_custkey long").groupBy("c_custkey").agg(F.min("pos").alias("place"))
-    return table(spark, d, "customer").select("c_custkey").join(F.broadcast(wanted), "c_custkey")
+    """Customers in the order of a list of ids, each once, and the ids that no customer has."""
+    ids = table(spark, d, "events").filter("event_id % 3 = 0").select((F.col("event_id") % 300).alias("c_custkey"), F.col("event_id").alias("position"))
+    found, missing = listing.in_list_order(table(spark, d, "customer").select("c_custkey"), "c_custkey", ids)
+    return found.select("c_custkey", "place", F.lit(False).alias("missing")).unionByName(missing.select("c_custkey", "place", F.lit(True).alias("missing")))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND coalesce(text ILIKE '%und%', false)")

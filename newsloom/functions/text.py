@@ -54,8 +54,8 @@ def _tidied(text: Column, newlines: bool = True) -> Column:
 
 
 def external_id(value: Column) -> Column:
-    """All white space removed, lower case; empty is null."""
-    out = F.lower(F.regexp_replace(value, r"\s+", ""))
+    """All white space of any script removed, case folded; empty is null."""
+    out = casefold(F.regexp_replace(value, r"(?U)\s+", ""))
     return F.when(out != "", out)
 
 

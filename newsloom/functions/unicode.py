@@ -30,14 +30,19 @@ def _unescape(values: pd.Series) -> pd.Series:
     return _mapped(values, lambda t: html.unescape(t) if "&" in t else t)
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def nfkc(text: Column) -> Column:
-    return _nfkc(text)
+    """Texts of ASCII stay in the JVM: to the worker they go as nulls."""
+    return F.coalesce(_nfkc(F.when(~_ascii(text), text)), text)
 
 
 def casefold(text: Column) -> Column:
-    return _casefold(text)
+    return F.coalesce(_casefold(F.when(~_ascii(text), text)), F.lower(text))
 
 
 def unescaped(text: Column) -> Column:
-    """HTML entities decoded, as browsers do (known names count without their semicolon too)."""
-    return _unescape(text)
+    """HTML entities decoded, as browsers do (known names count without their semicolon too); only texts with an & go to the worker."""
+    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..tables import settle
 from . import ranking
 from .entities import components, identity_keys
 
@@ -66,37 +67,61 @@ def first_claims(assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("own").select("position", "event_key", "item_id").distinct(), rows.filter("not own").select("event_key", "item_id", "owner")
 
 
-def with_reserves(members: DataFrame, items: DataFrame, reserves: DataFrame) -> DataFrame:
+def with_reserves(members: DataFrame, items: DataFrame, reserves: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(draft_id, item_id, reserve): members (draft_id, item_id), and reserve items in no draft that share an identity with
-    one, each in the first draft by id."""
+    one, each in the first draft by id. keys: the items' identities, where they are known."""
     free = reserves.select("item_id").join(members.select("item_id"), "item_id", "left_anti")
     own = members.select("draft_id", "item_id")
-    keys = identities(items)
+    keys = identities(items) if keys is None else keys
     # the first draft of an identity is found before reserves join it: one row an identity
     first = own.join(keys, "item_id").groupBy("identity").agg(F.min("draft_id").alias("draft_id"))
     added = free.join(keys, "item_id").join(first, "identity").groupBy("item_id").agg(F.min("draft_id").alias("draft_id"))
     return own.withColumn("reserve", F.lit(False)).unionByName(added.select("draft_id", "item_id", F.lit(True).alias("reserve")))
 
 
-def materialised(drafts: DataFrame, members: DataFrame, items: DataFrame, reserves: DataFrame) -> DataFrame:
-    """One event a draft: key (a repeated one becomes agent:draft), primary item, members, sources and groups in member
-    order, identities, highest score, earliest and latest time. drafts: (draft_id, draft_key, title); members: (draft_id, item_id)."""
-    rows = with_reserves(members, items, reserves).join(items, "item_id")
+_UNITED = ("source_ids", "source_groups", "identity_keys", "keywords", "entities")
+
+
+def materialised(drafts: DataFrame, members: DataFrame, items: DataFrame, reserves: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """One event a draft: key (a repeated one becomes agent:draft), primary item, members, highest score, earliest and latest
+    time; and united in member order, first seen first: sources, groups, identities, keywords, entities.
+    drafts: (draft_id, draft_key, title); members: (draft_id, item_id); reviews: (item_id, keywords: array<string>, entities:
+    array<struct<name, type>>), an item at most once.
+
+    Identities are worked out once. Each united value keeps its least place by a grouping that combines before it shuffles; only
+    distinct values are gathered in arrays. Of members themselves an event gathers the ids.
+    """
+    located = url_of(F.col("canonical_url"), F.col("source_url"))
+    keyed = settle(items.select("item_id", identity_keys(F.col("external_id"), located).alias("keys")))
+    who = with_reserves(members, items, reserves, keyed.select("item_id", F.explode("keys").alias("identity")))
+    none = F.array().cast("array<string>")
+    rows = who.join(items, "item_id").join(keyed, "item_id")
+    if reviews is not None:
+        words = reviews.select("item_id", F.coalesce("keywords", none).alias("_words"), F.transform(F.coalesce("entities", F.array().cast("array<struct<name:string,type:string>>")), lambda e: F.to_json(e)).alias("_names"))
+        rows = rows.join(words, "item_id", "left")
+    else:
+        rows = rows.withColumns({"_words": none, "_names": none})
+    rows = settle(rows)
     at = F.coalesce("published_at", "captured_at")
-    key = ranking.primary_key(F.col("source_group"), F.col("content_class"), F.col("b1_priority"), F.col("published_at"), F.col("captured_at"), F.col("item_id"))
-    inner = F.array_sort(F.collect_list(F.struct("reserve", "item_id", "source_id", "source_group", identity_keys(F.col("external_id"), url_of(F.col("canonical_url"), F.col("source_url"))).alias("keys"))))
-    who = F.struct("item_id", "content_class", "source_group", "external_id", url_of(F.col("canonical_url"), F.col("source_url")).alias("url"), "title")
-    found = rows.groupBy("draft_id").agg(F.min_by(who, key).alias("p"), inner.alias("m"), F.max(F.coalesce("b1_priority", F.lit(0))).alias("display_score"), F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"))
-    picked = lambda f: F.array_distinct(F.filter(F.transform("m", lambda x: x[f]), lambda v: v.isNotNull() & (v != "")))
-    out = found.join(drafts.select("draft_id", "draft_key", F.col("title").alias("draft_title")), "draft_id")
-    named = F.coalesce(text.trimmed_or_null(F.col("draft_key")), event_key(F.col("p.external_id"), F.col("p.url"), F.col("p.item_id"), F.col("p.title")))
-    out = out.withColumn("event_key", named)
+    lead = ranking.primary_key(F.col("source_group"), F.col("content_class"), F.col("b1_priority"), F.col("published_at"), F.col("captured_at"), F.col("item_id"))
+    main = F.struct("item_id", "content_class", "source_group", "keys", "title")
+    order = F.struct("reserve", "item_id")
+    found = rows.groupBy("draft_id").agg(F.min_by(main, lead).alias("p"), F.transform(F.array_sort(F.collect_list(order)), lambda x: x["item_id"]).alias("item_ids"), F.max(F.coalesce("b1_priority", F.lit(0))).alias("display_score"), F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"))
+    lists = {"source_ids": F.array("source_id"), "source_groups": F.array("source_group"), "identity_keys": F.col("keys"), "keywords": F.coalesce("_words", none), "entities": F.coalesce("_names", none)}
+    marked = lambda kind, v: F.transform(v, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x.alias("v")))
+    values = F.concat(*(marked(k, v) for k, v in lists.items()))
+    each = rows.select("draft_id", order.alias("o"), F.explode(values).alias("x")).filter("x.v is not null and trim(x.v) <> ''").groupBy("draft_id", F.col("x.kind").alias("kind"), F.col("x.v").alias("v")).agg(F.min(F.struct("o", "x.i")).alias("place"))
+    gathered = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "v")))), lambda x: x["v"]).alias(k)
+    united = each.groupBy("draft_id").agg(*map(gathered, _UNITED))
+    out = found.join(united, "draft_id", "left").join(drafts.select("draft_id", "draft_key", F.col("title").alias("draft_title")), "draft_id")
+    named = text.event_title(F.col("p.title"))
+    first = F.coalesce(text.trimmed_or_null(F.col("draft_key")), F.get("p.keys", F.lit(0)), F.when(F.col("p.item_id") > 0, F.concat(F.lit("item:"), F.col("p.item_id").cast("string"))), F.when(named != "", F.concat(F.lit("title:"), named)), F.lit("item:unknown"))
+    out = settle(out.withColumn("event_key", first))
     firsts = out.groupBy("event_key").agg(F.min("draft_id").alias("_first"))
     out = out.join(firsts, "event_key").withColumn("event_key", F.when(F.col("draft_id") == F.col("_first"), F.col("event_key")).otherwise(F.concat(F.lit("agent:"), F.col("draft_id").cast("string"))))
-    return out.select(
-        "draft_id", "event_key", F.col("draft_title").alias("title"), text.event_title(F.col("draft_title")).alias("normalized_title"), F.col("p.item_id").alias("primary_item_id"), F.col("p.content_class").alias("content_class"), F.col("p.source_group").alias("source_group"),
-        F.transform("m", lambda x: x["item_id"]).alias("item_ids"), picked("source_id").alias("source_ids"), picked("source_group").alias("source_groups"), F.array_distinct(F.flatten(F.transform("m", lambda x: x["keys"]))).alias("identity_keys"), "display_score", "first_seen_at", "last_seen_at",
-    )
+    listed = [F.coalesce(k, none).alias(k) for k in _UNITED[:4]]
+    names = F.transform(F.coalesce("entities", none), lambda e: F.from_json(e, "struct<name:string,type:string>")).alias("entities")
+    return out.select("draft_id", "event_key", F.col("draft_title").alias("title"), text.event_title(F.col("draft_title")).alias("normalized_title"), F.col("p.item_id").alias("primary_item_id"), F.col("p.content_class").alias("content_class"), F.col("p.source_group").alias("source_group"), "item_ids", *listed, names, "display_score", "first_seen_at", "last_seen_at")
 
 
 def relations(events: DataFrame, items: DataFrame) -> DataFrame:

@@ -188,3 +188,27 @@ def due(latest: DataFrame, now: Column) -> DataFrame:
     """Sources out of back-off whose interval (1 s at least) since their last attempt has passed. latest: one row a source."""
     ready = F.coalesce(F.col("backoff_until") <= now, F.lit(True))
     return latest.filter(ready & (F.col("last_attempt").isNull() | (now >= F.col("last_attempt") + F.make_dt_interval(secs=F.greatest(F.col("fetch_interval"), F.lit(1))))))
+
+
+# Words in a failure's code or message that say what it is.
+TRANSIENT = ("429", "rate limit", "ratelimit", "5xx", "500", "502", "503", "504", "service unavailable", "bad gateway")
+SLOW = ("timeout", "timed out", "temporarily unavailable")
+SCHEMA = ("validation", "schema", "invalid json", "missing required")
+
+
+def failure_class(status: Column, code: Column, message: Column, kind: Column, exhausted: Column) -> tuple[Column, Column, Column]:
+    """(retryable, category, code) of a provider's failure: by its HTTP status, the words of its code and message, and the
+    name of the exception. What retries have been used up on isn't tried again; unknown failures are blocked."""
+    said = F.lower(F.concat_ws(" ", F.coalesce(code, F.lit("")), F.coalesce(message, F.lit(""))))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(said, w))
+    number = status.cast("string")
+    schema = has(SCHEMA)
+    gone = F.coalesce(exhausted, F.lit(False)) | F.coalesce(kind == "ProviderRetryExhausted", F.lit(False))
+    again = F.coalesce((status == 429) | (status >= 500), F.lit(False)) | has(TRANSIENT)
+    slow = F.coalesce(kind.isin("TimeoutException", "TimeoutError"), F.lit(False)) | has(SLOW)
+    refused = F.coalesce(status.between(400, 499), F.lit(False))
+    bad = F.coalesce(kind.isin("ValidationError", "ValueError", "TypeError", "JSONDecodeError"), F.lit(False)) | schema
+    auth = status.isin(401, 403) | F.contains(said, F.lit("auth"))
+    category = F.when(gone, "provider_retry_exhausted").when(again | slow, "provider_retryable").when(refused & schema, "schema").when(refused & auth, "provider_auth").when(refused, "provider_blocked").when(bad, "schema").otherwise("provider_blocked")
+    named = F.when(gone, F.coalesce(code, F.lit("retry_exhausted"))).when(again, F.coalesce(number, code, F.lit("provider_retryable"))).when(slow, F.coalesce(code, number, F.lit("timeout"))).when(refused, number).when(bad, F.coalesce(code, kind, F.lit("schema_error"))).otherwise(F.coalesce(code, kind, F.lit("provider_error")))
+    return category == "provider_retryable", category, F.substring(named, 1, 128)

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def one_row(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The last row of each key by `order`; of rows that tie, or without an order, the greatest as text: never an arbitrary one."""
+    by = F.struct(*(F.col(c) for c in order or []), F.to_json(F.struct(*rows.columns)).alias("_text"))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), by).alias("r")).select("r.*")
+
+
 def latest(log: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     """The last row of each key: a grouped maximum, combined before the shuffle."""
     return log.groupBy(*keys).agg(F.max_by(F.struct(*log.columns), F.struct(at, tie)).alias("r")).select("r.*")
@@ -22,9 +28,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], coalesced: list[str]
     rows) get their values: what an earlier pass decided. Rows for which `exempt` holds (a condition on the sides o and
     n) change without that. One full outer join on the key.
     """
-    o, n = old.alias("o"), new.alias("n")
+    o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
     both = o.join(n, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
-    is_new, is_old = F.col(f"o.{keys[0]}").isNull(), F.col(f"n.{keys[0]}").isNull()
+    is_new, is_old = F.col("_old").isNull(), F.col("_new").isNull()  # a null key is a key
     given = lambda c: F.when(F.col(f"n.{c}").cast("string") != "", F.col(f"n.{c}"))
     after = {c: F.coalesce(given(c), F.col(f"o.{c}")) for c in coalesced} | {c: F.when(is_old, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) for c in overwritten}
     changed = F.lit(False)
@@ -85,9 +91,10 @@ def resume_plan(stages: DataFrame, order: list[str]) -> DataFrame:
 
 
 def merged_events(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Event upsert: arrays united in first-seen order, highest score, earliest and latest time. One outer join."""
+    """Event upsert: arrays united in first-seen order, highest score, earliest and latest time. One outer join; a null key is one
+    like others, as in `upsert`."""
     o, n = old.alias("o"), new.alias("n")
-    both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    both = o.join(n, F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full_outer")
     none = F.array().cast("array<string>")
     union = F.array_distinct(F.concat(F.coalesce("o.sources", none), F.coalesce("n.sources", none)))
     return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), union.alias("sources"), F.greatest("o.score", "n.score").alias("score"), F.least("o.first_seen", "n.first_seen").alias("first_seen"), F.greatest("o.last_seen", "n.last_seen").alias("last_seen"))
@@ -209,9 +216,10 @@ def replayed(steps: DataFrame, session: str = "session") -> DataFrame:
 
 # ---- rows by key -------------------------------------------------------------------------------
 
-def last_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows over old ones of the same key; others stay. For sources, screenings, analyses: one row a key."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+def last_rows(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """New rows over old ones of the same key; others stay. For sources, screenings, analyses: one row a key, of several new
+    ones the last by `order`."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(one_row(new, keys, order), allowMissingColumns=True)
 
 
 def source_columns(specs: DataFrame) -> DataFrame:
@@ -230,11 +238,11 @@ def source_specs(rows: DataFrame) -> DataFrame:
     return rows.select("id", "name", "source_group", "transport", "url", "enabled", "priority", "fetch_interval", "default_limit", "account_url", "content_class", feed.alias("feed"), git.alias("github"))
 
 
-def event_members(old: DataFrame, new: DataFrame, items: DataFrame) -> DataFrame:
+def event_members(old: DataFrame, new: DataFrame, items: DataFrame, order: list[str] | None = None) -> DataFrame:
     """(event_id, item_id, source_id, source_group, source_url, source_title, identity_key, match_type, is_primary): an item is
-    in one event at most, so a new row moves it there; what the new row leaves open stays, else comes from the item.
-    One outer join on the item."""
-    o, n = old.alias("o"), new.dropDuplicates(["item_id"]).alias("n")
+    in one event at most, so a new row moves it there (of several the last by `order`); what the new row leaves open stays,
+    else comes from the item. One outer join on the item."""
+    o, n = old.alias("o"), one_row(new, ["item_id"], order).alias("n")
     both = o.join(n, F.col("o.item_id") == F.col("n.item_id"), "full_outer").withColumn("_item", F.coalesce("n.item_id", "o.item_id"))
     i = items.select(F.col("item_id").alias("_item"), F.col("source_id").alias("_source"), F.col("source_group").alias("_group"), F.coalesce("canonical_url", "source_url").alias("_url"), F.col("title").alias("_title"))
     rows = both.join(i, "_item", "left")
@@ -258,9 +266,9 @@ def replaced_admissions(old: DataFrame, new: DataFrame, items: DataFrame) -> tup
     return old.join(fine.select("run_id").distinct(), "run_id", "left_anti").select(*fine.columns).unionByName(fine), errors
 
 
-def with_status(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows with the status that `changes` (key, status) gives them."""
-    new = changes.groupBy(key).agg(F.last("status").alias("_status"))
+def with_status(rows: DataFrame, changes: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows with the status that `changes` (key, status, …) gives them: of several the last by `order`."""
+    new = one_row(changes, [key], order).select(key, F.col("status").alias("_status"))
     return rows.join(new, key, "left").withColumn("status", F.coalesce("_status", "status")).drop("_status").select(*rows.columns)
 
 
@@ -306,6 +314,15 @@ def source_state(sources: DataFrame, attempts: DataFrame, base: int = 60, cap: i
     return sources.join(state, "id", "left").withColumn("health_status", F.coalesce("health_status", F.lit("unknown"))).withColumn("consecutive_failures", F.coalesce("consecutive_failures", F.lit(0).cast("long")))
 
 
+def finished_fetches(sources: DataFrame, attempts: DataFrame, results: DataFrame, now: Column, base: int = 60, cap: int = 86_400) -> tuple[DataFrame, DataFrame]:
+    """(attempts, sources) after fetches ended, in one step: attempts with their results, and of their log the sources' health,
+    streaks and back-off. An attempt that was skipped leaves its source as it was, so it never wipes out a failure."""
+    ended = finished_attempts(attempts, results, now)
+    log = ended.filter("finished_at is not null").select("source_id", "attempt_id", F.col("finished_at").alias("at"), "status")
+    kept = [c for c in sources.columns if c not in ("health_status", "consecutive_failures", "last_fetched_at", "backoff_until")]
+    return ended, source_state(sources.select(*kept), log, base, cap)
+
+
 def without_build(tables: dict[str, DataFrame], run_id: int) -> dict[str, DataFrame]:
     """Every table without a build's rows (column build_id or run_id): its items, events, stages, tasks, admissions."""
     return {n: t.filter(~F.coalesce(F.col("build_id" if "build_id" in t.columns else "run_id") == run_id, F.lit(False))) for n, t in tables.items()}

@@ -88,6 +88,6 @@ def export_edition(records: DataFrame, digest: DataFrame, manifest_: DataFrame,
     """An edition's lines, digest lines and manifest beside the public folder, then in its place: all or nothing."""
     staged = f"{final}.staging"
     export_jsonl(records, f"{staged}/intel_items.jsonl", limit)
-    digest.orderBy("display_order", "line_no").select("line").coalesce(1).write.mode("overwrite").text(f"{staged}/intel_digest.md")
+    digest.filter(F.col("display_order") <= limit).orderBy("display_order", "line_no").select("line").coalesce(1).write.mode("overwrite").text(f"{staged}/intel_digest.md")
     manifest_.coalesce(1).write.mode("overwrite").json(f"{staged}/manifest.json")
     promote(spark, staged, final)

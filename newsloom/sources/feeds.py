@@ -189,7 +189,14 @@ def loose_record(record: Column) -> dict[str, Column]:
 
 
 def newest_lines(spark, folder: str, schema: str) -> DataFrame:
-    """Records of the newest of the exports below a folder: files by modification time, malformed lines dropped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folder).select("path", "modificationTime")
-    last = files.orderBy(F.desc("modificationTime"), "path").limit(1).collect()  # one row
-    return json_lines(spark, last[0]["path"], schema) if last else spark.createDataFrame([], schema)
+    """Records of the newest of the exports below a folder, as its file system lists them; malformed lines dropped."""
+    from ..plans.drafts import _fs
+
+    fs, path = _fs(spark, folder)
+    listed, newest = fs.listFiles(path, True), None
+    while listed.hasNext():
+        f = listed.next()
+        if f.getPath().getName().endswith(".jsonl"):
+            at = (f.getModificationTime(), f.getPath().toString())
+            newest = at if newest is None or (-at[0], at[1]) < (-newest[0], newest[1]) else newest
+    return json_lines(spark, newest[1], schema) if newest else spark.createDataFrame([], schema)

@@ -20,9 +20,9 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         "health_status": "CASE WHEN s_suppkey % 9 = 0 THEN 'failed' ELSE 'healthy' END", "consecutive_failures": "CASE WHEN s_suppkey % 9 = 0 THEN 3 END",
     }, "true"),
     "editions": ("orders", {
-        "edition_id": "o_orderkey % 1000", "edition_date": "CAST(" + _AT.format("24 * (o_orderkey % 1000)") + " AS DATE)", "status": "CASE WHEN o_orderkey % 7 = 3 THEN 'building' ELSE 'published' END",
-        "published_at": "CASE WHEN o_orderkey % 11 <> 5 THEN " + _AT.format("24 * (o_orderkey % 1000) + 12") + " END", "candidate_count": "CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 50 AS INT) END",
-    }, "o_orderkey < 30"),
+        "edition_id": "o_orderkey", "edition_date": "CAST(" + _AT.format("24 * o_orderkey") + " AS DATE)", "status": "CASE WHEN o_orderkey % 7 = 3 THEN 'building' ELSE 'published' END",
+        "published_at": "CASE WHEN o_orderkey % 11 <> 5 THEN " + _AT.format("24 * o_orderkey + 12") + " END", "candidate_count": "CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 50 AS INT) END",
+    }, "true"),
     "entries": ("documents", {
         "entry_id": "doc_id", "edition_id": "doc_id % 30", "event_key": "'k' || CAST(doc_id AS STRING)", "display_order": "CAST((doc_id - doc_id % 30) / 30 + 1 AS INT)", "title": "substr(coalesce(text, ''), 1, 20)", "original_title": "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE upper(lang) END",
         "summary": "substr(coalesce(text, ''), 1, 60)", "url": "CASE WHEN doc_id % 4 = 0 THEN 'nothing' ELSE 'https://e.org/' || CAST(doc_id AS STRING) END", "display_score": "CAST(doc_id * 29 % 101 AS DOUBLE) + CAST(0.5 AS DOUBLE)", "topic": "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lang END",

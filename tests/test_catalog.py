@@ -32,8 +32,21 @@ def test_matches_sql(spark, con, name):
     assert _rows([tuple(r) for r in df.collect()], df.columns) == _rows(want.fetchall(), names)
 
 
-def test_entry_works_without_the_llm_folder():
+def test_entry_works_without_the_llm_folders(tmp_path):
+    """A copy without the corpus operators, their tests and their pipeline imports, and has all other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    assert not (copy / "newsloom" / "llm").exists() and not (copy / "tests" / "llm").exists()
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(*sorted(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    names = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert names == sorted(catalog.QUERIES)
     import __spark_entry__ as e
 
-    assert set(catalog.QUERIES) <= set(e.queries())
-    assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(catalog.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
