@@ -114,13 +114,31 @@ def block_of(table) -> int:
     return table.column("block")[0].as_py()
 
 
+def narrowed(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns that compare as the keys do, as few as their bits fit in: most ids are small, and one sort is faster than four."""
+    out, bits = [], 0
+    for k in keys:
+        need = int(k.max()).bit_length() if len(k) else 0
+        if out and bits + need <= 64:
+            out[-1], bits = (out[-1] << np.uint64(need)) | k if need else out[-1], bits + need
+        else:
+            out.append(k)
+            bits = need
+    return out
+
+
+def in_order(narrow: list[np.ndarray]) -> np.ndarray:
+    """Their order; equal keys in any."""
+    return np.argsort(narrow[0]) if len(narrow) == 1 else np.lexsort(narrow[::-1])
+
+
 def _merged(keys: list[np.ndarray], values: list[np.ndarray], least: bool):
     """(distinct keys in order, their values added up or the least ones, place of each input's key, the input that is first)."""
-    order = np.lexsort([*(values[::-1] if least else ()), *keys[::-1]]) if len(keys) > 1 or least else np.argsort(keys[0], kind="stable")
-    keys = [k[order] for k in keys]
+    narrow = narrowed(keys)
+    order = np.lexsort([*values[::-1], *narrow[::-1]]) if least else in_order(narrow)
     new = np.ones(len(order), bool)
     if len(order):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in (x[order] for x in narrow)])
     at = np.flatnonzero(new)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
@@ -128,7 +146,7 @@ def _merged(keys: list[np.ndarray], values: list[np.ndarray], least: bool):
         values = [v[order[at]] for v in values]
     else:
         values = [np.add.reduceat(v[order].astype(np.uint64), at) if len(at) else v.astype(np.uint64) for v in values]
-    return [k[at] for k in keys], values, place, order[at]
+    return [k[order[at]] for k in keys], values, place, order[at]
 
 
 class Exchange:

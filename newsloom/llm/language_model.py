@@ -93,16 +93,17 @@ class _Block:
         many, zero = int(own.sum()), np.uint64(0)
         keys = [np.concatenate(x) for x in ((u[one], u[own]), (v[one], v[own]), (part[one], np.full(many, zero)), (w[one], np.full(many, _WHOLE, np.uint64)))]
         told = np.concatenate([train[keyed][one], train[keyed][own]])
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
+        narrow = blocks.narrowed(keys)
+        order = blocks.in_order(narrow)
         new = np.ones(len(order), bool)
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in (x[order] for x in narrow)])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         total = np.bincount(place, weights=told, minlength=int(new.sum())).astype(np.uint32)
         mine, whole = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         mine[keyed[one]], whole[keyed[own]] = place[: int(one.sum())], place[int(one.sum()) :]
-        return [k[new] for k in keys], total, (mine[at], whole[at], mine[at + 1], whole[at + 1])
+        distinct = order[new]
+        return [k[distinct] for k in keys], total, (mine[at], whole[at], mine[at + 1], whole[at + 1])
 
 
 def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", priors: tuple[float, float] = PRIORS, fan: int | None = None) -> DataFrame:
@@ -130,12 +131,19 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
 
     def answer(keys, sums):
         hashed, follow = context(keys), keys[3].astype(np.int64)
+        # keys come in order, so a context's are together: contexts are sorted, and theirs follow in runs
+        begin = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(hashed) else np.zeros(0, np.int64)
+        which = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(hashed)))
+        by_hash = np.argsort(hashed[begin])
         some = np.flatnonzero(sums[0])
-        some = some[np.argsort(hashed[some], kind="stable")]  # followers of a context stay in order
+        sizes = np.bincount(which[some], minlength=len(begin))
+        first = (np.cumsum(sizes) - sizes)[by_hash]
+        sizes = sizes[by_hash]
+        some = some[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(some))]
         trie = Trie(hashed[some], follow[some], sums[0][some].astype(np.int64), k3)
-        each, which = np.unique(hashed, return_inverse=True)
-        at, backoff = trie.contexts_of(each)
-        back = backoff[which]
+        at, back = np.empty(len(begin), np.int64), np.empty(len(begin), np.uint16)
+        at[by_hash], back[by_hash] = trie.contexts_of(hashed[begin][by_hash])
+        back = back[which]
         # both codes are logarithms, and most counts are 1: their difference is nearly the same everywhere
         return trie.lookup(at[which], follow) - back, back
 
