@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from newsloom import catalog, catalog_flow, catalog_news, catalog_serving  # noqa: F401
+from newsloom import catalog, catalog_flow, catalog_news, catalog_rules, catalog_serving  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
