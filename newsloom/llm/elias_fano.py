@@ -157,10 +157,15 @@ class Trie:
         """Probability codes of followers of contexts by index; 0 where there is none."""
         out = np.zeros(len(word), np.uint16)
         known = np.flatnonzero(at >= 0)
-        lo, hi = (self.pointers[at[known] + i].astype(np.int64) for i in (0, 1))
-        base = np.zeros(len(known), np.int64)
+        # pointers and bases are read once a run of questions about one context
+        mine = at[known]
+        new = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
+        runs = np.diff(new, append=len(mine))
+        lo, hi = (self.pointers[mine[new] + i].astype(np.int64) for i in (0, 1))
+        base = np.zeros(len(new), np.int64)
         some = lo > 0
         base[some] = self.followers[lo[some] - 1].astype(np.int64) + 1
+        lo, hi, base = (np.repeat(x, runs) for x in (lo, hi, base))
         place, found = self.followers.successor(base + word[known], lo, hi)
         out[known[found]] = self.probability[place[found]]
         return out

@@ -141,11 +141,15 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
         sizes = sizes[by_hash]
         some = some[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(some))]
         trie = Trie(hashed[some], follow[some], sums[0][some].astype(np.int64), k3)
-        at, back = np.empty(len(begin), np.int64), np.empty(len(begin), np.uint16)
-        at[by_hash], back[by_hash] = trie.contexts_of(hashed[begin][by_hash])
-        back = back[which]
+        # asked in the trie's own order, so that the search reads its levels from front to back
+        runs = np.diff(begin, append=len(hashed))[by_hash]
+        ordered = np.repeat(begin[by_hash] - (np.cumsum(runs) - runs), runs) + np.arange(len(hashed))
+        at, backoff = trie.contexts_of(hashed[begin][by_hash])
+        code, back = np.empty(len(hashed), np.uint16), np.empty(len(hashed), np.uint16)
+        back[ordered] = np.repeat(backoff, runs)
+        code[ordered] = trie.lookup(np.repeat(at, runs), follow[ordered])
         # both codes are logarithms, and most counts are 1: their difference is nearly the same everywhere
-        return trie.lookup(at[which], follow) - back, back
+        return code - back, back
 
     def tally(keys, sums):
         return np.array([sums[0].sum(), (sums[0] > 0).sum()], np.uint64).tobytes()
