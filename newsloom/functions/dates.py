@@ -17,6 +17,11 @@ def age_hours(at: Column, reference: Column) -> Column:
     return (F.unix_micros(reference.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / F.lit(3_600_000_000)
 
 
+def iso(date: Column) -> Column:
+    """Year, month and day of a date; years past 9999 as plain digits, where a cast writes a sign before them."""
+    return F.ltrim(date.cast("string"), F.lit("+"))
+
+
 # What relative and full dates read.
 UNKNOWN, AGO_DAYS, AGO_HOURS, AGO_MINUTES, JUST_NOW, UNKNOWN_TIME = "未知", "天前", "小时前", "分钟前", "刚刚", "未知时间"
 WEEKDAYS = ("星期一", "星期二", "星期三", "星期四", "星期五", "星期六", "星期日")
