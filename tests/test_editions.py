@@ -32,6 +32,6 @@ def _same(spark, folder, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["r01_editions", "r11_edition_summary"])
+@pytest.mark.parametrize("name", ["r01_editions", "r11_edition_summary", "r14_edition_status"])
 def test_years_past_9999(spark, far, name):
     assert any("10" == str(v)[:2] and len(v) == 11 for row in _same(spark, far, name) for v in row if isinstance(v, str))
