@@ -35,3 +35,19 @@ def _same(spark, folder, name):
 @pytest.mark.parametrize("name", ["r01_editions", "r11_edition_summary", "r14_edition_status"])
 def test_years_past_9999(spark, far, name):
     assert any("10" == str(v)[:2] and len(v) == 11 for row in _same(spark, far, name) for v in row if isinstance(v, str))
+
+
+@pytest.fixture(scope="module")
+def full(tmp_path_factory):
+    """The smallest tables, with documents repeated to 36,000: 1,200 an edition that has any."""
+    folder = tmp_path_factory.mktemp("full")
+    for name in os.listdir(DIR):
+        os.symlink(f"{DIR}/{name}", folder / name)
+    (folder / "documents.parquet").unlink()
+    duckdb.execute(f"COPY (SELECT * REPLACE (doc_id + 200 * i AS doc_id, substr(text, 1, 80) AS text) FROM '{DIR}/documents.parquet', range(180) t(i)) TO '{folder}/documents.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize(("name", "rows"), [("r05_featured_events", 30)])
+def test_the_newest_edition_with_entries_is_read_whole(spark, full, name, rows):
+    assert len(_same(spark, full, name)) == rows
