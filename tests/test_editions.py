@@ -48,6 +48,6 @@ def full(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize(("name", "rows"), [("r05_featured_events", 30), ("r06_all_dynamics", 20)])
+@pytest.mark.parametrize(("name", "rows"), [("r05_featured_events", 30), ("r06_all_dynamics", 20), ("r08_search", 20)])
 def test_the_newest_edition_with_entries_is_read_whole(spark, full, name, rows):
     assert len(_same(spark, full, name)) == rows
