@@ -63,49 +63,67 @@ _SPANS4 = _intervals(CLOSED4, OPEN4)
 _SPANS6 = _joined(_intervals(PRIVATE6, OPEN6), _intervals(RESERVED6))
 
 
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+
+
 def ipv4(host: Column) -> Column:
     """Four decimal numbers up to 255, without leading zeros, as one number."""
-    parts = F.transform(F.split(host, r"\."), lambda p: p.try_cast("bigint"))
-    fits = host.rlike(r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$") & F.forall(parts, lambda p: p <= 255)
-    return F.when(fits, F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p))
+    number = lambda h: F.aggregate(F.split(h, r"\."), F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p.cast("bigint"))
+    return let(host, lambda h: F.when(h.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), number(h)))
 
 
 def ipv6(host: Column) -> Column:
     """Eight groups, of which :: may leave out one run or more, the last two also as IPv4, and a zone after %; as 32 digits."""
-    bare = F.regexp_replace(F.lower(host), "%[^%]+$", "")
-    tail = F.substring_index(bare, ":", -1)
-    low = ipv4(tail)
     group = lambda v: F.lpad(F.lower(F.hex(v)), 4, "0")
-    dotted = F.contains(tail, F.lit("."))
-    head = F.substring(bare, F.lit(1), F.length(bare) - F.length(tail))
-    plain = F.when(~dotted, bare).when(low.isNotNull(), F.concat(head, group(F.floor(low / 65536)), F.lit(":"), group(low % 65536)))
 
-    def expand(t: Column) -> Column:
-        halves = F.split(t, "::", -1)
-        groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
-        a, b = groups(F.get(halves, F.lit(0))), F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-        listed = F.concat(a, b)
-        fine = (F.size(halves) <= 2) & F.forall(listed, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(F.size(halves) == 2, F.size(listed) <= 7).otherwise(F.size(listed) == 8)
-        full = F.concat(a, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(listed), F.lit(0))), b)
-        return F.when(fine, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+    def plain(bare: Column) -> Column:
+        """A dotted end as two groups."""
+        head = lambda tail: F.substring(bare, F.lit(1), F.length(bare) - F.length(tail))
+        grouped = lambda tail, low: F.when(low.isNotNull(), F.concat(head(tail), group(F.floor(low / 65536)), F.lit(":"), group(low % 65536)))
+        dotted = let(F.substring_index(bare, ":", -1), lambda tail: let(ipv4(tail), lambda low: grouped(tail, low)))
+        return F.when(F.contains(bare, F.lit(".")), dotted).otherwise(bare)
+
+    def groups(half: Column) -> Column:
+        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+
+    def expand(halves: Column) -> Column:
+        more = F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return let(F.struct(groups(F.get(halves, F.lit(0))).alias("a"), more.alias("b"), F.size(halves).alias("n")), joined)
+
+    def joined(parts: Column) -> Column:
+        a, b, n = parts["a"], parts["b"], F.size(parts["a"]) + F.size(parts["b"])
+        right = lambda half: F.forall(half, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        fine = F.when(parts["n"] == 2, n <= 7).otherwise((parts["n"] == 1) & (n == 8)) & right(a) & right(b)
+        return F.when(fine, F.array_join(F.transform(F.concat(a, F.array_repeat(F.lit("0"), 8 - n), b), lambda g: F.lpad(g, 4, "0")), ""))
 
-    return F.when(F.contains(host, F.lit(":")), let(plain, expand))
+    read = lambda h: let(let(F.regexp_replace(F.lower(h), "%[^%]+$", ""), plain), lambda t: let(F.split(t, "::", -1), expand))
+    return let(host, lambda h: F.when(F.contains(h, F.lit(":")), read(h)))
 
 
 def closed(host: Column) -> Column:
     """Whether an address is private, loopback, link-local or reserved; null for hosts that are no addresses."""
     in4 = lambda v: _within(v, _SPANS4, lambda n: F.lit(n).cast("bigint"))
     in6 = lambda h: _within(h, _SPANS6, lambda n: F.lit(f"{n:032x}"))
-    four = let(ipv4(host), lambda v: F.when(v.isNotNull(), in4(v)))
-    return F.coalesce(four, let(ipv6(host), lambda h: F.when(h.isNotNull(), in6(h))))
+    four = lambda h: let(ipv4(h), lambda v: F.when(v.isNotNull(), in4(v)))
+    six = lambda h: let(ipv6(h), lambda x: F.when(x.isNotNull(), in6(x)))
+    return let(host, lambda h: F.when(F.contains(h, F.lit(":")), six(h)).otherwise(four(h)))
 
 
 def public_url(url: Column) -> Column:
-    """The http(s) url with its scheme in lower case, a path and no fragment; null where its host is missing, local or a closed address."""
-    u = F.trim(url)
-    site, scheme = urls.netloc(u), F.lower(urls.scheme(u))
-    after = F.regexp_replace(site, "^.*@", "")
-    name = F.lower(F.when(after.startswith("["), F.regexp_extract(after, r"^\[([^\]]*)\](?::[0-9]*)?$", 1)).otherwise(F.regexp_extract(after, r"^([^:\]]*)", 1)))
-    query = urls.query(u)
-    out = F.concat(scheme, F.lit("://"), site, F.coalesce(F.when(urls.path(u) != "", urls.path(u)), F.lit("/")), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(scheme.isin("http", "https") & (name != "") & ~name.isin(*LOCAL) & ~F.coalesce(closed(name), F.lit(False)), out)
+    """The http(s) url with its scheme in lower case, a path and no fragment; null where its host is missing, local or a closed address.
+
+    Each part is worked out once: a part written into several places of a plan is computed in each.
+    """
+    named = lambda after: F.lower(F.when(after.startswith("["), F.regexp_extract(after, r"^\[([^\]]*)\](?::[0-9]*)?$", 1)).otherwise(F.regexp_extract(after, r"^([^:\]]*)", 1)))
+    is_open = lambda name: (name != "") & ~name.isin(*LOCAL) & ~F.coalesce(closed(name), F.lit(False))
+
+    def whole(u: Column, site: Column) -> Column:
+        path = let(urls.path(u), lambda p: F.when(p != "", p).otherwise(F.lit("/")))
+        query = let(urls.query(u), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+        return F.concat(urls.scheme(u), F.lit("://"), site, path, query)
+
+    def checked(u: Column, site: Column) -> Column:
+        name = let(F.regexp_replace(site, "^.*@", ""), named)
+        return F.when(let(name, is_open), whole(u, site))
+
+    return let(F.trim(url), lambda u: F.when(urls.scheme(u).isin("http", "https"), let(urls.netloc(u), lambda site: checked(u, site))))
