@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..functions.freeform import let
 from ..tables import settle, with_hot
 
 
@@ -22,11 +23,13 @@ def two_key_dedup(df: DataFrame, scope: list[str], external: str, content: str,
 
 def identity_keys(external: Column, url: Column) -> Column:
     """Strong identities: external:…, url:…; a release or repository id stands alone; a bare repository page is none beside an id."""
-    ext, link = text.external_id(external), urls.event_url(url)
-    alone = ext.startswith("github_release:") | ext.startswith("github_repo:")
-    root = link.rlike(r"^(?i)https?://(www\.)?github\.com/[^/]+/[^/]+/?$") & ext.isNotNull()
-    keys = F.array(F.concat(F.lit("external:"), ext), F.when(~F.coalesce(alone, F.lit(False)) & ~F.coalesce(root, F.lit(False)), F.concat(F.lit("url:"), link)))
-    return F.array_compact(keys)
+
+    def keys(x: Column) -> Column:
+        alone = x["ext"].startswith("github_release:") | x["ext"].startswith("github_repo:")
+        root = x["link"].rlike(r"^(?i)https?://(www\.)?github\.com/[^/]+/[^/]+/?$") & x["ext"].isNotNull()
+        return F.array_compact(F.array(F.concat(F.lit("external:"), x["ext"]), F.when(~F.coalesce(alone, F.lit(False)) & ~F.coalesce(root, F.lit(False)), F.concat(F.lit("url:"), x["link"]))))
+
+    return let(F.struct(text.external_id(external).alias("ext"), urls.event_url(url).alias("link")), keys)
 
 
 def components(edges: DataFrame, node: str, key: str) -> DataFrame:

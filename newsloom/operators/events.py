@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..functions.freeform import let
 from ..tables import settle
 from . import ranking
 from .entities import components, identity_keys
@@ -25,15 +26,23 @@ def url_of(item_url: Column, source_url: Column) -> Column:
 
 def related_hints(external: Column, url: Column) -> Column:
     """Hints of relatedness that never merge: a repository's page, and a release's url."""
-    link, ext = urls.event_url(url), text.external_id(external)
-    root = link.rlike(r"^(?i)https?://(www\.)?github\.com/[^/]+/[^/]+/?$")
-    return F.array_distinct(F.array_compact(F.array(F.when(root, F.concat(F.lit("github_repo_root:"), F.lower(F.regexp_replace(link, "/+$", "")))), F.when(ext.startswith("github_release:") & link.isNotNull(), F.concat(F.lit("url:"), link)))))
+
+    def hints(x: Column) -> Column:
+        root = x["link"].rlike(r"^(?i)https?://(www\.)?github\.com/[^/]+/[^/]+/?$")
+        return F.array_distinct(F.array_compact(F.array(F.when(root, F.concat(F.lit("github_repo_root:"), F.lower(F.regexp_replace(x["link"], "/+$", "")))), F.when(x["ext"].startswith("github_release:") & x["link"].isNotNull(), F.concat(F.lit("url:"), x["link"])))))
+
+    return let(F.struct(text.external_id(external).alias("ext"), urls.event_url(url).alias("link")), hints)
 
 
 def event_key(external: Column, url: Column, item_id: Column, title: Column) -> Column:
     """The first identity, else the item, else the title, else unknown."""
+    return first_key(identity_keys(external, url), item_id, title)
+
+
+def first_key(keys: Column, item_id: Column, title: Column) -> Column:
+    """The same of identities that are known."""
     named = text.event_title(title)
-    return F.coalesce(F.get(identity_keys(external, url), F.lit(0)), F.when(item_id > 0, F.concat(F.lit("item:"), item_id.cast("string"))), F.when(named != "", F.concat(F.lit("title:"), named)), F.lit("item:unknown"))
+    return F.coalesce(F.get(keys, F.lit(0)), F.when(item_id > 0, F.concat(F.lit("item:"), item_id.cast("string"))), F.when(named != "", F.concat(F.lit("title:"), named)), F.lit("item:unknown"))
 
 
 def identities(items: DataFrame) -> DataFrame:
