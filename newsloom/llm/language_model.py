@@ -71,6 +71,10 @@ class _Block:
         """(keys: words u and v, part, follower; training counts: distinct, in order; places of: each token's own key, its
         context's whole, the key after it, that key's whole; -1 where there is none)."""
         n, rows = len(self.which), len(self.lengths)
+        # ids by their rank within the block: they compare as ids do, and three fit in one integer whatever the vocabulary
+        seen = np.unique(ids[ids != _NONE])
+        named, none = np.concatenate([np.arange(_FIRST_ID, dtype=np.uint64), seen, np.array([_NONE])]), np.uint64(_FIRST_ID + len(seen))
+        ids = np.searchsorted(seen, ids).astype(np.uint64) + np.uint64(_FIRST_ID)
         # every row's tokens, with two starts before and what comes after the end; there are as many starts as ends
         starts = count[np.searchsorted(self.words, _END)] if len(self.words) else 0
         at = np.arange(n) + 3 * np.repeat(np.arange(rows), self.lengths) + 2
@@ -81,15 +85,16 @@ class _Block:
         word[after] = _AFTER
         keyed = np.sort(np.concatenate([at, after]))
         u, v, w = word[keyed - 2], word[keyed - 1], word[keyed]
-        ok = (u != _NONE) & (v != _NONE)  # a pair with an unseen word has no count
+        ok = (u != none) & (v != none)  # a pair with an unseen word has no count
         least = np.minimum(c[keyed - 2], c[keyed - 1])
         parts = np.maximum(1, -(-least // DEALT)).astype(np.uint64)
         dealt = parts > 1
-        part = np.where(dealt, common.mix(w, 24) % parts + np.uint64(1), np.uint64(0))
+        part = np.zeros(len(w), np.uint64)
+        part[dealt] = common.mix(named[w[dealt]], 24) % parts[dealt] + np.uint64(1)
         train = np.zeros(size, bool)
         train[at] = self.train
         train[after] = ~self.held
-        one, own = ok & (w != _NONE), ok & (dealt | (w == _NONE))
+        one, own = ok & (w != none), ok & (dealt | (w == none))
         many, zero = int(own.sum()), np.uint64(0)
         keys = [np.concatenate(x) for x in ((u[one], u[own]), (v[one], v[own]), (part[one], np.full(many, zero)), (w[one], np.full(many, _WHOLE, np.uint64)))]
         told = np.concatenate([train[keyed][one], train[keyed][own]])
@@ -103,7 +108,7 @@ class _Block:
         mine, whole = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         mine[keyed[one]], whole[keyed[own]] = place[: int(one.sum())], place[int(one.sum()) :]
         distinct = order[new]
-        return [k[distinct] for k in keys], total, (mine[at], whole[at], mine[at + 1], whole[at + 1])
+        return [k[distinct] if i == 2 else named[k[distinct]] for i, k in enumerate(keys)], total, (mine[at], whole[at], mine[at + 1], whole[at + 1])
 
 
 def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", priors: tuple[float, float] = PRIORS, fan: int | None = None) -> DataFrame:
