@@ -15,10 +15,25 @@ from ..tables import HOT_ROWS, settle, table, with_hot  # noqa: F401  what the o
 # a worker's large Arrow buffers go back to the system when they are done with, rather than into a pool; and so do its large
 # arrays, where the C library can be told to map each on its own
 pa.set_memory_pool(pa.system_memory_pool())
-try:
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-except (AttributeError, OSError):
-    pass
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
+
+
+def _mallopt(option: int, value: int) -> None:
+    try:
+        ctypes.CDLL(None).mallopt(option, value)
+    except (AttributeError, OSError):
+        pass
+
+
+_mallopt(_MMAP_THRESHOLD, 1 << 20)
+
+
+def keep_heap() -> None:
+    """In this worker, from now on: arrays of a few MB come from a heap that keeps up to 128 MB it has free. Where a task makes
+    hundreds of arrays of that size one after the other, mapping each on its own takes as long as the work on it."""
+    _mallopt(_MMAP_THRESHOLD, 8 << 20)
+    _mallopt(_TRIM_THRESHOLD, 128 << 20)
+
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -15,6 +15,10 @@ for _b in range(256):
             _table[_b, _r] = _p
 
 
+#: Questions are answered, and values packed, so many at a time: what a step makes for the next then stays in the processor's caches.
+PIECE = 1 << 14
+
+
 def mapped(array: np.ndarray) -> np.ndarray:
     """The array in an anonymous file in the task's temporary folder: its pages can go and come back."""
     if not array.nbytes:
@@ -30,21 +34,24 @@ class Bits:
     def __init__(self, values: np.ndarray, width: int):
         self.width = width
         if width:
-            parts = []
-            for a in range(0, len(values), 1 << 16):  # a multiple of 8 values, so that parts end at bytes
-                part = values[a : a + (1 << 16)].astype(np.uint64)
-                parts.append(np.packbits(((part[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little"))
-            raw = np.concatenate([*parts, np.zeros(16, np.uint8)])
-            self.words = mapped(raw[: len(raw) // 8 * 8].view(np.uint64))
+            words = np.zeros(len(values) * width // 64 + 2, np.uint64)
+            for a in range(0, len(values), PIECE):
+                part = values[a : a + PIECE].astype(np.uint64)
+                bit = np.arange(a, a + len(part), dtype=np.uint64) * np.uint64(width)
+                word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+                # values are no wider than a word, so each word between has one that begins there, and one at most that goes on
+                new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                words[word[new]] |= np.bitwise_or.reduceat(part << off, new)
+                split = off > np.uint64(64 - width)
+                words[word[split] + 1] |= part[split] >> (np.uint64(64) - off[split])
+            self.words = mapped(words)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
         bit = i.astype(np.uint64) * np.uint64(self.width)
         word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        out = self.words[word] >> off
-        split = off > np.uint64(64 - self.width)
-        out[split] |= self.words[word[split] + 1] << (np.uint64(64) - off[split])
+        out = (self.words[word] >> off) | (self.words[word + 1] << np.uint64(1) << (np.uint64(63) - off))
         return out & np.uint64((1 << self.width) - 1)
 
 
@@ -85,7 +92,13 @@ class EliasFano:
 
     def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each x: the index of the first value not below it (n if none), and whether that value is x; sought from lo to hi where given."""
-        x = x.astype(np.uint64)
+        at, found = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        for a in range(0, len(x), PIECE):
+            piece = slice(a, a + PIECE)
+            at[piece], found[piece] = self._successor(x[piece].astype(np.uint64), *((lo[piece], hi[piece]) if lo is not None else (None, None)))
+        return at, found
+
+    def _successor(self, x: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         high = np.minimum((x >> np.uint64(self.l)).astype(np.int64), self.buckets - 1)
         low = x & np.uint64((1 << self.l) - 1)
         a, b = self._before(high), self._before(high + 1)

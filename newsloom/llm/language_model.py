@@ -53,6 +53,7 @@ class _Block:
     """The tokens of a block: hashes, lengths of rows, and which are training tokens."""
 
     def __init__(self, table):
+        common.keep_heap()
         table = table.select(["doc_id", "text"])
         self.ids = table.column("doc_id").to_pylist()
         data, offsets = common.buffers(table.column("text").combine_chunks()) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
@@ -72,9 +73,11 @@ class _Block:
         context's whole, the key after it, that key's whole; -1 where there is none)."""
         n, rows = len(self.which), len(self.lengths)
         # ids by their rank within the block: they compare as ids do, and three fit in one integer whatever the vocabulary
-        seen = np.unique(ids[ids != _NONE])
-        named, none = np.concatenate([np.arange(_FIRST_ID, dtype=np.uint64), seen, np.array([_NONE])]), np.uint64(_FIRST_ID + len(seen))
-        ids = np.searchsorted(seen, ids).astype(np.uint64) + np.uint64(_FIRST_ID)
+        known = int((ids != _NONE).sum())
+        by_id = np.argsort(ids)
+        named, none = np.concatenate([np.arange(_FIRST_ID, dtype=np.uint64), ids[by_id[:known]], np.array([_NONE])]), np.uint64(_FIRST_ID + known)
+        ids = np.full(len(ids), none, np.uint64)
+        ids[by_id[:known]] = np.arange(_FIRST_ID, _FIRST_ID + known, dtype=np.uint64)
         # every row's tokens, with two starts before and what comes after the end; there are as many starts as ends
         starts = count[np.searchsorted(self.words, _END)] if len(self.words) else 0
         at = np.arange(n) + 3 * np.repeat(np.arange(rows), self.lengths) + 2
@@ -135,6 +138,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", prior
         return common.mix(common.mix(common.mix(keys[0], 21) + keys[1], 22) + keys[2], 23)
 
     def answer(keys, sums):
+        common.keep_heap()
         hashed, follow = context(keys), keys[3].astype(np.int64)
         # keys come in order, so a context's are together: contexts are sorted, and theirs follow in runs
         begin = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(hashed) else np.zeros(0, np.int64)
