@@ -6,16 +6,20 @@ each lane of the key space; a shard adds up what all blocks sent, works out the
 lane back, in the order of what it sent. Blocks and shards are sized by bytes and keys, so their number grows with the
 input.
 
-Up to `FAN` shards a lane is a shard. Beyond that the exchange has two levels: blocks stand in at most `FAN` groups and
-shards in at most `FAN` lanes; a task for each group and lane merges its blocks' questions, asks the shards of its lane
-and hands the answers on. So a block sends `FAN` rows at most and a shard receives `FAN` rows at most: the number of
-rows grows as blocks plus shards do, in proportion to the input, and never as their product.
+While blocks times shards are `ROWS` at most, a lane is a shard. Beyond that the exchange has two levels: blocks stand in
+groups and shards in lanes, about as many of either as the root of the number of blocks or shards; each group's questions on
+a lane are merged, sent to the shards of the lane, and the answers handed on. So a group has on a lane about as many
+keys as a block or a shard has, and there are about as many such pairs as blocks: rows and groups, which
+cost a fixed time each whatever they hold, take little beside the work on keys. There are `FAN` groups and lanes at most, so a block
+sends `FAN` rows at most and a shard receives `FAN`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import zstandard
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 3 << 20
 SHARD_KEYS = 1 << 19
 LEAST_BLOCKS = 48
-#: Most rows that a block sends or a shard receives.
-FAN = 2048
+#: Most rows that a block sends or a shard receives, and most that all blocks send without a second level.
+FAN, ROWS = 2048, 1 << 20
 
 
 def measure(docs: DataFrame, text: str = "text") -> int:
@@ -59,8 +63,11 @@ class Plan:
 
 
 def plan(n_bytes: int, n_keys: int, *, block_bytes: int | None = None, shard_keys: int | None = None, fan: int | None = None) -> Plan:
-    """How many blocks and shards so many bytes of text with so many keys take."""
-    return Plan(max(LEAST_BLOCKS, -(-n_bytes // (block_bytes or BLOCK_BYTES))), max(LEAST_BLOCKS, -(-n_keys // (shard_keys or SHARD_KEYS))), fan or FAN)
+    """How many blocks and shards so many bytes of text with so many keys take, and how many groups and lanes."""
+    blocks, shards = (max(LEAST_BLOCKS, -(-n // each)) for n, each in ((n_bytes, block_bytes or BLOCK_BYTES), (n_keys, shard_keys or SHARD_KEYS)))
+    most = max(blocks, shards)
+    direct = most <= FAN and blocks * shards <= ROWS
+    return Plan(blocks, shards, fan or (FAN if direct else min(FAN, math.isqrt(most - 1) + 1)))
 
 
 def in_blocks(docs: DataFrame, blocks: int, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,17 +77,23 @@ def in_blocks(docs: DataFrame, blocks: int, *, id_col: str = "doc_id", text: str
 
 # ---- arrays as bytes ---------------------------------------------------------------------------
 
+@cache
+def _codec():
+    """A worker's compressor and decompressor: made anew for each short array they take as long as the array."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def planes(values: np.ndarray) -> bytes:
     """Values in any order, in byte planes, compressed: words follow few patterns and high bytes are empty. Booleans as bits."""
     if not len(values):
         return b""
     raw = np.packbits(values) if values.dtype == bool else np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _codec()[0].compress(raw)
 
 
 def from_planes(data: bytes, n: int, kind=None) -> np.ndarray:
     """n values; their width in bytes is that of the data, or they are booleans."""
-    raw = zstandard.ZstdDecompressor().decompress(data) if n else b""
+    raw = _codec()[1].decompress(data) if n else b""
     if kind is bool:
         return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
     width = len(raw) // n if n else 8
@@ -89,7 +102,9 @@ def from_planes(data: bytes, n: int, kind=None) -> np.ndarray:
 
 def pack(ordered: np.ndarray) -> bytes:
     """Ordered values as differences in byte planes."""
-    return planes(np.diff(ordered, prepend=ordered.dtype.type(0)))
+    steps = ordered.copy()
+    steps[1:] -= ordered[:-1]
+    return planes(steps)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:

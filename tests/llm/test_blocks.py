@@ -28,3 +28,23 @@ def test_trigrams_of_large_vocabularies_take_no_stable_sort(monkeypatch):
     assert len(narrow) == 2
     monkeypatch.setattr(np, "lexsort", lambda *a: pytest.fail("a stable sort"))
     blocks.in_order(narrow)
+
+
+@pytest.mark.parametrize("gb", [1, 3, 6, 7, 12, 60, 600])
+def test_rows_and_groups_stay_few_at_any_size(gb):
+    """A row or a group takes a fixed time whatever it holds: a second level's pairs are about as many as blocks, and hold a block's or a shard's keys."""
+    p = blocks.plan(gb * 10**9, gb * 10**9 // 6, shard_keys=2 * blocks.SHARD_KEYS)
+    if p.direct:
+        assert p.blocks * p.shards <= blocks.ROWS
+        return
+    groups = -(-p.blocks // p.per_group)
+    assert groups * p.lanes <= 1.1 * p.blocks
+    assert p.blocks * p.lanes + groups * p.shards <= 2 * p.blocks**1.5 + blocks.ROWS
+    assert p.per_group <= 1.3 * p.lanes and p.per_lane <= 1.3 * groups
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_packed_keys_come_back(n):
+    keys = np.unique(_columns(n, (64,))[0])
+    before = keys.copy()
+    assert np.array_equal(blocks.unpack(blocks.pack(keys), len(keys)), before) and np.array_equal(keys, before)
