@@ -10,8 +10,8 @@ While blocks times shards are `ROWS` at most, a lane is a shard. Beyond that the
 groups and shards in lanes, about as many of either as the root of the number of blocks or shards; each group's questions on
 a lane are merged, sent to the shards of the lane, and the answers handed on. So a group has on a lane about as many
 keys as a block or a shard has, and there are about as many such pairs as blocks: rows and groups, which
-cost a fixed time each whatever they hold, take little beside the work on keys. There are `FAN` groups and lanes at most, so a block
-sends `FAN` rows at most and a shard receives `FAN`.
+cost a fixed time each whatever they hold, take little beside the work on keys. There are `FAN` groups and lanes at most,
+so with two levels a block sends `FAN` rows at most and a shard receives `FAN`. One level takes less disk, as it sends all once.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 3 << 20
 SHARD_KEYS = 1 << 19
 LEAST_BLOCKS = 48
-#: Most rows that a block sends or a shard receives, and most that all blocks send without a second level.
-FAN, ROWS = 2048, 1 << 20
+#: Most rows that a block sends or a shard receives with two levels, and most that all blocks send with one.
+FAN, ROWS = 2048, 1 << 23
 
 
 def measure(docs: DataFrame, text: str = "text") -> int:
@@ -66,8 +66,7 @@ def plan(n_bytes: int, n_keys: int, *, block_bytes: int | None = None, shard_key
     """How many blocks and shards so many bytes of text with so many keys take, and how many groups and lanes."""
     blocks, shards = (max(LEAST_BLOCKS, -(-n // each)) for n, each in ((n_bytes, block_bytes or BLOCK_BYTES), (n_keys, shard_keys or SHARD_KEYS)))
     most = max(blocks, shards)
-    direct = most <= FAN and blocks * shards <= ROWS
-    return Plan(blocks, shards, fan or (FAN if direct else min(FAN, math.isqrt(most - 1) + 1)))
+    return Plan(blocks, shards, fan or (most if blocks * shards <= ROWS else min(FAN, math.isqrt(most - 1) + 1)))
 
 
 def in_blocks(docs: DataFrame, blocks: int, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
